@@ -11,14 +11,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from tallyforge.functions.hashing import unit_interval
 
 SLICES = 1024
 HOT_ROWS = 1_000_000
 
 
 def depth_bounds(df: DataFrame, value: Column, slices: int = SLICES) -> Column:
-    """Scalar subquery: ascending equal-depth cut points of `value`, at most slices - 1."""
+    """Scalar subquery: ascending equal-depth cut points of `value`, about `slices` of them.
+
+    Numbers and times use a quantile sketch. Text, which has no such sketch, uses a
+    hash sample of its distinct values; pass it one row per value.
+    """
+    if isinstance(df.select(value.alias("v")).schema["v"].dataType, T.StringType):
+        share = F.lit(float(slices)) / F.greatest(df.agg(F.count(value).alias("n")).scalar(), F.lit(1))
+        sample = df.select(value.alias("v")).filter(unit_interval(F.col("v")) < share)
+        return sample.agg(F.array_sort(F.collect_set("v")).alias("bounds")).scalar()
     marks = ",".join(str(i / slices) for i in range(1, slices))
     marks = F.split(F.lit(marks), ",").cast("array<double>")
     return df.agg(F.percentile_approx(value, marks, F.lit(10 * slices)).alias("bounds")).scalar()
@@ -38,28 +48,33 @@ def slice_of(bounds: Column, value: Column, slices: int = SLICES) -> Column:
 
 
 def with_slice(df: DataFrame, value: Column, out: str = "_slice", tie: Column | None = None,
-               slices: int = SLICES, bounds_from: DataFrame | None = None) -> DataFrame:
+               slices: int = SLICES, only: Column | None = None) -> DataFrame:
     """Adds a slice number that never decreases along (value, tie).
 
     With `tie`, rows that share one cut-point value are split again along the tie,
-    so a single very frequent value cannot fill a slice.
+    so a single very frequent value cannot fill a slice. Rows outside `only` get -1.
     """
-    source = bounds_from if bounds_from is not None else df
     kept = df.columns
-    staged = df.withColumn("_bounds", depth_bounds(source, value, slices)).withColumn("_v", value)
-    staged = staged.select(*kept, "_bounds", "_v", slice_of(F.col("_bounds"), F.col("_v"), slices).alias("_at"))
+    source = df if only is None else df.filter(only)
+
+    def where(expr: Column) -> Column:
+        return expr if only is None else F.when(only, expr)
+
+    # Each cut-point array is named once per step, so the optimizer keeps it a literal
+    # of the expression and never copies it into the rows.
+    staged = df.select("*", value.alias("_v"), depth_bounds(source, value, slices).alias("_cuts"))
+    staged = staged.select(*kept, "_v", where(slice_of(F.col("_cuts"), F.col("_v"), slices)).alias("_at"))
     if tie is None:
-        return staged.select(*kept, F.col("_at").cast("bigint").alias(out))
-    on_cut = F.get(F.col("_bounds"), F.col("_at") - 1) == F.col("_v")
-    staged = (
-        staged.withColumn("_on_cut", F.coalesce(on_cut, F.lit(False)))
-        .select(*kept, "_at", "_on_cut")
-        .withColumn("_tie_bounds", depth_bounds(source, tie, slices))
-        .withColumn("_tie", tie)
+        return staged.select(*kept, F.coalesce(F.col("_at"), F.lit(-1)).cast("bigint").alias(out))
+    staged = staged.withColumn("_cuts", depth_bounds(source, value, slices)).select(
+        *kept, "_at", where(F.get(F.col("_cuts"), F.col("_at") - 1) == F.col("_v")).alias("_on_cut"), tie.alias("_tie")
+    )
+    staged = staged.withColumn("_cuts", depth_bounds(source, tie, slices)).select(
+        *kept, "_at", "_on_cut", F.when(F.col("_on_cut"), slice_of(F.col("_cuts"), F.col("_tie"), slices)).alias("_sub")
     )
-    sub = F.when(F.col("_on_cut"), slice_of(F.col("_tie_bounds"), F.col("_tie"), slices)).otherwise(0)
     first = F.col("_at") * 2 + F.when(F.col("_on_cut"), 0).otherwise(1)
-    return staged.select(*kept, (first.cast("bigint") * slices + sub).alias(out))
+    position = first.cast("bigint") * slices + F.coalesce(F.col("_sub"), F.lit(0))
+    return staged.select(*kept, F.coalesce(position, F.lit(-1).cast("bigint")).alias(out))
 
 
 def exact_rank(df: DataFrame, part: Sequence[str], order: Sequence[str], out: str = "rn",
@@ -82,9 +97,7 @@ def exact_rank(df: DataFrame, part: Sequence[str], order: Sequence[str], out: st
                                                            F.lit(True).alias("_hot"))
         match = _same_keys(part, "_h_")
         marked = df.join(F.broadcast(hot), match, "left").select(*kept, "_hot")
-        sliced = with_slice(marked, F.col(order[0]), tie=tie, bounds_from=marked.filter("_hot")).withColumn(
-            "_slice", F.when(F.col("_hot"), F.col("_slice")).otherwise(F.lit(-1).cast("bigint"))
-        ).select(*kept, "_slice")
+        sliced = with_slice(marked, F.col(order[0]), tie=tie, only=F.col("_hot")).select(*kept, "_slice")
     keys = [*part, "_slice"]
     local = sliced.withColumn("_local", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     totals = sliced.filter(F.col("_slice") >= 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from tallyforge.plans import q_runlog  # noqa: F401
+from tallyforge.plans import q_prep, q_runlog  # noqa: F401
 from tallyforge.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(master: str | None = None, app: str = "tallyforge", **conf) -> SparkSession:
@@ -43,3 +43,22 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared scratch folder."""
     return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Materialises a small intermediate once, in the shared folder, so lost executors cost nothing."""
+    spark = df.sparkSession
+    root = scratch_root(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+    return df.checkpoint(eager=True)
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Settles `df` and hints a broadcast only if it has at most `max_rows` rows.
+
+    Beyond that the plain frame is returned and Spark shuffles the join, splitting
+    skewed keys at run time.
+    """
+    settled = settle(df)
+    return F.broadcast(settled) if settled.count() <= max_rows else settled
