@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from tallyforge.plans import q_effort, q_metrics, q_prep, q_runlog  # noqa: F401
+from tallyforge.plans import q_effort, q_matching, q_metrics, q_prep, q_runlog, q_telemetry  # noqa: F401
 from tallyforge.plans.registry import ORACLES, QUERIES  # noqa: F401
