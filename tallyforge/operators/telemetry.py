@@ -31,7 +31,7 @@ def normalize_run(runs: DataFrame) -> DataFrame:
 
 def normalize_task(task_details: DataFrame, components: DataFrame) -> DataFrame:
     """Task reports of known components (pipeline_id, component) only, times normalised."""
-    known = components.select("pipeline_id", "component").distinct()
+    known = components.select("pipeline_id", "component")
     return normalize_times(task_details.join(known, ["pipeline_id", "component"], "left_semi"), "start_time", "end_time")
 
 
