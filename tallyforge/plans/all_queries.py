@@ -1,4 +1,6 @@
 """Importing this module registers every query."""
 
-from tallyforge.plans import q_effort, q_matching, q_metrics, q_prep, q_runlog, q_telemetry  # noqa: F401
+from tallyforge.plans import (  # noqa: F401
+    q_effort, q_matching, q_metrics, q_models, q_prep, q_runlog, q_sources, q_telemetry,
+)
 from tallyforge.plans.registry import ORACLES, QUERIES  # noqa: F401

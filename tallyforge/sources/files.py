@@ -18,7 +18,7 @@ PRIVATE_RUN_COLUMNS = ["effort", "last_update", "time_window", "metadata"]
 
 # --- tables ---------------------------------------------------------------------------
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", header: bool = True,
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", header: bool = True,
              missing: str = "") -> DataFrame:
     """CSV with a declared schema; `header=False` takes the names from the schema."""
     reader = spark.read.schema(schema).option("sep", sep).option("header", header).option("nullValue", missing)
@@ -121,8 +121,8 @@ def read_counter_log(spark: SparkSession, path: str) -> DataFrame:
 
 def append_counter_log(rows: DataFrame, path: str) -> None:
     """Adds rows to the log; earlier files are never rewritten."""
-    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.COUNTER_LOG.fields]
-    rows.select(*columns).write.mode("append").option("header", True).csv(path)
+    columns = [field.split() for field in schemas.COUNTER_LOG.split(", ")]
+    rows.select(*[F.col(n).cast(kind).alias(n) for n, kind in columns]).write.mode("append").option("header", True).csv(path)
 
 
 # --- catalog --------------------------------------------------------------------------

@@ -1,20 +1,20 @@
-"""Declared schemas of every input. Nothing is inferred from data."""
+"""Declared schemas of every input, as DDL text or StructType. Nothing is inferred from data."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-COUNTER_LOG = T.StructType.fromDDL("timestamp double, type string, running_pipelines int, waiting_pipelines int")
+COUNTER_LOG = "timestamp double, type string, running_pipelines int, waiting_pipelines int"
 
 COMPONENT = "struct<name: string, type: string, state: string, node: string, platform: string, start_time: string, end_time: string, duration: double>"
 
 # One object per run; times are text with an offset, components a map by name.
-RUN_DUMP = T.StructType.fromDDL(
+RUN_DUMP = (
     "id string, name string, kfp_id string, state string, submitted_at string, scheduled_at string, finished_at string, "
     f"duration double, components map<string, {COMPONENT}>"
 )
 
-KFP_RUNS = T.StructType.fromDDL(
+KFP_RUNS = (
     "runs array<struct<run_id: string, display_name: string, state: string, created_at: string, scheduled_at: string, "
     "finished_at: string, run_details: struct<task_details: array<struct<display_name: string, start_time: string, "
     "end_time: string, state: string>>>>>"
@@ -26,7 +26,7 @@ _LAYER = (
     "strides: array<int>, pool_size: array<int>>"
 )
 
-CATALOG = T.StructType.fromDDL(
+CATALOG = (
     "pipeline_id string, name string, submitted_at timestamp, components_type map<string, string>, "
     "dataset struct<name: string, type: string, train_percentage: double, val_percentage: double, test_percentage: double, "
     f"normalized: boolean, original: {_VERSION}, preprocessed: {_VERSION}>, "
@@ -34,8 +34,8 @@ CATALOG = T.StructType.fromDDL(
     f"support_vectors: bigint, n_epochs: int, batch_size: int, macs: double, layers: array<{_LAYER}>>>"
 )
 
-ARRAYS_X = T.StructType.fromDDL("idx bigint, pixels array<float>")
-ARRAYS_Y = T.StructType.fromDDL("idx bigint, label int")
+ARRAYS_X = "idx bigint, pixels array<float>"
+ARRAYS_Y = "idx bigint, label int"
 
 # The column names of the headerless connection log, in file order.
 CONNECTION_LOG_NAMES = """
