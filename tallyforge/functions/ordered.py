@@ -1,10 +1,15 @@
 """Exact order-dependent results without a window that fits in one task.
 
 A plain `Window.orderBy` (or a window over a hot key) sorts one group in one task.
-The helpers here split such a group along the order itself: equal-depth cut points
-come from an approximate quantile sketch, the window runs inside each slice, and the
-slices are stitched together with totals per slice. The sketch only balances the
-slices; the results are exact whatever it returns.
+The helpers here cut such a group along the order itself, run the window inside each
+piece, and stitch the pieces together with one total per piece:
+
+- a whole table is first cut into equal-width bins of its leading order column, which
+  is plain arithmetic;
+- a bin or key that still holds too many rows is cut again at sampled positions of the
+  full order.
+
+Bins and cut points only balance the work; the results are exact whatever they are.
 """
 
 from __future__ import annotations
@@ -13,29 +18,33 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tallyforge.functions.hashing import unit_interval
+from tallyforge.session import settle
 
+BINS = 1 << 16
 SLICES = 1024
+SAMPLE_PER_SLICE = 8
 HOT_ROWS = 1_000_000
+HOT_PARTS = 1000
+_GRAIN = 1 << 40
 
 
-def depth_bounds(df: DataFrame, value: Column, slices: int = SLICES) -> Column:
-    """Scalar subquery: ascending equal-depth cut points of `value`, about `slices` of them.
+def cut_points(df: DataFrame, key: Column, total: Column, slices: int = SLICES) -> Column:
+    """Scalar subquery: ascending cut points of `key` (any orderable type), at most `slices` of them.
 
-    Numbers and times use a quantile sketch. Text, which has no such sketch, uses a
-    hash sample of its distinct values; pass it one row per value.
+    Rows enter the sample by a hash of their key, with a probability that makes
+    SAMPLE_PER_SLICE rows per slice on average of `total`; equal keys enter once.
     """
-    if isinstance(df.select(value.alias("v")).schema["v"].dataType, T.StringType):
-        share = F.lit(float(slices)) / F.greatest(df.agg(F.count(value).alias("n")).scalar(), F.lit(1))
-        sample = df.select(value.alias("v")).filter(unit_interval(F.col("v")) < share)
-        return sample.agg(F.array_sort(F.collect_set("v")).alias("bounds")).scalar()
-    marks = ",".join(str(i / slices) for i in range(1, slices))
-    marks = F.split(F.lit(marks), ",").cast("array<double>")
-    return df.agg(F.percentile_approx(value, marks, F.lit(10 * slices)).alias("bounds")).scalar()
+    wanted = float(slices * SAMPLE_PER_SLICE)
+    picked = df.select(key.alias("k"), total.alias("n")).filter(
+        F.pmod(F.xxhash64("k"), F.lit(_GRAIN)) * F.col("n") < F.lit(wanted * _GRAIN))
+    sample = picked.agg(F.array_sort(F.collect_set("k")).alias("s"))
+    step = F.ceil(F.size("s") / slices).cast("int")
+    places = F.when(F.size("s") > 0, F.sequence(step - 1, F.size("s") - 1, step)).otherwise(F.array().cast("array<int>"))
+    return sample.select(F.transform(places, lambda i: F.get("s", i)).alias("cuts")).scalar()
 
 
-def slice_of(bounds: Column, value: Column, slices: int = SLICES) -> Column:
-    """Number of cut points <= value, by binary search over the array column `bounds`."""
+def slice_of(cuts: Column, key: Column, slices: int = SLICES) -> Column:
+    """Number of cut points <= key, by binary search over the array column `cuts`."""
     steps, step = [], slices // 2
     while step:
         steps.append(F.lit(step))
@@ -43,83 +52,85 @@ def slice_of(bounds: Column, value: Column, slices: int = SLICES) -> Column:
     return F.aggregate(
         F.array(*steps),
         F.lit(0),
-        lambda at, hop: at + F.when(F.get(bounds, at + hop - 1) <= value, hop).otherwise(0),
+        lambda at, hop: at + F.when(F.get(cuts, at + hop - 1) <= key, hop).otherwise(0),
     )
 
 
-def with_slice(df: DataFrame, value: Column, out: str = "_slice", tie: Column | None = None,
-               slices: int = SLICES, only: Column | None = None) -> DataFrame:
-    """Adds a slice number that never decreases along (value, tie).
+def coarse_bin(df: DataFrame, column: str, bins: int = BINS) -> Column:
+    """A bin number in [0, bins) that never decreases with `column`; NULL goes first.
 
-    With `tie`, rows that share one cut-point value are split again along the tie,
-    so a single very frequent value cannot fill a slice. Rows outside `only` get -1.
+    Numbers are cut evenly between the least and greatest value, text by its first two bytes.
+    """
+    if isinstance(df.schema[column].dataType, T.StringType):
+        lead = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 2)), 4, "0")
+        return F.coalesce(F.conv(lead, 16, 10).cast("int"), F.lit(-1))
+    value = F.col(column).cast("double")
+    ends = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high")).alias("e")).scalar()
+    place = F.try_divide((value - ends["low"]) * (bins - 1), ends["high"] - ends["low"])
+    return F.when(value.isNull(), -1).otherwise(F.coalesce(place, F.lit(0.0)).cast("int"))
+
+
+def _with_pieces(df: DataFrame, part: Sequence[str], order: Sequence[str], hot_rows: int) -> DataFrame:
+    """Adds `_slice`: -1 for ordinary parts, a slice number for the rows of hot parts.
+
+    Hot parts hold more than `hot_rows` rows. Only the 1000 largest are looked up, so the
+    list is safe to broadcast; any other part holds less than a thousandth of the table.
     """
     kept = df.columns
-    source = df if only is None else df.filter(only)
-
-    def where(expr: Column) -> Column:
-        return expr if only is None else F.when(only, expr)
-
-    # Each cut-point array is named once per step, so the optimizer keeps it a literal
-    # of the expression and never copies it into the rows.
-    staged = df.select("*", value.alias("_v"), depth_bounds(source, value, slices).alias("_cuts"))
-    staged = staged.select(*kept, "_v", where(slice_of(F.col("_cuts"), F.col("_v"), slices)).alias("_at"))
-    if tie is None:
-        return staged.select(*kept, F.coalesce(F.col("_at"), F.lit(-1)).cast("bigint").alias(out))
-    staged = staged.withColumn("_cuts", depth_bounds(source, value, slices)).select(
-        *kept, "_at", where(F.get(F.col("_cuts"), F.col("_at") - 1) == F.col("_v")).alias("_on_cut"), tie.alias("_tie")
-    )
-    staged = staged.withColumn("_cuts", depth_bounds(source, tie, slices)).select(
-        *kept, "_at", "_on_cut", F.when(F.col("_on_cut"), slice_of(F.col("_cuts"), F.col("_tie"), slices)).alias("_sub")
-    )
-    first = F.col("_at") * 2 + F.when(F.col("_on_cut"), 0).otherwise(1)
-    position = first.cast("bigint") * slices + F.coalesce(F.col("_sub"), F.lit(0))
-    return staged.select(*kept, F.coalesce(position, F.lit(-1).cast("bigint")).alias(out))
+    counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
+    largest = counts.orderBy(F.desc("_rows")).limit(HOT_PARTS)
+    hot = largest.select(*[F.col(c).alias(f"_h_{c}") for c in part],
+                         F.sum("_rows").over(Window.partitionBy(F.lit(0))).cast("double").alias("_total"))
+    marked = df.join(F.broadcast(hot), _same_keys(part, "_h_"), "left").select(*kept, "_total")
+    is_hot = F.col("_total").isNotNull()
+    key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    # The cut points are named once, so the optimizer keeps them inside the expression
+    # and never copies the array into the rows.
+    cuts = cut_points(marked.filter(is_hot), key, F.col("_total"))
+    staged = marked.select("*", key.alias("_key"), cuts.alias("_cuts"))
+    place = F.when(is_hot, slice_of(F.col("_cuts"), F.col("_key")))
+    return staged.select(*kept, F.coalesce(place, F.lit(-1)).alias("_slice"))
+
+
+def in_pieces(df: DataFrame, order: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds (_bin, _slice), which never decrease along `order` over the whole table."""
+    return _with_pieces(df.withColumn("_bin", coarse_bin(df, order[0])), ["_bin"], order, hot_rows)
 
 
 def exact_rank(df: DataFrame, part: Sequence[str], order: Sequence[str], out: str = "rn",
                hot_rows: int = HOT_ROWS) -> DataFrame:
-    """`row_number()` per `part` ordered by `order`, safe for hot parts.
+    """`row_number()` per `part` ordered by `order`, safe for hot parts and for no part at all.
 
-    `order[0]` is numeric; `order[1]`, if given, is a numeric tie-break. Without `part`
-    the whole table is one hot part. Keys with at most `hot_rows` rows keep the plain
-    window. Keys above it (at most 1000, as each also exceeds a thousandth of the
-    table) are sliced.
+    `order` should be unique within a part. Parts with at most `hot_rows` rows keep the
+    plain window.
     """
-    kept = df.columns
-    tie = F.col(order[1]) if len(order) > 1 else None
-    if not part:
-        sliced = with_slice(df, F.col(order[0]), tie=tie)
+    if part:
+        pieces, keys = _with_pieces(df, part, order, hot_rows), [*part, "_slice"]
+        totals, before = pieces.filter(F.col("_slice") >= 0), Window.partitionBy(*part).orderBy("_slice")
     else:
-        counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows"))
-        floor = F.greatest(F.lit(hot_rows), counts.agg((F.sum("_rows") / 1000).cast("bigint").alias("t")).scalar())
-        hot = counts.filter(F.col("_rows") > floor).select(*[F.col(c).alias(f"_h_{c}") for c in part],
-                                                           F.lit(True).alias("_hot"))
-        match = _same_keys(part, "_h_")
-        marked = df.join(F.broadcast(hot), match, "left").select(*kept, "_hot")
-        sliced = with_slice(marked, F.col(order[0]), tie=tie, only=F.col("_hot")).select(*kept, "_slice")
-    keys = [*part, "_slice"]
-    local = sliced.withColumn("_local", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    totals = sliced.filter(F.col("_slice") >= 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_slice") if not part else Window.partitionBy(*part).orderBy("_slice")
-    offsets = totals.select(
+        pieces, keys = in_pieces(df, order, hot_rows), ["_bin", "_slice"]
+        # One row per piece: BINS plus the slices of hot bins.
+        totals, before = pieces, Window.orderBy("_bin", "_slice")
+    local = pieces.withColumn("_local", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    offsets = totals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
         *[F.col(c).alias(f"_o_{c}") for c in keys],
         F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
     )
     joined = local.join(offsets, _same_keys(keys, "_o_"), "left")
-    return joined.select(*kept, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint").alias(out))
-
-
-def running_totals(df: DataFrame, order: str, values: dict[str, str]) -> DataFrame:
-    """Running sums of `values` (column -> output name) along a unique numeric `order`."""
-    sliced = with_slice(df, F.col(order))
-    inside = Window.partitionBy("_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = sliced.select("*", *[F.sum(c).over(inside).alias(f"_l_{o}") for c, o in values.items()])
-    totals = sliced.groupBy("_slice").agg(*[F.sum(c).alias(f"_t_{o}") for c, o in values.items()])
-    # One row per slice, so at most SLICES rows meet in this window and in the broadcast.
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("_slice"), *[F.sum(f"_t_{o}").over(before).alias(f"_b_{o}") for o in values.values()])
-    joined = local.join(F.broadcast(offsets), "_slice", "left")
+    return joined.select(*df.columns, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint").alias(out))
+
+
+def running_totals(df: DataFrame, order: str, values: dict[str, str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Running sums of `values` (column -> output name) along a unique `order`."""
+    keys = ["_bin", "_slice"]
+    pieces = in_pieces(df, [order], hot_rows)
+    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = pieces.select("*", *[F.sum(c).over(inside).alias(f"_l_{o}") for c, o in values.items()])
+    totals = pieces.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{o}") for c, o in values.items()])
+    # One row per piece meets in this window.
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, *[F.sum(f"_t_{o}").over(before).alias(f"_b_{o}") for o in values.values()])
+    joined = local.join(offsets, keys, "left")
     return joined.select(
         *df.columns,
         *[(F.col(f"_l_{o}") + F.coalesce(F.col(f"_b_{o}"), F.lit(0))).alias(o) for o in values.values()],
@@ -127,11 +138,11 @@ def running_totals(df: DataFrame, order: str, values: dict[str, str]) -> DataFra
 
 
 def above_threshold(items: DataFrame, needs: DataFrame, part: Sequence[str], level: str, need: str,
-                    payload: Column, out: str, total: bool = False) -> DataFrame:
+                    payload: Column, out: str, total: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """For every distinct (part, need): the least `payload` over items with level > need.
 
     With `total` the payload is summed instead. Replaces an items x needs inequality
-    join: both sides are merged, sliced along the level and scanned once, so the work
+    join: both sides are merged, cut along the level and scanned once, so the work
     grows with the sum of both sides.
     """
     merge = F.sum if total else F.min
@@ -141,15 +152,15 @@ def above_threshold(items: DataFrame, needs: DataFrame, part: Sequence[str], lev
     both = left.select(*blank, "_level", "_pay", F.lit(1).alias("_item")).unionByName(
         right.select(*blank, "_level", F.lit(0).alias("_item")), allowMissingColumns=True
     )
-    sliced = with_slice(both, F.col("_level"))
-    keys = [*part, "_slice"]
+    # Read four times below: written once, as one row per distinct level and part.
+    pieces = in_pieces(settle(both), ["_level"], hot_rows)
+    keys = [*part, "_bin", "_slice"]
     inside = Window.partitionBy(*keys).orderBy(F.desc("_level"), "_item").rowsBetween(Window.unboundedPreceding, 0)
-    local = sliced.withColumn("_near", merge("_pay").over(inside)).filter("_item = 0")
-    per_slice = sliced.filter("_item = 1").groupBy(*keys).agg(merge("_pay").alias("_slice_pay"))
-    # Slices above the need's own slice: a suffix over at most SLICES rows of each part.
-    slots = sliced.filter("_item = 0").select(*keys).distinct().join(per_slice, keys, "full")
-    after = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))).orderBy(F.desc("_slice"))
-    far = slots.select(*keys, merge("_slice_pay").over(after.rowsBetween(Window.unboundedPreceding, -1)).alias("_far"))
+    local = pieces.withColumn("_near", merge("_pay").over(inside)).filter("_item = 0")
+    # What lies in higher pieces: a suffix over the pieces of each part that hold anything.
+    per_piece = pieces.groupBy(*keys).agg(merge("_pay").alias("_piece_pay"))
+    after = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))).orderBy(F.desc("_bin"), F.desc("_slice"))
+    far = per_piece.select(*keys, merge("_piece_pay").over(after.rowsBetween(Window.unboundedPreceding, -1)).alias("_far"))
     joined = local.join(far, keys, "left")
     if total:
         best = F.coalesce("_near", F.lit(0)) + F.coalesce("_far", F.lit(0))

@@ -229,17 +229,29 @@ def flat_inputs(share: str) -> Inputs:
     return Inputs(n, F.col("n_features").cast("double"), lambda name: F.col(name) if name in present else F.lit(None))
 
 
-def flat_task_efforts(catalog: DataFrame) -> DataFrame:
-    """Flat catalog -> one row per pipeline and phase."""
-    phases = F.array(
-        F.struct(F.lit("preprocessing").alias("type"),
-                 (F.col("n_samples").cast("double") * F.col("n_features")).alias("effort")),
-        F.struct(F.lit("training").alias("type"),
-                 model_effort(F.col("model_type"), flat_inputs("train_percentage"), True).alias("effort")),
-        F.struct(F.lit("evaluation").alias("type"),
-                 model_effort(F.col("model_type"), flat_inputs("test_percentage"), False).alias("effort")),
-    )
-    return catalog.select("pipeline_id", F.inline(phases))
+def flat_phase_efforts() -> dict[str, Column]:
+    """Effort of each phase of a flat catalog row."""
+    return {
+        "preprocessing": F.col("n_samples").cast("double") * F.col("n_features"),
+        "training": model_effort(F.col("model_type"), flat_inputs("train_percentage"), True),
+        "evaluation": model_effort(F.col("model_type"), flat_inputs("test_percentage"), False),
+    }
+
+
+def flat_task_efforts(catalog: DataFrame, total: bool = False) -> DataFrame:
+    """Flat catalog -> one row per pipeline and phase, and one `total` row if wanted. No shuffle."""
+    efforts = catalog.select("pipeline_id", *[e.alias(f"_{p}") for p, e in flat_phase_efforts().items()])
+    rows = {p: F.col(f"_{p}") for p in PHASES}
+    if total:
+        rows["total"] = sum((F.coalesce(F.col(f"_{p}"), F.lit(0.0)) for p in PHASES[1:]), F.coalesce(F.col(f"_{PHASES[0]}"), F.lit(0.0)))
+    structs = [F.struct(F.lit(p).alias("type"), e.alias("effort")) for p, e in rows.items()]
+    return efforts.select("pipeline_id", F.inline(F.array(*structs)))
+
+
+def flat_totals(catalog: DataFrame) -> DataFrame:
+    """Flat catalog with the total effort of each row. No shuffle."""
+    parts = list(flat_phase_efforts().values())
+    return catalog.withColumn("effort", parts[0] + parts[1] + F.coalesce(parts[2], F.lit(0.0)))
 
 
 def effort_totals(efforts: DataFrame) -> DataFrame:

@@ -7,14 +7,15 @@ and enter the row expressions as scalar subqueries, so no join is planned for th
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyforge.functions.hashing import HASH_RANGE, hash32
-from tallyforge.functions.ordered import SLICES, exact_rank, slice_of
-from tallyforge.session import checked_broadcast
+from tallyforge.functions.ordered import exact_rank
+from tallyforge.session import checked_broadcast, settle
 
 NUMERIC = (T.LongType, T.DoubleType)
 TEXT = (T.StringType,)
@@ -57,58 +58,64 @@ def drop_missing(df: DataFrame) -> DataFrame:
 
 # --- quantiles and clipping -----------------------------------------------------------
 
-def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.25, 0.75)) -> DataFrame:
-    """Exact quantiles with linear interpolation: rows (column, prob, value).
+def fit_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], margin: float = 1e-4) -> dict[str, list]:
+    """Exact quantiles with linear interpolation, as {column: [value per prob]}.
 
-    Values are counted per distinct value first, then cut into equal-depth slices of
-    their own column. Only the slices that hold a wanted rank are ordered, so no task
-    sees a whole column.
+    A sketch brackets each wanted rank, then one pass counts what lies below the bracket
+    and the distinct values inside it, which are few. A bracket that misses its rank is
+    widened and tried again, up to the whole range. All columns share both passes.
     """
-    pairs = [F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("value")) for c in columns]
-    values = (
-        df.select(F.inline(F.array(*pairs)))
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    marks = F.split(F.lit(",".join(str(i / SLICES) for i in range(1, SLICES))), ",").cast("array<double>")
-    # One row per column of the input.
-    cuts = values.groupBy("column").agg(F.percentile_approx("value", marks, F.lit(10 * SLICES)).alias("cuts"))
-    sliced = values.join(F.broadcast(cuts), "column").select(
-        "column", "value", "n", slice_of(F.col("cuts"), F.col("value")).alias("slice")
-    )
-    totals = sliced.groupBy("column", "slice").agg(F.sum("n").alias("slice_n"))
-    order = Window.partitionBy("column").orderBy("slice")
-    placed = totals.select(
-        "column", "slice",
-        F.coalesce(F.sum("slice_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        "slice_n",
-        F.sum("slice_n").over(Window.partitionBy("column")).alias("total"),
-    )
-    position = [(F.col("total") - 1) * F.lit(p) for p in probs]
-    wanted = F.array(*[f(x).cast("bigint") for x in position for f in (F.floor, F.ceil)])
-    # At most two slices per column and probability survive.
-    needed = placed.withColumn("wanted", wanted).filter(
-        F.exists("wanted", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("slice_n")))
-    )
-    inside = Window.partitionBy("column", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = sliced.join(F.broadcast(needed.drop("slice_n")), ["column", "slice"]).withColumn(
-        "upto", F.col("before") + F.sum("n").over(inside)
-    )
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto")), F.col("value")))
-
-    found = ranked.groupBy("column").agg(
-        F.max("total").alias("total"),
-        *[at(F.get("wanted", F.lit(i))).alias(f"r{i}") for i in range(2 * len(probs))],
-    )
-    rows = []
-    for i, p in enumerate(probs):
-        low, high = F.col(f"r{2 * i}"), F.col(f"r{2 * i + 1}")
-        at_p = (F.col("total") - 1) * F.lit(p)
-        rows.append(F.struct(F.lit(p).alias("prob"), (low + (high - low) * (at_p - F.floor(at_p))).alias("value")))
-    return found.select("column", F.inline(F.array(*rows)))
+    values = df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    accuracy = int(10 / margin)
+    fitted: dict[str, list] = {}
+    pending = list(range(len(columns)))
+    while pending:
+        edges = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in probs for d in (-margin, margin)])
+        counted = values.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in pending],
+                             *[F.percentile_approx(f"c{i}", edges, F.lit(accuracy)).alias(f"e{i}") for i in pending]).first()
+        pieces, ranks = [], []
+        for i in [i for i in pending if counted[f"n{i}"] == 0]:
+            fitted[columns[i]] = [None] * len(probs)
+        pending = [i for i in pending if counted[f"n{i}"]]
+        if not pending:
+            break
+        for i in pending:
+            for j, p in enumerate(probs):
+                low, high = counted[f"e{i}"][2 * j], counted[f"e{i}"][2 * j + 1]
+                value = F.col(f"c{i}")
+                place = F.when(value <= F.lit(high), len(ranks)).alias("place")
+                # Everything below the bracket is one group, counted map-side.
+                pieces.append(F.struct(place, F.when(value >= F.lit(low), value).alias("value")))
+                position = (counted[f"n{i}"] - 1) * p
+                ranks.append((i, j, math.floor(position), math.ceil(position), position - math.floor(position)))
+        inside = values.select(F.inline(F.array(*pieces))).filter("place IS NOT NULL").groupBy("place", "value").agg(
+            F.count(F.lit(1)).alias("n"))
+        order = Window.partitionBy("place").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0)
+        wanted = F.get(F.array(*[F.array(F.lit(a), F.lit(b)) for _, _, a, b, _ in ranks]), F.col("place"))
+        hits = inside.withColumn("upto", F.sum("n").over(order)).filter(
+            F.exists(wanted, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))))
+        # At most two rows per column and probability.
+        found: dict[int, list] = {}
+        for hit in hits.collect():
+            found.setdefault(hit["place"], []).append((hit["upto"] - hit["n"], hit["upto"], hit["value"]))
+        missed = set()
+        results: dict[int, list] = {}
+        for place, (i, j, first, last, share) in enumerate(ranks):
+            ends = [next((v for lo, hi, v in found.get(place, []) if lo <= r < hi), None) for r in (first, last)]
+            if None in ends:
+                missed.add(i)
+            else:
+                results.setdefault(i, [None] * len(probs))[j] = ends[0] + (ends[1] - ends[0]) * share
+        fitted.update({columns[i]: r for i, r in results.items() if i not in missed})
+        pending, margin = sorted(missed), margin * 100
+    return fitted
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.25, 0.75)) -> DataFrame:
+    """Exact quantiles: rows (column, prob, value)."""
+    fitted = fit_quantiles(df, columns, probs)
+    rows = [(c, float(p), v) for c in columns for p, v in zip(probs, fitted[c])]
+    return df.sparkSession.createDataFrame(rows, "column string, prob double, value double")
 
 
 def quantiles_sketch(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.25, 0.75),
@@ -122,31 +129,31 @@ def quantiles_sketch(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     return fitted.select(F.inline(F.array(*rows)))
 
 
-def iqr_limits(df: DataFrame, columns: Sequence[str], sketch: bool = False) -> DataFrame:
-    """q1 - 1.5 iqr and q3 + 1.5 iqr: rows (column, lower, upper)."""
-    fitted = (quantiles_sketch if sketch else quantiles)(df, columns, (0.25, 0.75))
-    both = fitted.groupBy("column").agg(
-        F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
-        F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3"),
-    )
-    reach = (F.col("q3") - F.col("q1")) * 1.5
-    return both.select("column", (F.col("q1") - reach).alias("lower"), (F.col("q3") + reach).alias("upper"))
+def iqr_limits(df: DataFrame, columns: Sequence[str], sketch: bool = False) -> dict[str, tuple[float, float]]:
+    """{column: (q1 - 1.5 iqr, q3 + 1.5 iqr)}; a column without values has no limits."""
+    if sketch:
+        rows = quantiles_sketch(df, columns, (0.25, 0.75)).collect()
+        fitted = {c: [next(r["value"] for r in rows if r["column"] == c and r["prob"] == p) for p in (0.25, 0.75)] for c in columns}
+    else:
+        fitted = fit_quantiles(df, columns, (0.25, 0.75))
+    return {c: (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) for c, (q1, q3) in fitted.items() if q1 is not None}
 
 
 def iqr_clip(df: DataFrame, columns: Sequence[str] | None = None, sketch: bool = False) -> DataFrame:
-    """Clips every numeric column to its own limits; NULL stays NULL."""
+    """Clips every numeric column to its own limits; NULL stays NULL.
+
+    The limits are fitted at once, so clipping is one projection with constants.
+    """
     names = list(columns) if columns is not None else columns_of(df, NUMERIC)
     if not names:
         return df
     limits = iqr_limits(df, names, sketch)
-    packed = limits.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("lower", "upper")))).alias("m"))
-    staged = df.withColumn("_limits", packed.scalar())
 
     def clipped(name: str) -> Column:
-        value, limit = quoted(name).cast("double"), F.col("_limits")[name]
-        return F.when(value < limit["lower"], limit["lower"]).when(value > limit["upper"], limit["upper"]).otherwise(value)
+        value, (low, high) = quoted(name).cast("double"), limits[name]
+        return F.when(value < F.lit(low), F.lit(low)).when(value > F.lit(high), F.lit(high)).otherwise(value)
 
-    return staged.select(*[clipped(c).alias(c) if c in names else quoted(c) for c in df.columns])
+    return df.select(*[clipped(c).alias(c) if c in limits else quoted(c) for c in df.columns])
 
 
 # --- column selection and values ------------------------------------------------------
@@ -178,7 +185,7 @@ def collapse_to_other(df: DataFrame, column: str, keep: str, other: str = "Other
 
 def label_classes(df: DataFrame, column: str) -> DataFrame:
     """Distinct values in sorted order: rows (value, code) with codes 0..k-1."""
-    classes = df.select(quoted(column).alias("value")).filter("value IS NOT NULL").distinct()
+    classes = settle(df.select(quoted(column).alias("value")).filter("value IS NOT NULL").distinct())
     return exact_rank(classes, [], ["value"], "_rank").select("value", (F.col("_rank") - 1).alias("code"))
 
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from tallyforge.operators import prep
+from tallyforge.session import settle
 
 Resampler = Callable[[DataFrame, str], DataFrame]
 
@@ -72,7 +73,8 @@ def split_and_scale(df: DataFrame, label: str, scaled: list[str] | None = None,
 
 def clean_census(df: DataFrame, sketch: bool = False) -> DataFrame:
     """Income table: missing marks, copies, outliers, coarse groups, codes; label `income`."""
-    df = prep.drop_duplicates(prep.sentinel_to_null(df))
+    # Read by the quantile passes and by the rest: the deduplicated table is written once.
+    df = settle(prep.drop_duplicates(prep.sentinel_to_null(df)))
     df = prep.iqr_clip(df, sketch=sketch)
     for column, mapping in CENSUS_MAPS.items():
         df = prep.map_values(df, column, mapping)

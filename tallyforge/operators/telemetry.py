@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyforge.functions.numbers import round_2dp
 from tallyforge.functions.ordered import exact_rank, running_totals
 from tallyforge.functions.timing import duration_or_null, finished_or_null, micros, seconds_between
+from tallyforge.session import settle
 
 # States of a run that has ended.
 TERMINAL_STATES = ["SUCCEEDED", "FAILED"]
@@ -74,7 +75,7 @@ def prefix_match_run(pipelines: DataFrame, runs: DataFrame) -> DataFrame:
 def submission_windows(runs: DataFrame, every: str) -> DataFrame:
     """Adds the window a run was submitted in and its number among non-empty windows."""
     placed = runs.withColumn("window_start", F.window("submitted_at", every).getField("start"))
-    windows = placed.select("window_start").distinct().withColumn("_us", micros(F.col("window_start")))
+    windows = settle(placed.select("window_start").distinct().withColumn("_us", micros(F.col("window_start"))))
     numbered = exact_rank(windows, [], ["_us"], "time_window").drop("_us")
     return placed.join(numbered, "window_start")
 
@@ -93,7 +94,7 @@ def state_changes(runs: DataFrame) -> DataFrame:
 
 def running_waiting_counts(runs: DataFrame) -> DataFrame:
     """Number of running and waiting runs after each change."""
-    changes = state_changes(runs).withColumn("_us", micros(F.col("ts")))
+    changes = settle(state_changes(runs).withColumn("_us", micros(F.col("ts"))))
     totals = running_totals(changes, "_us", {"d_running": "running", "d_waiting": "waiting"})
     return totals.select("ts", "running", "waiting")
 

@@ -162,6 +162,12 @@ def effort_dispatch(spark, folder):
 
 @query("effort_totals", f"{EFFORTS_SQL} UNION ALL SELECT pipeline_id, 'total', effort FROM ({TOTALS_SQL}) AS t")
 def effort_totals(spark, folder):
+    return ops.flat_task_efforts(catalog(spark, folder), total=True)
+
+
+@query("effort_totals_by_task", f"{EFFORTS_SQL} UNION ALL SELECT pipeline_id, 'total', effort FROM ({TOTALS_SQL}) AS t")
+def effort_totals_by_task(spark, folder):
+    """The same from a table of task efforts, whose tasks of one pipeline lie in many rows."""
     return ops.effort_totals(ops.flat_task_efforts(catalog(spark, folder)))
 
 
@@ -171,10 +177,8 @@ def effort_totals(spark, folder):
         row_number() OVER (PARTITION BY w ORDER BY effort, submitted_at, pipeline_id) AS position FROM t""")
 def effort_order(spark, folder):
     """Submission windows of one month."""
-    rows = catalog(spark, folder)
-    efforts = ops.flat_task_efforts(rows).groupBy("pipeline_id").agg(F.sum("effort").alias("effort"))
-    windows = rows.select("pipeline_id", "submitted_at", F.date_format("submitted_at", "yyyy-MM").alias("submission_window"))
-    totals = windows.join(efforts, "pipeline_id")
+    totals = ops.flat_totals(catalog(spark, folder)).select(
+        "pipeline_id", "submitted_at", F.date_format("submitted_at", "yyyy-MM").alias("submission_window"), "effort")
     return ops.effort_order(totals, "submission_window").drop("submitted_at")
 
 

@@ -11,26 +11,32 @@ from tallyforge.operators import effort
 from tallyforge.plans.q_prep import md5_part
 from tallyforge.plans.registry import query
 from tallyforge.plans.views import view
+from tallyforge.session import settle
 
 LOADED_SQL = """SELECT n.*, coalesce(a.c, 0) AS load, memory_kb - memory_kb * memory_usage AS free_kb FROM v_nodes AS n
     LEFT JOIN (SELECT node_id, count(*) AS c FROM v_tasks GROUP BY node_id) AS a USING (node_id)"""
 NEEDS_SQL = "SELECT pipeline_id, component, type AS phase, model, size_kb, CAST(size_kb * 2 AS DOUBLE) AS need_kb FROM v_tasks"
 
 
-def tasks(spark, folder):
-    return view(spark, folder, "v_tasks").select("pipeline_id", "component", F.col("type").alias("phase"), "model", "size_kb")
+def placed_tasks(spark, folder):
+    """The task table of one query, written once: it is read as tasks, as assignments and as load."""
+    return settle(view(spark, folder, "v_tasks").withColumnRenamed("type", "phase"))
 
 
-def assignments(spark, folder):
-    return view(spark, folder, "v_tasks").select("pipeline_id", "component", "node_id")
+def tasks(placed):
+    return placed.select("pipeline_id", "component", "phase", "model", "size_kb")
 
 
-def loaded_nodes(spark, folder):
-    return ops.load_snapshot(view(spark, folder, "v_nodes"), assignments(spark, folder))
+def assignments(placed):
+    return placed.select("pipeline_id", "component", "node_id")
 
 
-def candidates(spark, folder):
-    return ops.heuristic_candidates(loaded_nodes(spark, folder), ops.heuristics_table(spark))
+def loaded_nodes(spark, folder, placed):
+    return settle(ops.load_snapshot(view(spark, folder, "v_nodes"), assignments(placed)))
+
+
+def candidates(spark, folder, placed):
+    return ops.heuristic_candidates(loaded_nodes(spark, folder, placed), ops.heuristics_table(spark))
 
 
 def _rule_values() -> str:
@@ -54,7 +60,7 @@ CANDIDATES_SQL = f"""SELECT r.phase, r.model, n.*, {SORT_CASE.format('s1')} AS s
 
 @query("load_snapshot", f"SELECT node_id, node, load FROM ({LOADED_SQL}) AS n")
 def load_snapshot(spark, folder):
-    return loaded_nodes(spark, folder).select("node_id", "node", "load")
+    return ops.load_snapshot(view(spark, folder, "v_nodes"), view(spark, folder, "v_tasks")).select("node_id", "node", "load")
 
 
 @query("memory_feasible", f"""WITH t AS ({NEEDS_SQL}), n AS ({LOADED_SQL}),
@@ -62,7 +68,7 @@ def load_snapshot(spark, folder):
               FROM (SELECT DISTINCT need_kb FROM t) AS d)
     SELECT pipeline_id, component, size_kb, n_feasible FROM t JOIN needs USING (need_kb)""")
 def memory_feasible(spark, folder):
-    counted = ops.memory_feasible(tasks(spark, folder), view(spark, folder, "v_nodes"))
+    counted = ops.memory_feasible(tasks(placed_tasks(spark, folder)), view(spark, folder, "v_nodes"))
     return counted.select("pipeline_id", "component", "size_kb", "n_feasible")
 
 
@@ -97,7 +103,7 @@ def phase_size(spark, folder):
 
 @query("heuristic_candidates", f"SELECT phase, model, node, load, sort1, sort2 FROM ({CANDIDATES_SQL}) AS c")
 def heuristic_candidates(spark, folder):
-    return candidates(spark, folder).select("phase", "model", "node", "load", "sort1", "sort2")
+    return candidates(spark, folder, placed_tasks(spark, folder)).select("phase", "model", "node", "load", "sort1", "sort2")
 
 
 # One row per distinct need keeps the SQL's inequality join small; every task gets its answer.
@@ -111,7 +117,8 @@ DISTINCT_NEEDS = "SELECT DISTINCT phase, model, need_kb FROM t"
     SELECT pipeline_id, component, phase, model, size_kb, b[4] AS node, b[1] AS load
     FROM t LEFT JOIN best USING (phase, model, need_kb)""")
 def least_loaded_top1(spark, folder):
-    return ops.least_loaded_top1(tasks(spark, folder), candidates(spark, folder))
+    placed = placed_tasks(spark, folder)
+    return ops.least_loaded_top1(tasks(placed), candidates(spark, folder, placed))
 
 
 AFFINITY_SQL = f"""WITH t AS ({NEEDS_SQL}), c AS ({CANDIDATES_SQL}),
@@ -131,7 +138,8 @@ AFFINITY_SQL = f"""WITH t AS ({NEEDS_SQL}), c AS ({CANDIDATES_SQL}),
 
 @query("affinity_top1", AFFINITY_SQL)
 def affinity_top1(spark, folder):
-    return ops.affinity_top1(tasks(spark, folder), candidates(spark, folder), assignments(spark, folder))
+    placed = placed_tasks(spark, folder)
+    return ops.affinity_top1(tasks(placed), candidates(spark, folder, placed), assignments(placed))
 
 
 ACTIVE_SQL = "SELECT DISTINCT pipeline_id FROM v_tasks WHERE type = 'preprocessing' AND pipeline_id % 3 = 0"
@@ -147,9 +155,10 @@ ACTIVE_SQL = "SELECT DISTINCT pipeline_id FROM v_tasks WHERE type = 'preprocessi
     FROM t LEFT JOIN best USING (phase, model, need_kb) LEFT JOIN active ON active.pipeline_id = t.pipeline_id, spare""")
 def fallback_node(spark, folder):
     """Every third pipeline counts as already placed, so only the others fall back."""
-    chosen = ops.least_loaded_top1(tasks(spark, folder), candidates(spark, folder))
-    active = view(spark, folder, "v_tasks").filter("type = 'preprocessing' AND pipeline_id % 3 = 0")
-    return ops.fallback_node(chosen, loaded_nodes(spark, folder), active)
+    placed = placed_tasks(spark, folder)
+    nodes = loaded_nodes(spark, folder, placed)
+    chosen = ops.least_loaded_top1(tasks(placed), ops.heuristic_candidates(nodes, ops.heuristics_table(spark)))
+    return ops.fallback_node(chosen, nodes, placed.filter("phase = 'preprocessing' AND pipeline_id % 3 = 0"))
 
 
 @query("accelerator_score_top1", f"""WITH c AS ({CANDIDATES_SQL}),
@@ -158,8 +167,9 @@ def fallback_node(spark, folder):
     SELECT pipeline_id, component, phase, model, size_kb, b[3] AS node, -b[1] AS score
     FROM ({NEEDS_SQL}) AS t LEFT JOIN best USING (phase, model) WHERE phase = 'training' AND model IN ('nn', 'cnn')""")
 def accelerator_score_top1(spark, folder):
-    networks = tasks(spark, folder).filter((F.col("phase") == "training") & F.col("model").isin(ops.ACCELERATED_MODELS))
-    return ops.accelerator_score_top1(networks, candidates(spark, folder))
+    placed = placed_tasks(spark, folder)
+    networks = tasks(placed).filter((F.col("phase") == "training") & F.col("model").isin(ops.ACCELERATED_MODELS))
+    return ops.accelerator_score_top1(networks, candidates(spark, folder, placed))
 
 
 @query("greedy_top1", f"""WITH t AS ({NEEDS_SQL}), n AS ({LOADED_SQL}),
@@ -167,7 +177,8 @@ def accelerator_score_top1(spark, folder):
              FROM (SELECT DISTINCT need_kb FROM t) AS d JOIN n ON n.free_kb > d.need_kb GROUP BY need_kb)
     SELECT pipeline_id, component, phase, model, size_kb, b[4] AS node FROM t LEFT JOIN best USING (need_kb)""")
 def greedy_top1(spark, folder):
-    return ops.greedy_top1(tasks(spark, folder), loaded_nodes(spark, folder))
+    placed = placed_tasks(spark, folder)
+    return ops.greedy_top1(tasks(placed), loaded_nodes(spark, folder, placed))
 
 
 @query("random_feasible", f"""WITH t AS ({NEEDS_SQL}), n AS ({LOADED_SQL}),
@@ -179,7 +190,7 @@ def greedy_top1(spark, folder):
               FROM t JOIN counted USING (need_kb))
     SELECT pipeline_id, component, phase, model, size_kb, n_feasible, node FROM drawn LEFT JOIN ranked USING (pick)""")
 def random_feasible(spark, folder):
-    return ops.random_feasible(tasks(spark, folder), view(spark, folder, "v_nodes"), ["pipeline_id", "component"])
+    return ops.random_feasible(tasks(placed_tasks(spark, folder)), view(spark, folder, "v_nodes"), ["pipeline_id", "component"])
 
 
 @query("random_order", f"""SELECT pipeline_id,
@@ -205,8 +216,9 @@ def fifo_order(spark, folder):
     FROM t LEFT JOIN best USING (need_kb) LEFT JOIN n ON n.node = b[4]
     LEFT JOIN e ON e.pipeline_id = t.pipeline_id AND e.type = t.phase GROUP BY ALL""")
 def placement_summary(spark, folder):
-    nodes = loaded_nodes(spark, folder)
-    placed = ops.greedy_top1(tasks(spark, folder), nodes)
+    stored = placed_tasks(spark, folder)
+    nodes = loaded_nodes(spark, folder, stored)
+    placed = ops.greedy_top1(tasks(stored), nodes)
     platforms = nodes.select("node", node_platform(F.col("accelerator"), F.col("architecture")).alias("platform"))
     efforts = effort.flat_task_efforts(view(spark, folder, "v_catalog")).withColumnRenamed("type", "phase")
     joined = placed.join(platforms, "node", "left").join(efforts, ["pipeline_id", "phase"], "left")

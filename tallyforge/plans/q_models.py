@@ -11,13 +11,13 @@ from tallyforge.plans.q_prep import TAB_NULLS_SQL, XS, encode_sql, tab_with_null
 from tallyforge.plans.q_runlog import rounded
 from tallyforge.plans.registry import query
 from tallyforge.plans.views import view
-from tallyforge.session import scratch_path
+from tallyforge.session import scratch_path, settle
 from tallyforge.sources.tables import table
 
 
 def clean_tab(df):
     """The steps of the census recipe on the test table."""
-    df = prep.iqr_clip(prep.drop_duplicates(df), XS)
+    df = prep.iqr_clip(settle(prep.drop_duplicates(df)), XS)
     df = prep.map_values(df, "c2", {"O": "open", "F": "filled"})
     return prep.label_encode(df, ["c1", "c2"])
 

@@ -46,12 +46,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialises a small intermediate once, in the shared folder, so lost executors cost nothing."""
-    spark = df.sparkSession
-    root = scratch_root(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    """Writes an intermediate once to the shared folder and reads it back.
+
+    Later uses read only the columns they need, their size is known to the planner, and
+    a lost executor costs a re-read instead of a recomputation. Files stay until the
+    folder of the application is removed.
+    """
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
