@@ -70,8 +70,8 @@ def ready_workers(nodes: DataFrame) -> DataFrame:
 
 
 def parse_quantity(text: Column) -> Column:
-    """The number of a quantity with a two-letter unit: '16384Ki' -> 16384."""
-    return F.regexp_extract(text, r"^(\d+)[A-Za-z]{2}$", 1).cast("bigint")
+    """The number of a quantity with a two-letter unit: '16384Ki' -> 16384; NULL for any other text."""
+    return F.regexp_extract(text, r"^(\d+)[A-Za-z]{2}$", 1).try_cast("bigint")
 
 
 def node_filter_sort(nodes: DataFrame, filters: Mapping[str, object] | None = None, sort: Sequence[str] = (),
