@@ -14,11 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyforge.functions.hashing import HASH_RANGE, hash32
-from tallyforge.functions.ordered import exact_rank
+from tallyforge.functions.ordered import HOT_ROWS, exact_rank
 from tallyforge.session import checked_broadcast, settle
 
 NUMERIC = (T.LongType, T.DoubleType)
 TEXT = (T.StringType,)
+SPLIT_RANGES = 4096
 
 
 def columns_of(df: DataFrame, kinds: tuple[type, ...]) -> list[str]:
@@ -239,15 +240,37 @@ def random_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 4
     return df.withColumn("split", F.when(hash32(quoted(key), F.lit(seed)) < limit, "test").otherwise("train"))
 
 
-def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """ceil(share * n) rows of every class go to test, chosen by hash order."""
+def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.2, seed: int = 42,
+                     hot_rows: int = HOT_ROWS) -> DataFrame:
+    """ceil(share * n) rows of every class go to test, chosen by hash order of the key.
+
+    Hash ranges are counted per class first. A range wholly before or after the class's
+    limit decides its rows where they are; only the one range that holds the limit is
+    ranked, so nearly all rows are neither shuffled nor sorted. Copies of a key are told
+    apart by a row number that is written down with them.
+    """
     names = df.columns
-    hashed = df.withColumns({"_h1": hash32(quoted(key), F.lit(seed)), "_h2": hash32(quoted(key), F.lit(seed + 1))})
-    ranked = exact_rank(hashed, [label], ["_h1", "_h2", key], "_rank")
-    sizes = df.groupBy(quoted(label).alias("_class")).agg(F.ceil(F.count(F.lit(1)) * F.lit(test_share)).alias("_tests"))
-    joined = ranked.join(sizes, F.col(label).eqNullSafe(F.col("_class")))
-    split = F.when(F.col("_rank") <= F.col("_tests"), "test").otherwise("train")
-    return joined.select(*[quoted(c) for c in names], split.alias("split"))
+    hashed = df.withColumn("_h1", hash32(quoted(key), F.lit(seed)))
+    hashed = hashed.withColumn("_range", F.floor(F.col("_h1") / (HASH_RANGE // SPLIT_RANGES)))
+    sizes = hashed.groupBy(quoted(label).alias("_class"), "_range").agg(F.count(F.lit(1)).alias("_n"))
+    # SPLIT_RANGES rows per class meet in these windows.
+    upto = Window.partitionBy("_class").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    limits = sizes.withColumns({
+        "_end": F.sum("_n").over(upto),
+        "_tests": F.ceil(F.sum("_n").over(Window.partitionBy("_class")) * F.lit(test_share)),
+    }).filter((F.col("_tests") > F.col("_end") - F.col("_n")) & (F.col("_tests") <= F.col("_end")))
+    limits = checked_broadcast(limits.select(
+        "_class", F.col("_range").alias("_limit"), (F.col("_tests") - (F.col("_end") - F.col("_n"))).alias("_left")))
+    placed = hashed.join(limits, quoted(label).eqNullSafe(F.col("_class")), "left")
+    on_limit = F.coalesce(F.col("_range") == F.col("_limit"), F.lit(False))
+    clear = placed.filter(~on_limit).withColumn(
+        "split", F.when(F.col("_range") < F.col("_limit"), "test").otherwise("train"))
+    edge = settle(placed.filter(on_limit).withColumns({
+        "_h2": hash32(quoted(key), F.lit(seed + 1)), "_copy": F.monotonically_increasing_id()}))
+    ranked = exact_rank(edge, ["_class"], ["_h1", "_h2", key, "_copy"], "_rank", hot_rows)
+    decided = ranked.withColumn("split", F.when(F.col("_rank") <= F.col("_left"), "test").otherwise("train"))
+    keep = [*[quoted(c) for c in names], F.col("split")]
+    return clear.select(*keep).unionByName(decided.select(*keep))
 
 
 # --- scaling --------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyforge.functions.numbers import round_2dp, std_or_zero, truncate
 from tallyforge.functions.timing import seconds_between, whole_seconds_between
@@ -100,15 +100,16 @@ def wait_avg_multi(runs: DataFrame) -> DataFrame:
 
 
 def against_main(times: DataFrame, main: str, value: str) -> DataFrame:
-    """Every other strategy's time next to the main strategy's, which is one row.
+    """Every other strategy's time next to the main strategy's.
 
-    The main time is a scalar subquery, so no join is planned. Without a main row
-    every comparison is null.
+    `times` has one row per strategy, so the main time is found by a window over those
+    few rows and the runs behind them are read once. Without a main row every
+    comparison is null.
     """
-    main_time = times.filter(F.col("strategy") == main).agg(F.max(value).alias("m")).scalar()
-    return times.filter(F.col("strategy") != main).select(
-        "strategy", F.col(value).cast("double").alias("time_s"), main_time.cast("double").alias("main_s")
-    )
+    everything = Window.partitionBy(F.lit(0))
+    main_time = F.max(F.when(F.col("strategy") == main, F.col(value))).over(everything)
+    paired = times.select("strategy", F.col(value).cast("double").alias("time_s"), main_time.cast("double").alias("main_s"))
+    return paired.filter(F.col("strategy") != main)
 
 
 def _reduction() -> Column:
@@ -156,10 +157,10 @@ def population_std(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return spread.withColumn("std_2dp", round_2dp(F.col("std")))
 
 
-def strategy_table(parts: dict[str, DataFrame], value: str) -> DataFrame:
-    """Long table (strategy, name, value) from one (name, value) frame per strategy."""
-    labelled = [df.select(F.lit(label).alias("strategy"), "name", F.col(value).cast("double").alias(value))
-                for label, df in parts.items()]
+def strategy_table(parts: Sequence[tuple[str | None, DataFrame]], value: str) -> DataFrame:
+    """Long table (strategy, name, value) from (label, frame) pairs; without a label the frame has its own."""
+    labelled = [df.select((F.col("strategy") if label is None else F.lit(label)).alias("strategy"), "name",
+                          F.col(value).cast("double").alias(value)) for label, df in parts]
     return reduce(DataFrame.unionByName, labelled)
 
 
@@ -189,25 +190,35 @@ def plot_series(log: DataFrame) -> DataFrame:
 
 
 def strategy_summary(runs: DataFrame, main: str) -> DataFrame:
-    """Makespan and mean waiting time per strategy with reduction and speed-up of `main`."""
-    spans = makespan_avg_std(runs).select("strategy", "makespan_avg", "makespan_std")
-    waits = wait_avg_multi(runs).select("strategy", "wait_avg", "wait_std")
-    both = spans.join(waits, "strategy", "left")
-    # One pass for both main values: the strategy list is tiny, the runs behind it are not.
-    main_row = both.filter(F.col("strategy") == main).agg(
-        F.max("makespan_avg").alias("makespan"), F.max("wait_avg").alias("wait")
+    """Makespan and mean waiting time per strategy with reduction and speed-up of `main`.
+
+    One pass over the runs: name level, then experiment, then strategy, each a smaller
+    shuffle than the one before.
+    """
+    done = F.col("finished_at").isNotNull() & F.col("scheduled_at").isNotNull()
+    order = F.struct("submitted_at", "run_id")
+    names = runs.groupBy(*EXPERIMENT, "name").agg(
+        F.min(F.when(done, F.col("scheduled_at"))).alias("_first"),
+        F.max(F.when(done, F.col("finished_at"))).alias("_last"),
+        F.max(F.when(_wait_seconds().isNotNull(), F.struct(order.alias("o"), _wait_seconds().alias("wait_s")))).alias("_wait"),
     )
-    paired = both.withColumn("_main", main_row.select(F.struct("makespan", "wait").alias("m")).scalar())
-
-    def versus(value: str, main_value: str, out: str) -> list[Column]:
-        other = F.col("strategy") != main
-        t, m = F.col(value), F.col(f"_main.{main_value}")
-        return [
-            F.when(other, F.try_divide(m - t, t) * 100).alias(f"{out}_reduction"),
-            F.when(other, F.try_divide(t, m)).alias(f"{out}_speedup"),
-        ]
-
-    return paired.select(
-        "strategy", "makespan_avg", "makespan_std", *versus("makespan_avg", "makespan", "makespan"),
-        "wait_avg", "wait_std", *versus("wait_avg", "wait", "wait"),
+    experiments = names.groupBy(*EXPERIMENT).agg(
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.avg("_wait.wait_s").alias("_wait"))
+    spans = experiments.withColumn("_span", whole_seconds_between(F.col("_first"), F.col("_last")))
+    both = spans.groupBy("strategy").agg(
+        F.avg("_span").alias("makespan_avg"), std_or_zero(F.col("_span")).alias("makespan_std"),
+        F.avg("_wait").alias("wait_avg"), std_or_zero(F.col("_wait")).alias("wait_std"),
+    ).filter("makespan_avg IS NOT NULL")
+    everything = Window.partitionBy(F.lit(0))
+
+    def versus(value: str, out: str) -> list[Column]:
+        """Comparison with the main row; one row per strategy meets in the window."""
+        t, other = F.col(value), F.col("strategy") != main
+        m = F.max(F.when(F.col("strategy") == main, t)).over(everything)
+        return [F.when(other, F.try_divide(m - t, t) * 100).alias(f"{out}_reduction"),
+                F.when(other, F.try_divide(t, m)).alias(f"{out}_speedup")]
+
+    return both.select(
+        "strategy", "makespan_avg", "makespan_std", *versus("makespan_avg", "makespan"),
+        "wait_avg", "wait_std", *versus("wait_avg", "wait"),
     )

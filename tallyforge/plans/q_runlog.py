@@ -162,8 +162,9 @@ def strategy_table(spark, folder):
     """Four own schedulers and one external one, whose times keep their fraction."""
     runs = _runs(spark, folder)
     own = ops.run_exec_avg_std(runs)
-    parts = {s: own.filter(F.col("strategy") == s) for s in ("click", "error", "purchase", "signup")}
-    parts["view"] = ops.external_exec_avg_std(runs.filter(F.col("strategy") == "view"))
+    schedulers = own.filter(F.col("strategy").isin("click", "error", "purchase", "signup"))
+    external = ops.external_exec_avg_std(runs.filter(F.col("strategy") == "view"))
+    parts = [(None, schedulers), ("view", external)]
     return rounded(ops.strategy_table(parts, "exec_avg"), "exec_avg")
 
 

@@ -79,6 +79,16 @@ def test_splits_are_disjoint_complete_and_exact(spark):
     assert one == many and len(one) == 1003
 
 
+@pytest.mark.parametrize("hot_rows", [10, 10**6])
+def test_stratified_split_of_copies_is_exact(spark, hot_rows):
+    # One key holds two thirds of its class, the classes NULL and 2 are tiny.
+    rows = [("same", 1)] * 400 + [(f"k{i}", 1) for i in range(200)] + [("x", None), ("y", None), ("z", 2)]
+    df = spark.createDataFrame(rows, "k string, label int").repartition(6)
+    split = prep.stratified_split(df, "k", "label", hot_rows=hot_rows)
+    sizes = {(r["label"], r["split"]): r["count"] for r in split.groupBy("label", "split").count().collect()}
+    assert sizes == {(1, "test"): 120, (1, "train"): 480, (None, "test"): 1, (None, "train"): 1, (2, "test"): 1}
+
+
 def test_reshape_round_trip_and_wrong_size(spark):
     df = spark.createDataFrame([([float(i) for i in range(12)],)], "x array<double>")
     nested = df.select(prep.reshape_array(F.col("x"), [2, 3, 2]).alias("y")).first()["y"]
