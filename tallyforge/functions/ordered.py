@@ -9,7 +9,9 @@ piece, and stitch the pieces together with one total per piece:
 - a bin or key that still holds too many rows is cut again at sampled positions of the
   full order.
 
-Bins and cut points only balance the work; the results are exact whatever they are.
+Whether a key or bin is too large is measured before the plan is built, by one count
+per key that combines map-side. Bins and cut points only balance the work; the results
+are exact whatever they are.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tallyforge.session import settle
 
 BINS = 1 << 16
+BIN_ROWS = 2000
 SLICES = 1024
 SAMPLE_PER_SLICE = 8
 HOT_ROWS = 1_000_000
@@ -57,7 +60,7 @@ def slice_of(cuts: Column, key: Column, slices: int = SLICES) -> Column:
 
 
 def coarse_bin(df: DataFrame, column: str, bins: int = BINS) -> Column:
-    """A bin number in [0, bins) that never decreases with `column`; NULL goes first.
+    """A bin number below `bins` that never decreases with `column`; NULL goes first.
 
     Numbers are cut evenly between the least and greatest value, text by its first two bytes.
     """
@@ -65,36 +68,41 @@ def coarse_bin(df: DataFrame, column: str, bins: int = BINS) -> Column:
         lead = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 2)), 4, "0")
         return F.coalesce(F.conv(lead, 16, 10).cast("int"), F.lit(-1))
     value = F.col(column).cast("double")
-    ends = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high")).alias("e")).scalar()
-    place = F.try_divide((value - ends["low"]) * (bins - 1), ends["high"] - ends["low"])
-    return F.when(value.isNull(), -1).otherwise(F.coalesce(place, F.lit(0.0)).cast("int"))
+    ends = df.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    # Few rows need few bins: a bin should hold enough rows to be worth a total of its own.
+    bins = max(2, min(bins, ends["n"] // BIN_ROWS))
+    width = (ends["high"] - ends["low"]) / (bins - 1) if ends["low"] is not None else 0.0
+    if not 0.0 < width < float("inf"):
+        return F.when(value.isNull(), -1).otherwise(0)
+    return F.when(value.isNull(), -1).otherwise(((value - F.lit(ends["low"])) / F.lit(width)).cast("int"))
 
 
-def _with_pieces(df: DataFrame, part: Sequence[str], order: Sequence[str], hot_rows: int) -> DataFrame:
-    """Adds `_slice`: -1 for ordinary parts, a slice number for the rows of hot parts.
+def _with_pieces(df: DataFrame, part: Sequence[str], order: Sequence[str], hot_rows: int) -> tuple[DataFrame, bool]:
+    """Adds `_slice`: -1 for ordinary parts, a slice number for the rows of hot parts; and whether there are any.
 
-    Hot parts hold more than `hot_rows` rows. Only the 1000 largest are looked up, so the
-    list is safe to broadcast; any other part holds less than a thousandth of the table.
+    Hot parts hold more than `hot_rows` rows. The 1000 largest are looked up, so their
+    list is safe to hold and broadcast; any other part holds less than a thousandth of
+    the table.
     """
-    kept = df.columns
     counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
-    largest = counts.orderBy(F.desc("_rows")).limit(HOT_PARTS)
-    hot = largest.select(*[F.col(c).alias(f"_h_{c}") for c in part],
-                         F.sum("_rows").over(Window.partitionBy(F.lit(0))).cast("double").alias("_total"))
-    marked = df.join(F.broadcast(hot), _same_keys(part, "_h_"), "left").select(*kept, "_total")
-    is_hot = F.col("_total").isNotNull()
+    hot = counts.orderBy(F.desc("_rows")).limit(HOT_PARTS).collect()
+    if not hot:
+        return df.withColumn("_slice", F.lit(-1)), False
+    listed = df.sparkSession.createDataFrame(hot, counts.schema).select(
+        *[F.col(c).alias(f"_h_{c}") for c in part], F.lit(True).alias("_hot"))
+    marked = df.join(F.broadcast(listed), _same_keys(part, "_h_"), "left").select(*df.columns, "_hot")
     key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    cuts = cut_points(marked.filter("_hot"), key, F.lit(float(sum(r["_rows"] for r in hot))))
     # The cut points are named once, so the optimizer keeps them inside the expression
     # and never copies the array into the rows.
-    cuts = cut_points(marked.filter(is_hot), key, F.col("_total"))
     staged = marked.select("*", key.alias("_key"), cuts.alias("_cuts"))
-    place = F.when(is_hot, slice_of(F.col("_cuts"), F.col("_key")))
-    return staged.select(*kept, F.coalesce(place, F.lit(-1)).alias("_slice"))
+    place = F.when(F.col("_hot"), slice_of(F.col("_cuts"), F.col("_key")))
+    return staged.select(*df.columns, F.coalesce(place, F.lit(-1)).alias("_slice")), True
 
 
 def in_pieces(df: DataFrame, order: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds (_bin, _slice), which never decrease along `order` over the whole table."""
-    return _with_pieces(df.withColumn("_bin", coarse_bin(df, order[0])), ["_bin"], order, hot_rows)
+    return _with_pieces(df.withColumn("_bin", coarse_bin(df, order[0])), ["_bin"], order, hot_rows)[0]
 
 
 def exact_rank(df: DataFrame, part: Sequence[str], order: Sequence[str], out: str = "rn",
@@ -105,7 +113,10 @@ def exact_rank(df: DataFrame, part: Sequence[str], order: Sequence[str], out: st
     plain window.
     """
     if part:
-        pieces, keys = _with_pieces(df, part, order, hot_rows), [*part, "_slice"]
+        pieces, any_hot = _with_pieces(df, part, order, hot_rows)
+        if not any_hot:
+            return df.withColumn(out, F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("bigint"))
+        keys = [*part, "_slice"]
         totals, before = pieces.filter(F.col("_slice") >= 0), Window.partitionBy(*part).orderBy("_slice")
     else:
         pieces, keys = in_pieces(df, order, hot_rows), ["_bin", "_slice"]
