@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyforge.functions.numbers import round_2dp, std_or_zero, truncate
-from tallyforge.functions.timing import seconds_between, whole_seconds_between
+from tallyforge.functions.timing import micros_between, whole_seconds_between
 
 EXPERIMENT = ("strategy", "experiment")
 
@@ -27,9 +27,13 @@ def _wait_seconds() -> Column:
     return whole_seconds_between(F.col("submitted_at"), F.col("scheduled_at"))
 
 
-def mean_and_spread(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Mean and population spread of `value` per `keys`, exact and with two decimals."""
-    mean, spread = F.avg(value), std_or_zero(F.col(value))
+def mean_and_spread(df: DataFrame, keys: Sequence[str], value: str, name: str, per: float = 1.0) -> DataFrame:
+    """Mean and population spread of `value` per `keys`, exact and with two decimals.
+
+    `per` converts the unit after averaging: sums of whole microseconds are exact in any
+    order, sums of fractions of a second are not.
+    """
+    mean, spread = F.avg(value) / F.lit(per), std_or_zero(F.col(value)) / F.lit(per)
     stats = df.groupBy(*keys).agg(mean.alias(f"{name}_avg"), spread.alias(f"{name}_std"))
     return stats.select(
         *keys,
@@ -134,21 +138,25 @@ def speedup_ratio(times: DataFrame, main: str, value: str) -> DataFrame:
     )
 
 
-def external_makespan(runs: DataFrame) -> DataFrame:
-    """External runner: first creation (submitted_at) to last finish, fraction kept."""
+def _external_span(runs: DataFrame) -> DataFrame:
     done = runs.filter(F.col("finished_at").isNotNull())
     span = done.groupBy(*EXPERIMENT).agg(F.min("submitted_at").alias("_first"), F.max("finished_at").alias("_last"))
-    return span.select(*EXPERIMENT, seconds_between(F.col("_first"), F.col("_last")).alias("makespan_s"))
+    return span.select(*EXPERIMENT, micros_between(F.col("_first"), F.col("_last")).alias("_us"))
+
+
+def external_makespan(runs: DataFrame) -> DataFrame:
+    """External runner: first creation (submitted_at) to last finish, fraction kept."""
+    return _external_span(runs).select(*EXPERIMENT, (F.col("_us") / F.lit(1e6)).alias("makespan_s"))
 
 
 def external_makespan_avg_std(runs: DataFrame) -> DataFrame:
-    return mean_and_spread(external_makespan(runs), ["strategy"], "makespan_s", "makespan")
+    return mean_and_spread(_external_span(runs), ["strategy"], "_us", "makespan", per=1e6)
 
 
 def external_exec_avg_std(runs: DataFrame) -> DataFrame:
     """External runner: every run counts, with its fraction of a second."""
-    timed = runs.select("strategy", "name", seconds_between(F.col("scheduled_at"), F.col("finished_at")).alias("exec_s"))
-    return mean_and_spread(timed.filter("exec_s IS NOT NULL"), ["strategy", "name"], "exec_s", "exec")
+    timed = runs.select("strategy", "name", micros_between(F.col("scheduled_at"), F.col("finished_at")).alias("_us"))
+    return mean_and_spread(timed.filter("_us IS NOT NULL"), ["strategy", "name"], "_us", "exec", per=1e6)
 
 
 def population_std(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

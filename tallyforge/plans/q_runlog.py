@@ -14,14 +14,13 @@ MAIN = "purchase"
 
 WHOLE_EXEC = "CAST(trunc((epoch_us(finished_at) - epoch_us(scheduled_at)) / 1e6) AS BIGINT)"
 WHOLE_WAIT = "CAST(trunc((epoch_us(scheduled_at) - epoch_us(submitted_at)) / 1e6) AS BIGINT)"
-FRACTION_EXEC = "(epoch_us(finished_at) - epoch_us(scheduled_at)) / 1e6"
+MICROS_EXEC = "epoch_us(finished_at) - epoch_us(scheduled_at)"
 
 MAKESPAN_SQL = """SELECT strategy, experiment,
     CAST(trunc((epoch_us(max(finished_at)) - epoch_us(min(scheduled_at))) / 1e6) AS BIGINT) AS makespan_s
     FROM v_runs GROUP BY strategy, experiment"""
 
-KFP_MAKESPAN_SQL = """SELECT strategy, experiment,
-    (epoch_us(max(finished_at)) - epoch_us(min(submitted_at))) / 1e6 AS makespan_s
+KFP_SPAN_SQL = """SELECT strategy, experiment, epoch_us(max(finished_at)) - epoch_us(min(submitted_at)) AS us
     FROM v_runs GROUP BY strategy, experiment"""
 
 
@@ -38,10 +37,13 @@ WAIT_AVG_SQL = f"""SELECT strategy, experiment, avg(wait_s) AS wait_avg
     FROM ({last_per_name(WHOLE_WAIT, 'wait_s')}) AS w GROUP BY strategy, experiment"""
 
 
-def stats_sql(inner: str, keys: str, value: str, name: str) -> str:
-    return f"""SELECT {keys}, round(avg({value}), 6) AS {name}_avg, round(stddev_pop({value}), 6) AS {name}_std,
-    CAST(format('{{:.2f}}', avg({value})) AS DOUBLE) AS {name}_avg_2dp,
-    CAST(format('{{:.2f}}', stddev_pop({value})) AS DOUBLE) AS {name}_std_2dp
+def stats_sql(inner: str, keys: str, value: str, name: str, digits: str = "", per: str = "1") -> str:
+    """Means of whole numbers are exact in both engines; `digits` rounds means of fractions."""
+    mean = f"avg({value}) / {per}"
+    shown = f"round({mean}, {digits})" if digits else mean
+    return f"""SELECT {keys}, {shown} AS {name}_avg, round(stddev_pop({value}) / {per}, 6) AS {name}_std,
+    CAST(format('{{:.2f}}', {mean}) AS DOUBLE) AS {name}_avg_2dp,
+    CAST(format('{{:.2f}}', stddev_pop({value}) / {per}) AS DOUBLE) AS {name}_std_2dp
     FROM ({inner}) AS per_group GROUP BY {keys}"""
 
 
@@ -61,7 +63,7 @@ def makespan(spark, folder):
 
 @query("makespan_avg_std", stats_sql(MAKESPAN_SQL, "strategy", "makespan_s", "makespan"))
 def makespan_avg_std(spark, folder):
-    return rounded(ops.makespan_avg_std(_runs(spark, folder)), "makespan_avg", "makespan_std")
+    return rounded(ops.makespan_avg_std(_runs(spark, folder)), "makespan_std")
 
 
 @query("run_exec_times", last_per_name(WHOLE_EXEC, "exec_s"))
@@ -71,7 +73,7 @@ def run_exec_times(spark, folder):
 
 @query("run_exec_avg_std", stats_sql(last_per_name(WHOLE_EXEC, "exec_s"), "strategy, name", "exec_s", "exec"))
 def run_exec_avg_std(spark, folder):
-    return rounded(ops.run_exec_avg_std(_runs(spark, folder)), "exec_avg", "exec_std")
+    return rounded(ops.run_exec_avg_std(_runs(spark, folder)), "exec_std")
 
 
 @query("total_wait", TOTAL_WAIT_SQL)
@@ -81,7 +83,7 @@ def total_wait(spark, folder):
 
 @query("total_wait_avg_std", stats_sql(TOTAL_WAIT_SQL, "strategy", "total_wait_s", "total_wait"))
 def total_wait_avg_std(spark, folder):
-    return rounded(ops.total_wait_avg_std(_runs(spark, folder)), "total_wait_avg", "total_wait_std")
+    return rounded(ops.total_wait_avg_std(_runs(spark, folder)), "total_wait_std")
 
 
 @query("run_wait_times", last_per_name(WHOLE_WAIT, "wait_s"))
@@ -91,7 +93,7 @@ def run_wait_times(spark, folder):
 
 @query("run_wait_avg_std", stats_sql(last_per_name(WHOLE_WAIT, "wait_s"), "strategy, name", "wait_s", "wait"))
 def run_wait_avg_std(spark, folder):
-    return rounded(ops.run_wait_avg_std(_runs(spark, folder)), "wait_avg", "wait_std")
+    return rounded(ops.run_wait_avg_std(_runs(spark, folder)), "wait_std")
 
 
 @query("wait_avg", f"""SELECT strategy, experiment, round(wait_avg, 6) AS wait_avg,
@@ -100,7 +102,7 @@ def wait_avg(spark, folder):
     return rounded(ops.wait_avg(_runs(spark, folder)), "wait_avg")
 
 
-@query("wait_avg_multi", stats_sql(WAIT_AVG_SQL, "strategy", "wait_avg", "wait"))
+@query("wait_avg_multi", stats_sql(WAIT_AVG_SQL, "strategy", "wait_avg", "wait", digits="6"))
 def wait_avg_multi(spark, folder):
     return rounded(ops.wait_avg_multi(_runs(spark, folder)), "wait_avg", "wait_std")
 
@@ -127,20 +129,20 @@ def speedup_ratio(spark, folder):
     return rounded(ops.speedup_ratio(times, MAIN, "makespan_avg"), "speedup")
 
 
-@query("kfp_makespan", KFP_MAKESPAN_SQL)
+@query("kfp_makespan", f"SELECT strategy, experiment, us / 1e6 AS makespan_s FROM ({KFP_SPAN_SQL}) AS s")
 def kfp_makespan(spark, folder):
     return ops.external_makespan(_runs(spark, folder))
 
 
-@query("kfp_makespan_avg_std", stats_sql(KFP_MAKESPAN_SQL, "strategy", "makespan_s", "makespan"))
+@query("kfp_makespan_avg_std", stats_sql(KFP_SPAN_SQL, "strategy", "us", "makespan", per="1e6"))
 def kfp_makespan_avg_std(spark, folder):
-    return rounded(ops.external_makespan_avg_std(_runs(spark, folder)), "makespan_avg", "makespan_std")
+    return rounded(ops.external_makespan_avg_std(_runs(spark, folder)), "makespan_std")
 
 
 @query("kfp_exec_avg_std",
-       stats_sql(f"SELECT strategy, name, {FRACTION_EXEC} AS exec_s FROM v_runs", "strategy, name", "exec_s", "exec"))
+       stats_sql(f"SELECT strategy, name, {MICROS_EXEC} AS us FROM v_runs", "strategy, name", "us", "exec", per="1e6"))
 def kfp_exec_avg_std(spark, folder):
-    return rounded(ops.external_exec_avg_std(_runs(spark, folder)), "exec_avg", "exec_std")
+    return rounded(ops.external_exec_avg_std(_runs(spark, folder)), "exec_std")
 
 
 @query("population_std", """SELECT event_type, round(coalesce(stddev_pop(value), 0), 6) AS std,
@@ -152,12 +154,12 @@ def population_std(spark, folder):
 STRATEGY_TABLE_SQL = " UNION ALL ".join(
     [f"""SELECT '{s}' AS strategy, name, avg(exec_s) AS exec_avg FROM ({last_per_name(WHOLE_EXEC, 'exec_s')}) AS e
          WHERE strategy = '{s}' GROUP BY name""" for s in ("click", "error", "purchase", "signup")]
-    + [f"SELECT 'view' AS strategy, name, avg({FRACTION_EXEC}) AS exec_avg FROM v_runs WHERE strategy = 'view' GROUP BY name"]
+    + [f"SELECT 'view' AS strategy, name, avg({MICROS_EXEC}) / 1e6 AS exec_avg FROM v_runs WHERE strategy = 'view' GROUP BY name"]
 )
 
 
 @query("strategy_table",
-       f"SELECT strategy, name, round(exec_avg, 6) AS exec_avg FROM ({STRATEGY_TABLE_SQL}) AS parts")
+       STRATEGY_TABLE_SQL)
 def strategy_table(spark, folder):
     """Four own schedulers and one external one, whose times keep their fraction."""
     runs = _runs(spark, folder)
@@ -165,7 +167,7 @@ def strategy_table(spark, folder):
     schedulers = own.filter(F.col("strategy").isin("click", "error", "purchase", "signup"))
     external = ops.external_exec_avg_std(runs.filter(F.col("strategy") == "view"))
     parts = [(None, schedulers), ("view", external)]
-    return rounded(ops.strategy_table(parts, "exec_avg"), "exec_avg")
+    return ops.strategy_table(parts, "exec_avg")
 
 
 COUNTER_LOG_SQL = """SELECT epoch_us(ts) / 1e6 AS timestamp,
