@@ -54,7 +54,8 @@ def free_memory_avg_stream(spark, folder):
     return local_times(closed, "window_start", "window_end")
 
 
-@query("namespace_memory_avg_stream", f"SELECT * FROM ({OWN_SQL}) AS f WHERE window_end <= {WATERMARK_SQL}")
+@query("namespace_memory_avg_stream", f"""SELECT * FROM ({OWN_SQL}) AS f WHERE window_end <=
+    (SELECT max(ts) - INTERVAL 10 MINUTE FROM events WHERE event_type IN ('click', 'view'))""")
 def namespace_memory_avg_stream(spark, folder):
     closed = jobs.run_available(jobs.namespace_memory(gauges(spark, folder)), name="own-memory")
     return local_times(closed, "window_start", "window_end")

@@ -90,8 +90,11 @@ def free_memory(metrics: DataFrame, delay: str = DELAY) -> DataFrame:
 
 
 def namespace_memory(metrics: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Two chained aggregations: sum per instant, then mean per sliding span."""
-    return nodes.namespace_memory_avg(event_time(metrics, "ts", delay))
+    """Two chained aggregations: sum per instant, then mean per sliding span.
+
+    Only readings of the own namespace move the watermark; Spark filters before it anyway.
+    """
+    return nodes.namespace_memory_avg(event_time(nodes.own_containers(metrics), "ts", delay))
 
 
 def state_deltas(changes: DataFrame, every: str = "1 minute", delay: str = DELAY) -> DataFrame:
