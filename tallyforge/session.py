@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+# Folders of local applications without a setting of their own.
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def build_session(master: str | None = None, app: str = "tallyforge", **conf) -> SparkSession:
     """A session with adaptive execution and UTC time; `conf` entries use `__` for dots."""
@@ -35,9 +38,10 @@ def scratch_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="tallyforge-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="tallyforge-")
+    return _LOCAL_ROOTS[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

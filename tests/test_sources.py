@@ -89,3 +89,27 @@ def test_wrong_header_is_an_error(spark, tmp_path):
     (tmp_path / "a.csv").write_text("b,a\n1,2\n")
     with pytest.raises(Exception):
         files.read_csv(spark, str(tmp_path / "a.csv"), "a int, b int").collect()
+
+
+class Conf:
+    def __init__(self, value):
+        self.value = value
+
+    def get(self, key, default):
+        return self.value or default
+
+
+class Session:
+    """Just what the scratch folder is chosen from."""
+
+    def __init__(self, master, folder):
+        self.conf = Conf(folder)
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app-{master}"})
+
+
+def test_scratch_folder_is_the_shared_one():
+    assert session.scratch_root(Session("yarn", "/shared")) == "/shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_root(Session("yarn", None))
+    local = Session("local[2]", None)
+    assert session.scratch_root(local) == session.scratch_root(local)
