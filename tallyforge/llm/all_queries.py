@@ -1,6 +1,6 @@
 """Importing this module registers every corpus query."""
 
 from tallyforge.llm import (  # noqa: F401
-    line_dedup, quality,
+    byte_bpe, line_dedup, quality, simhash,
 )
 from tallyforge.llm.common import ORACLES, QUERIES  # noqa: F401
