@@ -93,8 +93,8 @@ def pieces(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERL
         F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"), "text")
     long = settle(base.where(F.col("n") > chunk_chars).withColumn("row", F.sha2("text", 256)).groupBy(*_KEY)
                   .agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"), F.first("n").alias("n")))
-    chunks = (long.select(*_KEY, "text", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk_chars))).cast("long").alias("k"))
-              .select(*_KEY, "k", F.substring("text", F.col("k") * chunk_chars + 1, F.lit(chunk_chars + overlap)).alias("text")))
+    chunks = (long.select(*_KEY, "text", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk_chars))).alias("k"))
+              .select(*_KEY, "k", F.substring("text", (F.col("k") * chunk_chars + 1).cast("int"), F.lit(chunk_chars + overlap)).alias("text")))
     cuts = _resynchronised(chunks, chunk_chars, overlap)
     same = F.col("l.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("l.row") == F.col("c.row"))
     marks = F.concat(F.array(F.lit(0).cast("long")), F.col("cuts"), F.array(F.col("n").cast("long")))
@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERL
            .select("l.doc_id", "l.row", "copies", "text", marks.alias("marks"))
            .select(*_KEY, "copies", "text", "marks", F.explode(F.sequence(F.lit(0), F.size("marks") - 2)).alias("piece"))
            .select(*_KEY, "copies", "piece", (F.size("marks") - 1).alias("n_pieces"),
-                   F.substring("text", F.get("marks", "piece") + 1, F.get("marks", F.col("piece") + 1) - F.get("marks", "piece")).alias("text")))
+                   F.substring("text", (F.get("marks", "piece") + 1).cast("int"), (F.get("marks", F.col("piece") + 1) - F.get("marks", "piece")).cast("int")).alias("text")))
     return short.unionByName(cut.repartition(*_KEY, "piece"))
 
 
