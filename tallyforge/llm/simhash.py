@@ -1,18 +1,24 @@
 """SimHash near-dedup over vantage-point trees.
 
 A fingerprint has a bit where more than half of the text's shingle hashes have it. Equal
-fingerprints are one point. Points are dealt to shards by a vantage-point tree: at each node the
+fingerprints are one point. Points are dealt to shards by vantage-point trees: at each node the
 Hamming distance to the vantage point, against the node's radius, says inside or outside. By the
-triangle inequality a point can only have neighbours within `max_bits` across a boundary if its
-own distance is that close to the radius, so only such points visit the other side as well. Each
+triangle inequality a point can only have neighbours within reach across a boundary if its own
+distance is that close to the radius, so only such points visit the other side as well. Each
 shard then joins its points with themselves and with its visitors, by a local tree of the same
-kind that prunes until a block is small enough to compare bit by bit. Every pair within
-`max_bits` meets in the shard in which one of the two is at home, so the links are exact.
+kind that prunes until a block is small enough to compare bit by bit.
+
+There is a tree for each of `TREES` groups of bits. Two fingerprints within `max_bits` are within
+`max_bits // TREES` on at least one group, and distances on a group obey the triangle inequality
+too. A narrow reach leaves few points near a boundary: on random fingerprints a level of the tree
+multiplies visitors by 1.3, where one tree over all 64 bits with reach 4 multiplies them by 1.7.
+Every pair within `max_bits` meets in a shard in which one of the two is at home, and is compared
+on all bits, so the links are exact.
 
 A shard hands on a spanning forest of the links it found, not all pairs, so a group of thousands
 of near copies costs as many links as it has members. Components are found by Spark joins.
 
-The tree is fitted on at most `sample_rows` points, picked by hash; it decides where points meet,
+The trees are fitted on at most `sample_rows` points, picked by hash; they decide where points meet,
 never whether. Null texts have no words and the fingerprint zero. Rows with a null doc_id link
 like others but name no component: where all have none, component_id is null. Repeated rows and
 repeated ids are rows of their own.
@@ -31,6 +37,7 @@ from tallyforge.llm.common import extended, query, table
 from tallyforge.llm.components import components
 from tallyforge.session import settle
 
+TREES = 3
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -127,16 +134,16 @@ def _compare(points: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int, fo
             found(part[i], b[j])
 
 
-def near_pairs(points: np.ndarray, a: np.ndarray, b: np.ndarray | None, max_bits: int, found: Found, depth: int = 0) -> None:
-    """Calls `found` with index pairs within `max_bits`: of `a` with `b`, or of `a` with itself where `b` is None."""
+def near_pairs(points: np.ndarray, seen: np.ndarray, a: np.ndarray, b: np.ndarray | None, reach: int, max_bits: int, found: Found, depth: int = 0) -> None:
+    """Calls `found` with index pairs within `max_bits` that are within `reach` on the bits in `seen`: of `a` with `b`, or of `a` with itself where `b` is None."""
     mates = a if b is None else b
     if not len(a) or not len(mates):
         return
     if len(a) * len(mates) <= 1 << 18 or depth >= 40 or len(a) < 64:
         _compare(points, a, mates, max_bits, found)
         return
-    pivot = points[a[(len(a) * 7919 // 16_001) % len(a)]]
-    far_a = bits_between(points[a], pivot)
+    pivot = seen[a[7919 * (depth + 1) % len(a)]]
+    far_a = bits_between(seen[a], pivot)
     radius = int(np.median(far_a))
     inside = far_a <= radius
     if inside.all():
@@ -146,13 +153,13 @@ def near_pairs(points: np.ndarray, a: np.ndarray, b: np.ndarray | None, max_bits
             _compare(points, a, mates, max_bits, found)
             return
     if b is None:
-        near_pairs(points, a[inside], None, max_bits, found, depth + 1)
-        near_pairs(points, a[~inside], None, max_bits, found, depth + 1)
-        near_pairs(points, a[inside & (far_a > radius - max_bits)], a[~inside & (far_a <= radius + max_bits)], max_bits, found, depth + 1)
+        near_pairs(points, seen, a[inside], None, reach, max_bits, found, depth + 1)
+        near_pairs(points, seen, a[~inside], None, reach, max_bits, found, depth + 1)
+        near_pairs(points, seen, a[inside & (far_a > radius - reach)], a[~inside & (far_a <= radius + reach)], reach, max_bits, found, depth + 1)
     else:
-        far_b = bits_between(points[b], pivot)
-        near_pairs(points, a[inside], b[far_b <= radius + max_bits], max_bits, found, depth + 1)
-        near_pairs(points, a[~inside], b[far_b > radius - max_bits], max_bits, found, depth + 1)
+        far_b = bits_between(seen[b], pivot)
+        near_pairs(points, seen, a[inside], b[far_b <= radius + reach], reach, max_bits, found, depth + 1)
+        near_pairs(points, seen, a[~inside], b[far_b > radius - reach], reach, max_bits, found, depth + 1)
 
 
 class Forest:
@@ -176,39 +183,46 @@ class Forest:
                 self.root = up
 
 
-def shard_links(points: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(points: np.ndarray, seen: np.ndarray, home: np.ndarray, reach: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that connect what the links among `points` at home, and between them and visitors, connect."""
     forest = Forest(len(points))
     own, visitors = np.flatnonzero(home), np.flatnonzero(~home)
-    near_pairs(points, own, None, max_bits, forest.link)
-    near_pairs(points, own, visitors, max_bits, forest.link)
+    near_pairs(points, seen, own, None, reach, max_bits, forest.link)
+    near_pairs(points, seen, own, visitors, reach, max_bits, forest.link)
     hung = np.flatnonzero(forest.root != np.arange(len(points)))
     return hung, forest.root[hung]
 
 
-def near_links(nodes: DataFrame, max_bits: int = 4, sample_rows: int = 65_536, shard_rows: int = 4096) -> DataFrame:
-    """Links a, b (node ids) that connect exactly the `nodes` (node, fp; fp unique) within `max_bits` of each other."""
-    total = nodes.count()
-    if total < 2:
-        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    share = max(4, -(-total // sample_rows))
+def near_links(nodes: DataFrame, max_bits: int = 4, sample_rows: int = 65_536, shard_rows: int = 32_768) -> DataFrame:
+    """Links a, b (node ids) that connect exactly the `nodes` (node, fp; fp unique) within `max_bits` of each other.
+
+    Each level of a tree makes more visitors, so shards are as large as a task easily holds (a point is 17 bytes).
+    """
+    share = max(4, -(-nodes.count() // sample_rows))
     rows = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).select("fp").toPandas().fp.to_numpy(np.int64)
     sample = np.random.default_rng(7).permutation(np.sort(rows).view(np.uint64))
-    tree, shards = grow(sample, max(16, shard_rows // share))
+    cut = np.linspace(0, 64, TREES + 1).astype(int).tolist()
+    masks = [np.uint64((1 << b) - (1 << a)) for a, b in zip(cut, cut[1:])]
+    grown = [grow(sample & mask, max(16, shard_rows // share)) for mask in masks]
+    first = np.cumsum([0, *(n for _, n in grown)])
+    trees = [tree for tree, _ in grown]
+    reach = max_bits // TREES
 
     def deal(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
+            for start in range(0, batch.num_rows, 65_536):
+                part = batch.slice(start, 65_536)
                 fps = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                for shard, at, home in route(tree, fps, max_bits):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), shard, np.int32)), part.column(0).take(pa.array(at)), pa.array(fps[at].view(np.int64)), pa.array(home)],
-                        names=["shard", "node", "fp", "home"])
+                for k, tree in enumerate(trees):
+                    for shard, at, home in route(tree, fps & masks[k], reach):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(at), first[k] + shard, np.int32)), part.column(0).take(pa.array(at)),
+                             pa.array(fps[at].view(np.int64)), pa.array(home)], names=["shard", "node", "fp", "home"])
 
     def join(shard: pa.Table) -> pa.Table:
         fps = shard.column("fp").to_numpy().view(np.uint64)
-        i, j = shard_links(fps, shard.column("home").to_numpy(zero_copy_only=False).astype(bool), max_bits)
+        k = int(np.searchsorted(first, shard.column("shard")[0].as_py(), side="right")) - 1
+        i, j = shard_links(fps, fps & masks[k], shard.column("home").to_numpy(zero_copy_only=False).astype(bool), reach, max_bits)
         ids = shard.column("node").to_numpy()
         return pa.table({"a": pa.array(ids[i], pa.int64()), "b": pa.array(ids[j], pa.int64())})
 
@@ -216,7 +230,7 @@ def near_links(nodes: DataFrame, max_bits: int = 4, sample_rows: int = 65_536, s
             .groupBy("shard").applyInArrow(join, "a long, b long"))
 
 
-def near_dedup(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4, sample_rows: int = 65_536, shard_rows: int = 4096) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4, sample_rows: int = 65_536, shard_rows: int = 32_768) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable over links), one row per row of `docs`."""
     marked = settle(fingerprints(docs, shingle_words))
     nodes = settle(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
