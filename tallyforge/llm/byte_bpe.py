@@ -84,8 +84,8 @@ def _resynchronised(chunks: DataFrame, chunk_chars: int, overlap: int) -> DataFr
             .groupBy(*_KEY).agg(F.array_sort(F.collect_list("cut")).alias("cuts")))
 
 
-def pieces(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, row (null for texts of one chunk), copies, piece, n_pieces and text."""
+def pieces(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
+    """Texts of one chunk, and the pieces of longer ones: doc_id, row (null for the former), copies, piece, n_pieces and text."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", text.alias("text"), F.char_length(text).alias("n"))
     short = base.where(F.col("n") <= chunk_chars).select(
@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERL
            .select(*_KEY, "copies", "text", "marks", F.explode(F.sequence(F.lit(0), F.size("marks") - 2)).alias("piece"))
            .select(*_KEY, "copies", "piece", (F.size("marks") - 1).alias("n_pieces"),
                    F.substring("text", (F.get("marks", "piece") + 1).cast("int"), (F.get("marks", F.col("piece") + 1) - F.get("marks", "piece")).cast("int")).alias("text")))
-    return short.unionByName(cut.repartition(*_KEY, "piece"))
+    return short, cut.repartition(*_KEY, "piece")
 
 
 def _with_ids(batch: pa.RecordBatch, ids: list[np.ndarray]) -> pa.RecordBatch:
@@ -114,8 +114,8 @@ def _with_ids(batch: pa.RecordBatch, ids: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=[*batch.schema.names[:-1], "ids"])
 
 
-def encode(docs: DataFrame, ranks_path: str = RANKS, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """One row per piece: doc_id, row, copies, piece, n_pieces, ids. `docs` needs doc_id and text; other columns stay behind."""
+def encode_pieces(parts: DataFrame, ranks_path: str = RANKS) -> DataFrame:
+    """`parts` with `ids` in place of their text."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = encoder(ranks_path)[0]
@@ -124,11 +124,16 @@ def encode(docs: DataFrame, ranks_path: str = RANKS, chunk_chars: int = CHUNK_CH
                 part = batch.slice(start, 512)
                 yield _with_ids(part, [encoding.encode_to_numpy(t, disallowed_special=()) for t in part.column(5).to_pylist()])
 
-    parts = pieces(docs, chunk_chars, overlap)
     kind = parts.schema["doc_id"].dataType.simpleString()
     return parts.mapInArrow(run, f"doc_id {kind}, row string, copies long, piece int, n_pieces int, ids array<int>")
 
 
+def encode(docs: DataFrame, ranks_path: str = RANKS, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """One row per piece: doc_id, row, copies, piece, n_pieces, ids. `docs` needs doc_id and text; other columns stay behind."""
+    short, cut = pieces(docs, chunk_chars, overlap)
+    return encode_pieces(short, ranks_path).unionByName(encode_pieces(cut, ranks_path))
+
+
 def _lists(column: pa.ListArray) -> Iterator[list[int]]:
     offsets, values = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False)
     for a, b in zip(offsets, offsets[1:]):
@@ -150,8 +155,8 @@ def decode(encoded: DataFrame, ranks_path: str = RANKS) -> DataFrame:
     return encoded.mapInArrow(run, f"doc_id {kind}, row string, copies long, piece int, n_pieces int, data binary")
 
 
-def digests(encoded: DataFrame, ranks_path: str = RANKS) -> DataFrame:
-    """Per text: doc_id, n_tokens, ids_sha256, decoded_sha256.
+def digests(docs: DataFrame, ranks_path: str = RANKS, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """Encodes and decodes `docs`; per text: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     A text of one piece is hashed where it lies. The pieces of a longer one meet in order in one
     task, which holds a piece at a time and carries the two running hashes on.
@@ -180,13 +185,14 @@ def digests(encoded: DataFrame, ranks_path: str = RANKS) -> DataFrame:
         yield from batches(texts(), pa.schema([("doc_id", id_type), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
                                                ("decoded_sha256", pa.string())]))
 
-    kind = encoded.schema["doc_id"].dataType.simpleString()
+    short, cut = pieces(docs, chunk_chars, overlap)
+    kind = short.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    alone = encoded.where("n_pieces = 1").mapInArrow(run, out)
-    tied = encoded.where("n_pieces > 1").repartition(*_KEY).sortWithinPartitions(*_KEY, "piece").mapInArrow(run, out)
+    alone = encode_pieces(short, ranks_path).mapInArrow(run, out)
+    tied = encode_pieces(cut, ranks_path).repartition(*_KEY).sortWithinPartitions(*_KEY, "piece").mapInArrow(run, out)
     return alone.unionByName(tied)
 
 
 @query("op4_byte_bpe")
 def op4_byte_bpe(spark, sf_dir):
-    return digests(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
