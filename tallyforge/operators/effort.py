@@ -8,7 +8,7 @@ bigint product of large catalogs overflows. A new model type is one more entry i
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -222,36 +222,40 @@ def catalog_task_efforts(catalog: DataFrame) -> DataFrame:
     return tasks.select("pipeline_id", "component", "type", by_type.alias("effort"))
 
 
-def flat_inputs(share: str) -> Inputs:
-    """Inputs over a flat catalog: n_samples, n_features, and parameters as columns."""
-    present = {"n_iter", "max_depth", "kernel"}
+def flat_inputs(share: str, columns: Iterable[str]) -> Inputs:
+    """Inputs over a flat catalog: n_samples, n_features, and every parameter that is one of its `columns`."""
+    present = frozenset(columns)
     n = _whole(F.col("n_samples").cast("double") * F.col(share))
     return Inputs(n, F.col("n_features").cast("double"), lambda name: F.col(name) if name in present else F.lit(None))
 
 
-def flat_phase_efforts() -> dict[str, Column]:
+def flat_phase_efforts(columns: Iterable[str]) -> dict[str, Column]:
     """Effort of each phase of a flat catalog row."""
     return {
         "preprocessing": F.col("n_samples").cast("double") * F.col("n_features"),
-        "training": model_effort(F.col("model_type"), flat_inputs("train_percentage"), True),
-        "evaluation": model_effort(F.col("model_type"), flat_inputs("test_percentage"), False),
+        "training": model_effort(F.col("model_type"), flat_inputs("train_percentage", columns), True),
+        "evaluation": model_effort(F.col("model_type"), flat_inputs("test_percentage", columns), False),
     }
 
 
+def _total(phases: Mapping[str, Column]) -> Column:
+    """Sum over the phases; a phase of unknown effort counts 0."""
+    return sum((F.coalesce(phases[p], F.lit(0.0)) for p in PHASES), F.lit(0.0))
+
+
 def flat_task_efforts(catalog: DataFrame, total: bool = False) -> DataFrame:
     """Flat catalog -> one row per pipeline and phase, and one `total` row if wanted. No shuffle."""
-    efforts = catalog.select("pipeline_id", *[e.alias(f"_{p}") for p, e in flat_phase_efforts().items()])
+    efforts = catalog.select("pipeline_id", *[e.alias(f"_{p}") for p, e in flat_phase_efforts(catalog.columns).items()])
     rows = {p: F.col(f"_{p}") for p in PHASES}
     if total:
-        rows["total"] = sum((F.coalesce(F.col(f"_{p}"), F.lit(0.0)) for p in PHASES[1:]), F.coalesce(F.col(f"_{PHASES[0]}"), F.lit(0.0)))
+        rows["total"] = _total(rows)
     structs = [F.struct(F.lit(p).alias("type"), e.alias("effort")) for p, e in rows.items()]
     return efforts.select("pipeline_id", F.inline(F.array(*structs)))
 
 
 def flat_totals(catalog: DataFrame) -> DataFrame:
     """Flat catalog with the total effort of each row. No shuffle."""
-    parts = list(flat_phase_efforts().values())
-    return catalog.withColumn("effort", parts[0] + parts[1] + F.coalesce(parts[2], F.lit(0.0)))
+    return catalog.withColumn("effort", _total(flat_phase_efforts(catalog.columns)))
 
 
 def effort_totals(efforts: DataFrame) -> DataFrame:

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyforge.functions.hashing import hash32
 from tallyforge.functions.ordered import above_threshold, exact_rank
 from tallyforge.functions.timing import micros
+from tallyforge.session import bounded_broadcast, settle
 
 # Node classes and sort orders allowed per phase and model, the weight of
 # an accelerator, the memory overhead and the fallback class.
@@ -48,17 +49,25 @@ ACCELERATED_MODELS = ["nn", "cnn"]
 SORT_COLUMNS = {"memory": "memory_kb", "cpu_cores": "cpu_cores", "n_cpu_flags": "n_cpu_flags"}
 
 
+ANY_MODEL = "*"
+MODEL_FREE_PHASES = ("preprocessing",)
+
+
 def heuristics_table(spark: SparkSession, rules=HEURISTICS) -> DataFrame:
-    """(phase, model, worker_type[], architecture[], sorting[]); a NULL architecture list allows any."""
+    """(phase, model, worker_type[], architecture[], sorting[]); a NULL architecture list allows any, the model `*` stands for all."""
     rows = [(phase, model, r["worker_type"], r.get("architecture"), r.get("sorting", []))
             for phase, models in rules.items() for model, r in models.items()]
-    models = sorted({m for phase in rules.values() for m in phase})
-    rows += [("preprocessing", m, PREPROCESSING_CLASSES, None, PREPROCESSING_SORTING) for m in models]
+    rows += [(phase, ANY_MODEL, PREPROCESSING_CLASSES, None, PREPROCESSING_SORTING) for phase in MODEL_FREE_PHASES]
     return spark.createDataFrame(
         rows, "phase string, model string, worker_type array<string>, architecture array<string>, sorting array<string>"
     )
 
 
+def _ruled(tasks: DataFrame) -> DataFrame:
+    """Adds `_rule`, the model whose rules a task follows; phases without models follow the rule for all."""
+    return tasks.withColumn("_rule", F.when(F.col("phase").isin(*MODEL_FREE_PHASES), ANY_MODEL).otherwise(F.col("model")))
+
+
 def load_snapshot(nodes: DataFrame, assignments: DataFrame) -> DataFrame:
     """Nodes with their number of assigned tasks, 0 when idle."""
     counts = assignments.groupBy("node_id").agg(F.count(F.lit(1)).alias("_n"))
@@ -92,16 +101,14 @@ def phase_size(size: Column, share: Column) -> Column:
 def heuristic_candidates(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """(phase, model, node columns.., sort1, sort2) of the nodes each rule allows.
 
-    The lists become rows, so this is an equi join on (worker_type, architecture). The
-    rule side has one row per phase, model, class and architecture.
+    Classes become rows, so this is an equi join on worker_type; a rule with
+    architectures holds a node to its list, one without takes any.
     """
-    architectures = F.coalesce("architecture", F.array(F.lit("amd64"), F.lit("arm64")))
-    flat = rules.select("phase", "model", "sorting", F.explode("worker_type").alias("worker_type"),
-                        architectures.alias("archs"))
-    flat = flat.select("phase", "model", "sorting", "worker_type", F.explode("archs").alias("architecture"))
+    flat = rules.select("phase", "model", "sorting", F.explode("worker_type").alias("_class"), F.col("architecture").alias("_archs"))
     values = F.map_from_arrays(F.array(*[F.lit(k) for k in SORT_COLUMNS]),
                                F.array(*[F.col(c).cast("bigint") for c in SORT_COLUMNS.values()]))
-    joined = nodes.withColumn("_values", values).join(F.broadcast(flat), ["worker_type", "architecture"])
+    allowed = (F.col("worker_type") == F.col("_class")) & (F.col("_archs").isNull() | F.array_contains("_archs", F.col("architecture")))
+    joined = nodes.withColumn("_values", values).join(flat, allowed)
 
     def sort_value(i: int) -> Column:
         return F.coalesce(F.element_at("_values", F.get("sorting", F.lit(i))), F.lit(0))
@@ -113,32 +120,71 @@ def _least_loaded() -> Column:
     return F.struct("load", "sort1", "sort2", "node")
 
 
+# Offers beyond this many rows are merged with the needs instead of being kept as steps.
+STEP_OFFERS = 1_000_000
+
+
+def best_above(offers: DataFrame, needs: DataFrame, part: dict[str, str], payload: Column, out: str) -> DataFrame:
+    """`needs` with `out`, the least `payload` of the offers of its part with free_kb > need_kb; NULL if none.
+
+    `part` maps key columns of the offers to those of the needs. Only the offers that are best
+    from their free memory downward matter: per part they form one short sorted array of steps,
+    which is joined by equality and searched in a projection, so needs aren't shuffled for
+    it. Where there are more offers than one sort should hold, both sides are merged and
+    scanned along the memory axis instead; the result is the same.
+    """
+    keys = list(part)
+    offers = settle(offers.groupBy(*keys, "free_kb").agg(F.min(payload).alias("_pay")).where("free_kb IS NOT NULL"))
+    if offers.count() > STEP_OFFERS:
+        wanted = needs.select(*[F.col(n).alias(k) for k, n in part.items()], "need_kb").distinct()
+        found = above_threshold(offers, wanted, keys, "free_kb", "need_kb", F.col("_pay"), "_found")
+        found = found.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("need_kb").alias("_k_need"), "_found")
+        same = F.col("need_kb") == F.col("_k_need")
+        for k, n in part.items():
+            same = same & F.col(n).eqNullSafe(F.col(f"_k_{k}"))
+        return needs.join(found, same, "left").select(*needs.columns, F.col("_found").alias(out))
+    down = Window.partitionBy(*keys).orderBy(F.desc("free_kb")).rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy(*keys).orderBy(F.desc("free_kb"))
+    best = offers.withColumn("_best", F.min("_pay").over(down))
+    steps = best.withColumn("_before", F.lag("_best").over(above)).where("_before IS NULL OR _best <> _before")
+    listed = steps.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("free_kb")).alias("down"), F.col("_best").alias("best")))).alias("_steps"))
+    same = F.lit(True)
+    for k, n in part.items():
+        same = same & F.col(n).eqNullSafe(F.col(f"_k_{k}"))
+    joined = needs.join(bounded_broadcast(listed), same, "left")
+    # Steps run from much free memory to little and get better: the last one that is large enough is the answer.
+    hops, hop = [], 1 << 20
+    while hop:
+        hops.append(F.lit(hop))
+        hop >>= 1
+    fits = F.aggregate(F.array(*hops), F.lit(0), lambda at, h: at + F.when(-F.get("_steps", at + h - 1)["down"] > F.col("need_kb"), h).otherwise(0))
+    return joined.withColumn("_fits", fits).select(*needs.columns, F.get("_steps", F.col("_fits") - 1)["best"].alias(out))
+
+
 def least_loaded_top1(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
     """Feasible candidate with the least load, ties by the rule's sort order, then name; NULL if none."""
-    needs = required_memory(tasks)
-    best = above_threshold(free_memory(candidates), needs, ["phase", "model"], "free_kb", "need_kb", _least_loaded(), "_best")
-    joined = needs.join(best, ["phase", "model", "need_kb"], "left")
-    return joined.select(*tasks.columns, F.col("_best.node").alias("node"), F.col("_best.load").alias("load"))
+    needs = _ruled(required_memory(tasks))
+    best = best_above(free_memory(candidates), needs, {"phase": "phase", "model": "_rule"}, _least_loaded(), "_best")
+    return best.select(*tasks.columns, F.col("_best.node").alias("node"), F.col("_best.load").alias("load"))
 
 
 def affinity_top1(tasks: DataFrame, candidates: DataFrame, assignments: DataFrame) -> DataFrame:
     """As `least_loaded_top1`, but a feasible candidate the pipeline already uses comes first.
 
-    The used nodes of a pipeline are scanned with the pipeline as a second key; no list
-    of task and node pairs arises.
+    A pipeline's own nodes are few: they are joined with its tasks by key, and the best
+    feasible one is one minimum per task.
     """
-    needs = required_memory(tasks)
+    needs = _ruled(required_memory(tasks))
     offers = free_memory(candidates)
     used = assignments.select("pipeline_id", "node_id").distinct()
-    wanted = needs.select("pipeline_id", "phase", "model").distinct()
-    own = wanted.join(used, "pipeline_id").join(offers, ["phase", "model", "node_id"])
-    near = above_threshold(own, needs, ["pipeline_id", "phase", "model"], "free_kb", "need_kb", _least_loaded(), "_own")
-    best = above_threshold(offers, needs, ["phase", "model"], "free_kb", "need_kb", _least_loaded(), "_any")
-    joined = needs.join(near, ["pipeline_id", "phase", "model", "need_kb"], "left").join(
-        best, ["phase", "model", "need_kb"], "left")
-    return joined.select(
-        *tasks.columns, F.coalesce("_own.node", "_any.node").alias("node"), F.col("_own").isNotNull().alias("affine"),
-    )
+    own = used.join(offers.withColumn("_pay", _least_loaded()).select("node_id", F.col("phase").alias("_phase"), F.col("model").alias("_model"), "free_kb", "_pay"), "node_id") \
+        .groupBy(F.col("pipeline_id").alias("_pipeline"), "_phase", "_model").agg(F.collect_set(F.struct("free_kb", "_pay")).alias("_own"))
+    same = (F.col("pipeline_id") == F.col("_pipeline")) & (F.col("phase") == F.col("_phase")) & (F.col("_rule") == F.col("_model"))
+    near = F.array_min(F.transform(F.filter("_own", lambda o: o["free_kb"] > F.col("need_kb")), lambda o: o["_pay"]))
+    with_own = needs.join(own, same, "left").select(*needs.columns, near.alias("_near"))
+    best = best_above(offers, with_own, {"phase": "phase", "model": "_rule"}, _least_loaded(), "_any")
+    return best.select(*tasks.columns, F.coalesce("_near.node", "_any.node").alias("node"), F.col("_near").isNotNull().alias("affine"))
 
 
 def fallback_node(chosen: DataFrame, nodes: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -157,17 +203,17 @@ def accelerator_score_top1(tasks: DataFrame, candidates: DataFrame) -> DataFrame
     The choice depends on (phase, model) alone, so it is one row per rule.
     """
     score = F.when(F.col("accelerator") != "none", ACCELERATOR_WEIGHT).otherwise(0) - F.col("load")
-    best = candidates.groupBy("phase", "model").agg(F.min(F.struct((-score).alias("s"), "load", "node")).alias("_best"))
-    joined = tasks.join(F.broadcast(best), ["phase", "model"], "left")
+    best = candidates.groupBy(F.col("phase").alias("_phase"), F.col("model").alias("_model")).agg(F.min(F.struct((-score).alias("s"), "load", "node")).alias("_best"))
+    joined = _ruled(tasks).join(best, (F.col("phase") == F.col("_phase")) & (F.col("_rule") == F.col("_model")), "left")
     return joined.select(*tasks.columns, F.col("_best.node").alias("node"), (-F.col("_best.s")).alias("score"))
 
 
 def greedy_top1(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
     """Feasible node by least load, most cores, most memory, name."""
-    needs = required_memory(tasks)
     order = F.struct("load", (-F.col("cpu_cores")).alias("cores"), (-F.col("memory_kb")).alias("memory"), "node")
-    best = above_threshold(free_memory(nodes), needs, [], "free_kb", "need_kb", order, "_best")
-    return needs.join(best, "need_kb", "left").select(*tasks.columns, F.col("_best.node").alias("node"))
+    offers = free_memory(nodes).withColumn("_all", F.lit(1))
+    needs = required_memory(tasks).withColumn("_all", F.lit(1))
+    return best_above(offers, needs, {"_all": "_all"}, order, "_best").select(*tasks.columns, F.col("_best.node").alias("node"))
 
 
 def random_feasible(tasks: DataFrame, nodes: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame:

@@ -25,8 +25,8 @@ def _phase_query(train, predict):
     def run(spark, folder):
         return catalog(spark, folder).select(
             "pipeline_id",
-            train(ops.flat_inputs("train_percentage")).cast("double").alias("train_effort"),
-            predict(ops.flat_inputs("test_percentage")).cast("double").alias("eval_effort"),
+            train(ops.flat_inputs("train_percentage", catalog(spark, folder).columns)).cast("double").alias("train_effort"),
+            predict(ops.flat_inputs("test_percentage", catalog(spark, folder).columns)).cast("double").alias("eval_effort"),
         )
     return run
 
@@ -63,7 +63,8 @@ def effort_params(spark, folder):
 def effort_linear(spark, folder):
     """Even pipelines use ordinary least squares (the default), odd ones gradient descent."""
     solver = F.when(F.col("pipeline_id") % 2 == 1, "sgd")
-    train, test = ops.flat_inputs("train_percentage"), ops.flat_inputs("test_percentage")
+    columns = catalog(spark, folder).columns
+    train, test = ops.flat_inputs("train_percentage", columns), ops.flat_inputs("test_percentage", columns)
     with_solver = ops.Inputs(train.n, train.d, lambda name: solver if name == "solver" else train.param(name))
     return catalog(spark, folder).select("pipeline_id", ops.linear_train(with_solver).alias("train_effort"),
                                          ops.dense_pass(test).alias("eval_effort"))
@@ -75,13 +76,16 @@ query("effort_logistic", _phase_sql(f"{N_TRAIN} * {D} * coalesce(n_iter, 100)",
 query("effort_tree", _phase_sql(f"trunc({D} * {N_TRAIN} * log2({N_TRAIN}))", f"trunc({N_TEST} * max_depth)"))(
     _phase_query(ops.tree_train, ops.tree_predict))
 
-query("effort_forest", _phase_sql(f"100 * {D} * {N_TRAIN} * floor(log2({N_TRAIN}))", f"{N_TEST} * 100 * max_depth"))(
-    _phase_query(ops.forest_train, ops.forest_predict))
+FOREST_TRAIN = f"coalesce(n_estimators, 100) * {D} * {N_TRAIN} * floor(log2({N_TRAIN}))"
+FOREST_EVAL = f"{N_TEST} * coalesce(n_estimators, 100) * coalesce(max_depth, log2({N_TEST}))"
+SVM_TRAIN = f"{N_TRAIN} * {D} * coalesce(n_iter, 100) * CASE WHEN kernel = 'linear' THEN 1 ELSE {N_TRAIN} END"
+SVM_EVAL = f"{N_TEST} * {D} * CASE WHEN kernel = 'linear' THEN 1 ELSE coalesce(support_vectors, {N_TEST}) END"
 
-query("effort_svm", _phase_sql(
-    f"{N_TRAIN} * {D} * coalesce(n_iter, 100) * CASE WHEN kernel = 'linear' THEN 1 ELSE {N_TRAIN} END",
-    f"{N_TEST} * {D} * CASE WHEN kernel = 'linear' THEN 1 ELSE {N_TEST} END"))(
-    _phase_query(ops.svm_train, ops.svm_predict))
+# Logarithms differ in their last bits between engines, so the fraction is shown to two decimals.
+query("effort_forest", _phase_sql(FOREST_TRAIN, f"round({FOREST_EVAL}, 2)"))(
+    _phase_query(ops.forest_train, lambda x: F.round(ops.forest_predict(x), 2)))
+
+query("effort_svm", _phase_sql(SVM_TRAIN, SVM_EVAL))(_phase_query(ops.svm_train, ops.svm_predict))
 
 query("effort_pca", _phase_sql(f"{N_TRAIN} * {D} * {D} + {D} * {D} * {D}", "NULL"))(
     _phase_query(ops.pca_train, ops.no_prediction))
@@ -91,11 +95,12 @@ query("effort_tsne", _phase_sql(f"{N_TRAIN} * {N_TRAIN} * {D}", "NULL"))(
 
 
 def _network(spark, folder, macs):
-    """Efforts of the pipelines that have layers, for 10 epochs."""
-    joined = catalog(spark, folder).join(macs, "pipeline_id").withColumn("n_epochs", F.lit(10))
+    """Efforts for 10 epochs; a pipeline without layers has no multiply-accumulates."""
+    joined = catalog(spark, folder).drop("macs", "n_epochs").join(macs, "pipeline_id", "left").withColumns(
+        {"n_epochs": F.lit(10), "macs": F.coalesce("macs", F.lit(0.0))})
 
     def inputs(share):
-        flat = ops.flat_inputs(share)
+        flat = ops.flat_inputs(share, ())
         return ops.Inputs(flat.n, flat.d, lambda name: F.col(name))
 
     return joined.select(
@@ -106,8 +111,9 @@ def _network(spark, folder, macs):
 
 
 def _network_sql(macs: str) -> str:
-    return f"""WITH m AS ({macs}) SELECT pipeline_id, macs, 60.0::DOUBLE * {N_TRAIN} * macs AS train_effort,
-    2.0::DOUBLE * {N_TEST} * macs AS eval_effort FROM v_catalog JOIN m USING (pipeline_id)"""
+    return f"""WITH m AS ({macs}) SELECT pipeline_id, coalesce(m.macs, 0.0::DOUBLE) AS macs,
+    60.0::DOUBLE * {N_TRAIN} * coalesce(m.macs, 0) AS train_effort,
+    2.0::DOUBLE * {N_TEST} * coalesce(m.macs, 0) AS eval_effort FROM v_catalog LEFT JOIN m USING (pipeline_id)"""
 
 
 @query("effort_dense", _network_sql("""SELECT pipeline_id, CAST(sum(n_in * n_out + n_out) AS DOUBLE) AS macs
@@ -139,20 +145,22 @@ def effort_conv(spark, folder):
 
 
 TRAIN_SQL = f"""CASE model_type
-    WHEN 'linear_regression' THEN {N_TRAIN} * {D} * {D} + {D} * {D} * {D}
+    WHEN 'linear_regression' THEN CASE WHEN solver = 'sgd' THEN coalesce(n_iter, 1000) * {N_TRAIN} * {D}
+        ELSE {N_TRAIN} * {D} * {D} + {D} * {D} * {D} END
     WHEN 'logistic_regression' THEN {N_TRAIN} * {D} * coalesce(n_iter, 100)
     WHEN 'decision_tree' THEN trunc({D} * {N_TRAIN} * log2({N_TRAIN}))
-    WHEN 'random_forest' THEN 100 * {D} * {N_TRAIN} * floor(log2({N_TRAIN}))
-    WHEN 'svm' THEN {N_TRAIN} * {D} * coalesce(n_iter, 100) * CASE WHEN kernel = 'linear' THEN 1 ELSE {N_TRAIN} END END"""
+    WHEN 'random_forest' THEN {FOREST_TRAIN} WHEN 'svm' THEN {SVM_TRAIN}
+    WHEN 'nn' THEN 60.0::DOUBLE * {N_TRAIN} * macs END"""
 EVAL_SQL = f"""CASE model_type
     WHEN 'decision_tree' THEN trunc({N_TEST} * max_depth)
-    WHEN 'random_forest' THEN {N_TEST} * 100 * max_depth
-    WHEN 'svm' THEN {N_TEST} * {D} * CASE WHEN kernel = 'linear' THEN 1 ELSE {N_TEST} END
+    WHEN 'random_forest' THEN {FOREST_EVAL} WHEN 'svm' THEN {SVM_EVAL}
+    WHEN 'nn' THEN 2.0::DOUBLE * {N_TEST} * macs
     ELSE {N_TEST} * {D} END"""
+SUM_SQL = f"coalesce({N} * {D}, 0) + coalesce({TRAIN_SQL}, 0) + coalesce({EVAL_SQL}, 0)"
 EFFORTS_SQL = f"""SELECT pipeline_id, 'preprocessing' AS type, {N} * {D} AS effort FROM v_catalog
     UNION ALL SELECT pipeline_id, 'training', {TRAIN_SQL} FROM v_catalog
     UNION ALL SELECT pipeline_id, 'evaluation', {EVAL_SQL} FROM v_catalog"""
-TOTALS_SQL = f"SELECT pipeline_id, {N} * {D} + {TRAIN_SQL} + {EVAL_SQL} AS effort FROM v_catalog"
+TOTALS_SQL = f"SELECT pipeline_id, {SUM_SQL} AS effort FROM v_catalog"
 
 
 @query("effort_dispatch", EFFORTS_SQL)
@@ -160,6 +168,40 @@ def effort_dispatch(spark, folder):
     return ops.flat_task_efforts(catalog(spark, folder))
 
 
+# Layers of the nested catalog: each pipeline's network is a dense one, or a convolution with pooling before it.
+NESTED_SQL = f"""WITH c AS (SELECT *, CASE WHEN pipeline_id % 2 = 0 THEN 'nn' ELSE 'cnn' END AS net,
+        CAST(1 + n_features % 5 AS DOUBLE) AS w FROM v_catalog),
+    m AS (SELECT *, CASE net WHEN 'nn' THEN {D} * 8 + 8 ELSE trunc(3 * 3 * 3 * w * w * 4 / 4 + 2 * 2 * 4 * w * w + ({D} * 8 + 8)) END AS net_macs FROM c)
+    SELECT pipeline_id, 'preprocessing' AS type, {N} * (w * w * 3) AS effort FROM m
+    UNION ALL SELECT pipeline_id, 'training', 60.0::DOUBLE * {N_TRAIN} * net_macs FROM m
+    UNION ALL SELECT pipeline_id, 'evaluation', 2.0::DOUBLE * {N_TEST} * net_macs FROM m"""
+
+
+@query("effort_dispatch_nested", NESTED_SQL)
+def effort_dispatch_nested(spark, folder):
+    """Image pipelines of the nested catalog, with lists of layers."""
+    c = catalog(spark, folder)
+    side, small = (F.lit(1) + F.col("n_features") % 5).cast("int"), F.lit(None).cast("array<int>")
+
+    def layer(kind, inputs, outputs, kernel=small, strides=small, pool=small):
+        return F.struct(F.lit(kind).alias("type"), F.array(*inputs).cast("array<int>").alias("input_shape"), F.array(*outputs).cast("array<int>").alias("output_shape"),
+                        kernel.alias("kernel_size"), strides.alias("strides"), pool.alias("pool_size"))
+
+    two, three = F.array(F.lit(2), F.lit(2)), F.array(F.lit(3), F.lit(3))
+    dense = layer("Dense", [F.col("n_features")], [F.lit(8)])
+    network = F.when(F.col("pipeline_id") % 2 == 0, F.array(dense, layer("Dropout", [F.lit(8)], [F.lit(8)]))).otherwise(F.array(
+        layer("Conv2D", [side, side, F.lit(3)], [side, side, F.lit(4)], three, two),
+        layer("MaxPooling2D", [side, side, F.lit(4)], [side, side, F.lit(4)], small, small, two), dense))
+    version = F.struct("n_samples", "n_features", F.array(side, side, F.lit(3)).alias("input_shape"))
+    params = F.struct(network.alias("layers"), F.lit(10).alias("n_epochs"), *[F.lit(None).cast(t).alias(n) for n, t in (
+        ("max_depth", "int"), ("n_estimators", "int"), ("n_iter", "int"), ("kernel", "string"), ("solver", "string"), ("support_vectors", "bigint"))])
+    model = F.struct(F.when(F.col("pipeline_id") % 2 == 0, "nn").otherwise("cnn").alias("type"), params.alias("params"))
+    dataset = F.struct(F.lit("image").alias("type"), "train_percentage", "test_percentage", version.alias("original"), version.alias("preprocessed"))
+    types = F.create_map(*[F.lit(x) for pair in zip(("a", "b", "c"), ops.PHASES) for x in pair])
+    nested = c.select("pipeline_id", types.alias("components_type"), dataset.alias("dataset"), model.alias("model"))
+    return ops.catalog_task_efforts(nested).drop("component")
+
+
 @query("effort_totals", f"{EFFORTS_SQL} UNION ALL SELECT pipeline_id, 'total', effort FROM ({TOTALS_SQL}) AS t")
 def effort_totals(spark, folder):
     return ops.flat_task_efforts(catalog(spark, folder), total=True)
@@ -172,7 +214,7 @@ def effort_totals_by_task(spark, folder):
 
 
 @query("effort_order", f"""WITH t AS (SELECT pipeline_id, date_trunc('month', submitted_at) AS w, submitted_at,
-        {N} * {D} + {TRAIN_SQL} + {EVAL_SQL} AS effort FROM v_catalog)
+        {SUM_SQL} AS effort FROM v_catalog)
     SELECT pipeline_id, strftime(w, '%Y-%m') AS submission_window, effort,
         row_number() OVER (PARTITION BY w ORDER BY effort, submitted_at, pipeline_id) AS position FROM t""")
 def effort_order(spark, folder):

@@ -15,7 +15,8 @@ from tallyforge.session import settle
 
 LOADED_SQL = """SELECT n.*, coalesce(a.c, 0) AS load, memory_kb - memory_kb * memory_usage AS free_kb FROM v_nodes AS n
     LEFT JOIN (SELECT node_id, count(*) AS c FROM v_tasks GROUP BY node_id) AS a USING (node_id)"""
-NEEDS_SQL = "SELECT pipeline_id, component, type AS phase, model, size_kb, CAST(size_kb * 2 AS DOUBLE) AS need_kb FROM v_tasks"
+NEEDS_SQL = """SELECT pipeline_id, component, type AS phase, model, CASE WHEN type = 'preprocessing' THEN '*' ELSE model END AS rule, size_kb,
+    CAST(size_kb * 2 AS DOUBLE) AS need_kb FROM v_tasks"""
 
 
 def placed_tasks(spark, folder):
@@ -43,19 +44,17 @@ def _rule_values() -> str:
     """The heuristics as SQL rows (phase, model, worker_type, architecture, s1, s2)."""
     rows = []
     rules = {p: dict(m) for p, m in ops.HEURISTICS.items()}
-    rules["preprocessing"] = {m: {"worker_type": ops.PREPROCESSING_CLASSES, "sorting": ops.PREPROCESSING_SORTING}
-                              for m in ops.HEURISTICS["training"]}
+    rules["preprocessing"] = {"*": {"worker_type": ops.PREPROCESSING_CLASSES, "sorting": ops.PREPROCESSING_SORTING}}
     for phase, models in rules.items():
         for model, rule in models.items():
             s1, s2 = (rule.get("sorting", []) + ["none", "none"])[:2]
-            rows += [f"('{phase}', '{model}', '{w}', '{a}', '{s1}', '{s2}')"
-                     for w in rule["worker_type"] for a in rule.get("architecture", ["amd64", "arm64"])]
-    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") AS r(phase, model, worker_type, architecture, s1, s2)"
+            rows += [f"('{phase}', '{model}', '{w}', '{a}', '{s1}', '{s2}')" for w in rule["worker_type"] for a in rule.get("architecture", ["*"])]
+    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") AS r(phase, model, worker_type, arch, s1, s2)"
 
 
 SORT_CASE = "CASE {0} WHEN 'memory' THEN memory_kb WHEN 'cpu_cores' THEN cpu_cores WHEN 'n_cpu_flags' THEN n_cpu_flags ELSE 0 END"
 CANDIDATES_SQL = f"""SELECT r.phase, r.model, n.*, {SORT_CASE.format('s1')} AS sort1, {SORT_CASE.format('s2')} AS sort2
-    FROM ({_rule_values()}) AS r JOIN ({LOADED_SQL}) AS n USING (worker_type, architecture)"""
+    FROM ({_rule_values()}) AS r JOIN ({LOADED_SQL}) AS n ON r.worker_type = n.worker_type AND r.arch IN ('*', n.architecture)"""
 
 
 @query("load_snapshot", f"SELECT node_id, node, load FROM ({LOADED_SQL}) AS n")
@@ -107,15 +106,15 @@ def heuristic_candidates(spark, folder):
 
 
 # One row per distinct need keeps the SQL's inequality join small; every task gets its answer.
-DISTINCT_NEEDS = "SELECT DISTINCT phase, model, need_kb FROM t"
+DISTINCT_NEEDS = "SELECT DISTINCT phase, rule, need_kb FROM t"
 
 
 @query("least_loaded_top1", f"""WITH t AS ({NEEDS_SQL}), c AS ({CANDIDATES_SQL}),
-    best AS (SELECT d.phase, d.model, d.need_kb, min((c.load, c.sort1, c.sort2, c.node)) AS b
-             FROM ({DISTINCT_NEEDS}) AS d JOIN c ON c.phase = d.phase AND c.model = d.model AND c.free_kb > d.need_kb
-             GROUP BY d.phase, d.model, d.need_kb)
+    best AS (SELECT d.phase, d.rule, d.need_kb, min((c.load, c.sort1, c.sort2, c.node)) AS b
+             FROM ({DISTINCT_NEEDS}) AS d JOIN c ON c.phase = d.phase AND c.model = d.rule AND c.free_kb > d.need_kb
+             GROUP BY d.phase, d.rule, d.need_kb)
     SELECT pipeline_id, component, phase, model, size_kb, b[4] AS node, b[1] AS load
-    FROM t LEFT JOIN best USING (phase, model, need_kb)""")
+    FROM t LEFT JOIN best USING (phase, rule, need_kb)""")
 def least_loaded_top1(spark, folder):
     placed = placed_tasks(spark, folder)
     return ops.least_loaded_top1(tasks(placed), candidates(spark, folder, placed))
@@ -125,15 +124,15 @@ AFFINITY_SQL = f"""WITH t AS ({NEEDS_SQL}), c AS ({CANDIDATES_SQL}),
     used AS (SELECT DISTINCT pipeline_id, node_id FROM v_tasks),
     near AS (SELECT t.pipeline_id, t.component, min((c.load, c.sort1, c.sort2, c.node)) AS b
              FROM t JOIN used AS u ON u.pipeline_id = t.pipeline_id
-             JOIN c ON c.node_id = u.node_id AND c.phase = t.phase AND c.model = t.model AND c.free_kb > t.need_kb
+             JOIN c ON c.node_id = u.node_id AND c.phase = t.phase AND c.model = t.rule AND c.free_kb > t.need_kb
              GROUP BY t.pipeline_id, t.component),
-    best AS (SELECT d.phase, d.model, d.need_kb, min((c.load, c.sort1, c.sort2, c.node)) AS b
-             FROM ({DISTINCT_NEEDS}) AS d JOIN c ON c.phase = d.phase AND c.model = d.model AND c.free_kb > d.need_kb
-             GROUP BY d.phase, d.model, d.need_kb)
+    best AS (SELECT d.phase, d.rule, d.need_kb, min((c.load, c.sort1, c.sort2, c.node)) AS b
+             FROM ({DISTINCT_NEEDS}) AS d JOIN c ON c.phase = d.phase AND c.model = d.rule AND c.free_kb > d.need_kb
+             GROUP BY d.phase, d.rule, d.need_kb)
     SELECT t.pipeline_id, t.component, t.phase, t.model, t.size_kb, coalesce(near.b[4], best.b[4]) AS node,
         near.b IS NOT NULL AS affine
     FROM t LEFT JOIN near ON near.pipeline_id = t.pipeline_id AND near.component = t.component
-    LEFT JOIN best ON best.phase = t.phase AND best.model = t.model AND best.need_kb = t.need_kb"""
+    LEFT JOIN best ON best.phase = t.phase AND best.rule = t.rule AND best.need_kb = t.need_kb"""
 
 
 @query("affinity_top1", AFFINITY_SQL)
@@ -146,13 +145,13 @@ ACTIVE_SQL = "SELECT DISTINCT pipeline_id FROM v_tasks WHERE type = 'preprocessi
 
 
 @query("fallback_node", f"""WITH t AS ({NEEDS_SQL}), c AS ({CANDIDATES_SQL}), n AS ({LOADED_SQL}), active AS ({ACTIVE_SQL}),
-    best AS (SELECT d.phase, d.model, d.need_kb, min((c.load, c.sort1, c.sort2, c.node)) AS b
-             FROM ({DISTINCT_NEEDS}) AS d JOIN c ON c.phase = d.phase AND c.model = d.model AND c.free_kb > d.need_kb
-             GROUP BY d.phase, d.model, d.need_kb),
+    best AS (SELECT d.phase, d.rule, d.need_kb, min((c.load, c.sort1, c.sort2, c.node)) AS b
+             FROM ({DISTINCT_NEEDS}) AS d JOIN c ON c.phase = d.phase AND c.model = d.rule AND c.free_kb > d.need_kb
+             GROUP BY d.phase, d.rule, d.need_kb),
     spare AS (SELECT min((load, node)) AS s FROM n WHERE worker_type = 'high-cpu')
     SELECT t.pipeline_id, t.component, t.phase, t.model, t.size_kb,
         CASE WHEN best.b IS NULL AND active.pipeline_id IS NULL THEN spare.s[2] ELSE best.b[4] END AS node, best.b[1] AS load
-    FROM t LEFT JOIN best USING (phase, model, need_kb) LEFT JOIN active ON active.pipeline_id = t.pipeline_id, spare""")
+    FROM t LEFT JOIN best USING (phase, rule, need_kb) LEFT JOIN active ON active.pipeline_id = t.pipeline_id, spare""")
 def fallback_node(spark, folder):
     """Every third pipeline counts as already placed, so only the others fall back."""
     placed = placed_tasks(spark, folder)

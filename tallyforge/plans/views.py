@@ -30,7 +30,7 @@ NODES = """
 SELECT s_suppkey AS node_id, s_name AS node, CAST(floor(abs(s_acctbal)) AS BIGINT) * 10 AS memory_kb,
        CAST(s_suppkey % 10 AS DOUBLE) / 20 AS memory_usage,
        CASE s_suppkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'med' WHEN 2 THEN 'high-cpu' ELSE 'high-gpu' END AS worker_type,
-       CASE WHEN s_nationkey % 3 = 0 THEN 'arm64' ELSE 'amd64' END AS architecture,
+       CASE WHEN s_suppkey % 11 = 5 THEN 'riscv64' WHEN s_nationkey % 3 = 0 THEN 'arm64' ELSE 'amd64' END AS architecture,
        2 + s_suppkey % 7 AS cpu_cores, 20 + s_suppkey % 11 AS n_cpu_flags,
        CASE WHEN s_suppkey % 4 = 3 THEN 'gpu' ELSE 'none' END AS accelerator
 FROM {supplier}
@@ -40,8 +40,8 @@ TASKS = """
 SELECT l_orderkey AS pipeline_id, l_linenumber AS component, min(l_suppkey) AS node_id,
        CAST(floor(max(l_extendedprice) / 2) AS BIGINT) AS size_kb,
        CASE l_linenumber % 3 WHEN 1 THEN 'preprocessing' WHEN 2 THEN 'training' ELSE 'evaluation' END AS type,
-       CASE l_orderkey % 6 WHEN 0 THEN 'logistic_regression' WHEN 1 THEN 'decision_tree' WHEN 2 THEN 'random_forest'
-            WHEN 3 THEN 'svm' WHEN 4 THEN 'nn' ELSE 'cnn' END AS model,
+       CASE l_orderkey % 7 WHEN 0 THEN 'logistic_regression' WHEN 1 THEN 'decision_tree' WHEN 2 THEN 'random_forest'
+            WHEN 3 THEN 'svm' WHEN 4 THEN 'nn' WHEN 5 THEN 'cnn' ELSE 'linear_regression' END AS model,
        min(l_shipdate) AS start_time, max(l_shipdate) AS end_time
 FROM {lineitem} GROUP BY l_orderkey, l_linenumber
 """
@@ -49,11 +49,14 @@ FROM {lineitem} GROUP BY l_orderkey, l_linenumber
 CATALOG = """
 SELECT o_orderkey AS pipeline_id, CAST(floor(o_totalprice) AS BIGINT) AS n_samples,
        5 + o_custkey % 40 AS n_features, CAST(0.8 AS DOUBLE) AS train_percentage, CAST(0.2 AS DOUBLE) AS test_percentage,
-       CASE o_orderkey % 5 WHEN 0 THEN 'logistic_regression' WHEN 1 THEN 'decision_tree' WHEN 2 THEN 'random_forest'
-            WHEN 3 THEN 'svm' ELSE 'linear_regression' END AS model_type,
-       CASE WHEN o_orderkey % 3 = 0 THEN 100 END AS n_iter,
-       CASE WHEN o_orderkey % 2 = 0 THEN 20 ELSE 10 END AS max_depth,
-       CASE WHEN o_orderkey % 10 = 3 THEN 'rbf' ELSE 'linear' END AS kernel, o_orderdate AS submitted_at
+       CASE o_orderkey % 6 WHEN 0 THEN 'logistic_regression' WHEN 1 THEN 'decision_tree' WHEN 2 THEN 'random_forest'
+            WHEN 3 THEN 'svm' WHEN 4 THEN 'nn' ELSE 'linear_regression' END AS model_type,
+       CASE WHEN o_custkey % 3 = 0 THEN 100 END AS n_iter,
+       CASE WHEN o_orderkey % 6 = 1 AND o_custkey % 7 = 0 THEN NULL WHEN o_orderkey % 4 < 2 THEN 20 ELSE 10 END AS max_depth,
+       CASE WHEN o_orderkey % 12 = 3 THEN 'rbf' ELSE 'linear' END AS kernel,
+       CASE WHEN o_custkey % 2 = 0 THEN 7 END AS n_estimators, CASE WHEN o_custkey % 4 = 1 THEN 'sgd' END AS solver,
+       CASE WHEN o_custkey % 4 = 3 THEN CAST(50 AS BIGINT) END AS support_vectors,
+       CAST(1000 + o_custkey AS DOUBLE) AS macs, 10 AS n_epochs, o_orderdate AS submitted_at
 FROM {orders}
 """
 

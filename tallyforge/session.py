@@ -61,11 +61,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Settles `df` and hints a broadcast only if it has at most `max_rows` rows.
+# A hinted side is held by every executor and by the driver: its size is checked in bytes.
+BROADCAST_BYTES = 64 << 20
+
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Settles `df` and hints a broadcast only if its files hold at most `max_bytes` bytes.
 
     Beyond that the plain frame is returned and Spark shuffles the join, splitting
-    skewed keys at run time.
+    skewed keys at run time. The size is that of the files as the planner sees them.
     """
     settled = settle(df)
-    return F.broadcast(settled) if settled.count() <= max_rows else settled
+    size = settled._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(settled) if int(size) <= max_bytes else settled
+
+
+checked_broadcast = bounded_broadcast

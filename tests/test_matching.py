@@ -79,3 +79,22 @@ def test_load_and_ready(spark):
     assert sorted(r["position"] for r in order.collect()) == list(range(1, 51))
     assert [r["k"] for r in order.orderBy("position").collect()] != list(range(50))
     assert ops.placement_summary(nodes(spark).withColumns({"size_kb": F.lit(1), "effort": F.lit(1.0)}), ["node"]).count() == 0
+
+
+def test_rules_without_architecture_and_for_any_model(spark):
+    rules = ops.heuristics_table(spark)
+    pool = nodes(spark, node(1, arch="riscv64"), node(2, worker="high-gpu", arch="riscv64"))
+    tasks = spark.createDataFrame([("p", "a", "preprocessing", "linear_regression", 1), ("p", "b", "preprocessing", None, 1),
+                                   ("p", "c", "training", "svm", 1), ("p", "d", "training", "nn", 1)], TASK)
+    assert pick(ops.least_loaded_top1(tasks, ops.heuristic_candidates(pool, rules))) == {("p", "a"): "n1", ("p", "b"): "n1", ("p", "c"): None, ("p", "d"): None}
+
+
+def test_steps_equal_the_merge(spark, monkeypatch):
+    rng = random.Random(4)
+    pool = nodes(spark, *[node(i, free=rng.randint(1, 60), load=rng.randint(0, 5), worker=rng.choice(["low", "med"])) for i in range(80)])
+    tasks = spark.createDataFrame([("p", str(i), rng.choice(["training", "preprocessing"]), rng.choice(["svm", "decision_tree"]), i % 35) for i in range(120)], TASK)
+    candidates = ops.heuristic_candidates(pool, ops.heuristics_table(spark))
+    steps = pick(ops.least_loaded_top1(tasks, candidates)), pick(ops.greedy_top1(tasks, pool))
+    monkeypatch.setattr(ops, "STEP_OFFERS", 0)
+    assert steps == (pick(ops.least_loaded_top1(tasks, candidates)), pick(ops.greedy_top1(tasks, pool)))
+    assert None in steps[0].values() and len(set(steps[0].values())) > 5
