@@ -97,36 +97,42 @@ def f1_weighted(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return _weighted(predictions, keys, "f1_score")
 
 
-def confusion_matrix(predictions: DataFrame) -> DataFrame:
-    """Dense counts: one row per (label, prediction) of all classes, zeros kept.
+def confusion_matrix(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Dense counts: one row per (keys.., label, prediction) of all classes of a key, zeros kept.
 
-    The result itself has k x k rows. The grid is one row holding the class list,
-    exploded twice; the list comes from the counts, not from the data.
+    The result itself has k x k rows per key. Classes come from the counts, not from the data, and
+    are joined with themselves by key, so no row or task holds the list of a key's classes.
     """
-    counts = pair_counts(predictions)
-    classes = counts.select(F.explode(F.array("label", "prediction")).alias("c")).agg(F.collect_set("c").alias("classes"))
-    grid = classes.select(F.explode("classes").alias("label"), "classes").select(
-        "label", F.explode("classes").alias("prediction")
-    )
-    joined = grid.join(counts, ["label", "prediction"], "left")
-    return joined.select("label", "prediction", F.coalesce("n", F.lit(0)).alias("n"))
+    counts = pair_counts(predictions, keys)
+    one = counts.withColumn("_all", F.lit(1))
+    by = [*keys, "_all"]
+    classes = one.select(*by, F.explode(F.array("label", "prediction")).alias("label")).distinct()
+    grid = classes.join(classes.withColumnRenamed("label", "prediction"), by)
+    found = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("label").alias("_label"), F.col("prediction").alias("_said"), "n")
+    same = F.col("label").eqNullSafe(F.col("_label")) & F.col("prediction").eqNullSafe(F.col("_said"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return grid.join(found, same, "left").select(*keys, "label", "prediction", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def evaluation_report(predictions: DataFrame, keys: Sequence[str] = (), positive=1, weighted: bool = False) -> DataFrame:
-    """Accuracy, precision, F1 and the sparse matrix entries of each model in one row."""
+    """Accuracy, precision and F1 of each model beside every cell of its dense matrix.
+
+    One row per (keys.., label, prediction), so a model with many classes fills many rows, never one.
+    """
     counts = pair_counts(predictions, keys)
-    cells = F.array_sort(F.collect_list(F.struct("label", "prediction", "n"))).alias("confusion_matrix")
-    binary = counts.groupBy(*keys).agg(
-        _accuracy().alias("accuracy"), _precision(positive).alias("precision"), _f1(positive).alias("f1_score"), cells
-    )
-    if not weighted:
-        return binary
-    scores = _weighted(predictions, keys, "precision", "f1_score")
-    plain = binary.drop("precision", "f1_score")
-    if not keys:
-        one = scores.select(F.struct("precision", "f1_score").alias("s")).scalar()
-        return plain.withColumn("_s", one).select("accuracy", "_s.precision", "_s.f1_score", "confusion_matrix")
-    return plain.join(scores, list(keys)).select(*keys, "accuracy", "precision", "f1_score", "confusion_matrix")
+    if weighted:
+        scores = counts.groupBy(*keys).agg(_accuracy().alias("accuracy"))
+        others = _weighted(predictions, keys, "precision", "f1_score")
+    else:
+        scores = counts.groupBy(*keys).agg(_accuracy().alias("accuracy"), _precision(positive).alias("precision"), _f1(positive).alias("f1_score"))
+        others = None
+    by = [*keys, "_all"]
+    scores = scores.withColumn("_all", F.lit(1))
+    if others is not None:
+        scores = scores.join(others.withColumn("_all", F.lit(1)), by)
+    cells = confusion_matrix(predictions, keys).withColumn("_all", F.lit(1))
+    return cells.join(scores, by).select(*keys, "label", "prediction", "n", "accuracy", "precision", "f1_score")
 
 
 def argmax(values: Column) -> Column:

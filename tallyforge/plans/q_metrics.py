@@ -80,15 +80,34 @@ def confusion_matrix(spark, folder):
     return ops.confusion_matrix(multi(spark, folder))
 
 
-@query("evaluation_report", f"""WITH p AS ({BINARY_SQL}),
-    cells AS (SELECT label, prediction, count(*) AS n FROM p GROUP BY label, prediction)
-    SELECT {ACCURACY} AS accuracy, {PRECISION} AS precision, {F1} AS f1_score,
-        (SELECT string_agg(concat(label, ':', prediction, ':', n), ',' ORDER BY label, prediction) FROM cells)
-            AS confusion_matrix FROM p""")
+@query("confusion_matrix_by_key", f"""WITH p AS ({MULTI_SQL}), k AS (SELECT l_returnflag, label AS c FROM p UNION SELECT l_returnflag, prediction FROM p)
+    SELECT a.l_returnflag, a.c AS label, b.c AS prediction, count(p.label) AS n
+    FROM k AS a JOIN k AS b USING (l_returnflag) LEFT JOIN p ON p.l_returnflag = a.l_returnflag AND p.label = a.c AND p.prediction = b.c
+    GROUP BY a.l_returnflag, a.c, b.c""")
+def confusion_matrix_by_key(spark, folder):
+    return ops.confusion_matrix(multi(spark, folder), ["l_returnflag"])
+
+
+@query("evaluation_report", f"""WITH p AS ({BINARY_SQL}), s AS (SELECT {ACCURACY} AS accuracy, {PRECISION} AS precision, {F1} AS f1_score FROM p),
+    k AS (SELECT label AS c FROM p UNION SELECT prediction FROM p)
+    SELECT a.c AS label, b.c AS prediction, count(p.label) AS n, any_value(accuracy) AS accuracy, any_value(precision) AS precision,
+        any_value(f1_score) AS f1_score
+    FROM s CROSS JOIN k AS a CROSS JOIN k AS b LEFT JOIN p ON p.label = a.c AND p.prediction = b.c GROUP BY a.c, b.c""")
 def evaluation_report(spark, folder):
-    report = ops.evaluation_report(binary(spark, folder))
-    cells = F.transform("confusion_matrix", lambda c: F.concat_ws(":", c["label"], c["prediction"], c["n"]))
-    return report.withColumn("confusion_matrix", F.array_join(cells, ","))
+    return ops.evaluation_report(binary(spark, folder))
+
+
+@query("evaluation_report_weighted", f"""WITH p AS ({MULTI_SQL}), a AS (SELECT l_returnflag, {ACCURACY} AS accuracy FROM p GROUP BY l_returnflag),
+    w AS (SELECT l_returnflag, round(sum(p * support) / sum(support), 9) AS precision, round(sum(f * support) / sum(support), 9) AS f1_score
+          FROM ({PER_CLASS_SQL}) AS c GROUP BY l_returnflag),
+    k AS (SELECT l_returnflag, label AS c FROM p UNION SELECT l_returnflag, prediction FROM p)
+    SELECT x.l_returnflag, x.c AS label, y.c AS prediction, count(p.label) AS n, any_value(accuracy) AS accuracy,
+        any_value(precision) AS precision, any_value(f1_score) AS f1_score
+    FROM k AS x JOIN k AS y USING (l_returnflag) JOIN a USING (l_returnflag) JOIN w USING (l_returnflag)
+    LEFT JOIN p ON p.l_returnflag = x.l_returnflag AND p.label = x.c AND p.prediction = y.c GROUP BY x.l_returnflag, x.c, y.c""")
+def evaluation_report_weighted(spark, folder):
+    """Weighted scores and the dense matrix of seven classes, for each return flag."""
+    return rounded(ops.evaluation_report(multi(spark, folder), ["l_returnflag"], weighted=True), "precision", "f1_score", digits=9)
 
 
 @query("batch_score", """SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS predicted

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import metrics, models, prep, recipes
 from tallyforge.operators.smote import smote_oversample
-from tallyforge.plans.q_prep import TAB_NULLS_SQL, XS, encode_sql, tab_with_nulls
+from tallyforge.plans.q_prep import TAB_NULLS_SQL, XS, encode_sql, md5_part, tab_with_nulls
 from tallyforge.plans.q_runlog import rounded
 from tallyforge.plans.registry import query
 from tallyforge.plans.views import view
@@ -79,48 +79,78 @@ def digits(spark, folder):
     return prep.random_split(rows, "vec_id")
 
 
-def _counts(predictions):
-    return metrics.pair_counts(predictions.select(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction")))
+def _outcome(predictions):
+    """Test rows per label, and whether the model beats the guess of the commonest label.
 
+    Predictions differ between solvers; these figures don't.
+    """
+    counts = metrics.pair_counts(predictions.select(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction")))
+    sizes = counts.groupBy("label").agg(F.sum("n").alias("n_test"), F.sum(F.when(F.expr("label = prediction"), F.col("n")).otherwise(0)).alias("_right"))
+    # One row of scalars, never a row per prediction.
+    beats = sizes.agg((F.sum("_right") > F.max("n_test")).alias("beats_majority"))
+    return sizes.select("label", "n_test", beats.scalar().alias("beats_majority"))
 
-@query("train_logistic")
+
+def _outcome_sql(rows: str, key: str) -> str:
+    return f"""SELECT CAST(label AS INTEGER) AS label, CAST(count(*) AS BIGINT) AS n_test, true AS beats_majority
+    FROM {rows} WHERE {md5_part(f"concat({key}, '|42')")} < 858993459 GROUP BY label"""
+
+
+TAB_OUTCOME = _outcome_sql("v_tab", "row_key")
+
+
+@query("train_logistic", TAB_OUTCOME)
 def train_logistic(spark, folder):
-    return _counts(models.train_and_score(prepared(spark, folder), lambda t: models.train_logistic(t, c=0.1)))
+    return _outcome(models.train_and_score(prepared(spark, folder), lambda t: models.train_logistic(t, c=0.1)))
 
 
-@query("train_tree")
+@query("train_tree", TAB_OUTCOME)
 def train_tree(spark, folder):
-    return _counts(models.train_and_score(prepared(spark, folder), models.train_tree))
+    return _outcome(models.train_and_score(prepared(spark, folder), models.train_tree))
 
 
-@query("train_forest")
+@query("train_forest", TAB_OUTCOME)
 def train_forest(spark, folder):
-    return _counts(models.train_and_score(prepared(spark, folder), models.train_forest))
+    return _outcome(models.train_and_score(prepared(spark, folder), models.train_forest))
 
 
-@query("train_linear_svm")
+@query("train_linear_svm", TAB_OUTCOME)
 def train_linear_svm(spark, folder):
-    return _counts(models.train_and_score(prepared(spark, folder), lambda t: models.train_linear_svm(t, max_iter=100)))
+    return _outcome(models.train_and_score(prepared(spark, folder), models.train_linear_svm))
 
 
-@query("train_rbf_svm")
+@query("train_rbf_svm", TAB_OUTCOME)
 def train_rbf_svm(spark, folder):
-    return _counts(models.rbf_svm(prepared(spark, folder)))
+    return _outcome(models.rbf_svm(prepared(spark, folder)))
 
 
-@query("train_dense_net")
+@query("train_dense_net", _outcome_sql("embeddings", "vec_id"))
 def train_dense_net(spark, folder):
-    return _counts(models.train_and_score(digits(spark, folder), lambda t: models.train_dense_net(t, [64, 128, 10])))
+    """The three hidden layers of the flow-record network."""
+    return _outcome(models.train_and_score(digits(spark, folder), lambda t: models.train_dense_net(t, [64, 128, 96, 64, 10])))
 
 
-@query("persist_model")
-def persist_model(spark, folder):
-    """Predictions of a model and of its saved copy; `n_equal` must be `n`."""
+def _reloaded(spark, folder):
+    """Every row of the prepared table with the predictions of a model and of its saved copy."""
     vectors = models.as_vectors(prepared(spark, folder))
-    model = models.train_logistic(vectors.filter("split = 'train'").select("features", "label"), max_iter=20)
+    model = models.train_logistic(vectors.filter("split = 'train'").select("features", "label"))
     path = scratch_path(spark, "model")
     models.save_model(model, path)
-    first = models.score(model, vectors)
-    again = models.score(models.load_model(LogisticRegressionModel, path),
-                         first.select("row_key", "features", "label", F.col("prediction").alias("before")))
-    return again.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") == F.col("prediction")).alias("n_equal"))
+    first = models.score(model, vectors).select("row_key", "features", "label", "split", F.col("prediction").alias("before"))
+    return models.score(models.load_model(LogisticRegressionModel, path), first)
+
+
+@query("persist_model", "SELECT count(*) AS n, count(*) AS n_equal FROM v_tab")
+def persist_model(spark, folder):
+    return _reloaded(spark, folder).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") == F.col("prediction")).alias("n_equal"))
+
+
+@query("batch_score_model", f"""SELECT CASE WHEN {md5_part("concat(row_key, '|42')")} < 858993459 THEN 'test' ELSE 'train' END AS split,
+    count(*) AS n, count(*) AS n_argmax, true AS beats_majority FROM v_tab GROUP BY 1""")
+def batch_score_model(spark, folder):
+    """A loaded model scores every row; its prediction is the arg-max of its class probabilities."""
+    scored = _reloaded(spark, folder)
+    right = F.count_if(F.col("prediction") == F.col("label"))
+    return scored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(metrics.argmax(F.col("probability")) == F.col("prediction")).alias("n_argmax"),
+        (right > F.greatest(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0))).alias("beats_majority"))

@@ -6,7 +6,6 @@ import __spark_entry__ as entry
 from tests.compare import compare, connect
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-SLOW = {"train_forest", "train_rbf_svm", "train_linear_svm", "train_logistic"}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +18,7 @@ def test_equals_sql(spark, sf, con, key):
     assert compare(spark, QUERIES[key], ORACLES[key], sf, con) is None
 
 
-@pytest.mark.parametrize("key", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("key", sorted(set(QUERIES) - set(ORACLES)))
 def test_has_rows(spark, sf, key):
     assert QUERIES[key](spark, sf).count() > 0
 
