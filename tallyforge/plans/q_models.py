@@ -72,10 +72,11 @@ def prepared(spark, folder):
     return prep.features_target(scaled, "label", keep=["row_key", "split"], features=columns)
 
 
-def digits(spark, folder):
-    """Embeddings as ten-class images."""
+def signs(spark, folder):
+    """Vectors in four classes, by the signs of their first two values."""
+    sign = lambda i: (F.get("embedding", F.lit(i)) > 0).cast("int")
     rows = table(spark, folder, "embeddings").select(
-        F.col("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), "label")
+        F.col("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), (sign(0) + 2 * sign(1)).alias("label"))
     return prep.random_split(rows, "vec_id")
 
 
@@ -124,10 +125,13 @@ def train_rbf_svm(spark, folder):
     return _outcome(models.rbf_svm(prepared(spark, folder)))
 
 
-@query("train_dense_net", _outcome_sql("embeddings", "vec_id"))
+SIGNS_SQL = "(SELECT vec_id, (embedding[1] > 0)::INTEGER + 2 * (embedding[2] > 0)::INTEGER AS label FROM embeddings) AS e"
+
+
+@query("train_dense_net", _outcome_sql(SIGNS_SQL, "vec_id"))
 def train_dense_net(spark, folder):
     """The three hidden layers of the flow-record network."""
-    return _outcome(models.train_and_score(digits(spark, folder), lambda t: models.train_dense_net(t, [64, 128, 96, 64, 10])))
+    return _outcome(models.train_and_score(signs(spark, folder), lambda t: models.train_dense_net(t, [64, 128, 96, 64, 4])))
 
 
 def _reloaded(spark, folder):

@@ -49,15 +49,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Writes an intermediate once to the shared folder and reads it back.
 
     Later uses read only the columns they need, their size is known to the planner, and
     a lost executor costs a re-read instead of a recomputation. Files stay until the
-    folder of the application is removed.
+    folder of the application is removed. Long texts are worth `compression="zstd"`.
     """
     path = scratch_path(df.sparkSession, "settled")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
