@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyforge.llm.byte_bpe import RANKS, encoder
-from tallyforge.llm.common import extended, query, table
+from tallyforge.llm.common import arrow_map, extended, query, table
 
 _LENGTHS: dict[str, np.ndarray] = {}
 _OUT = "section int, name string, start_char long, end_char long, tokens_start long, tokens_majority long, tokens_fraction double, crossing long"
@@ -122,7 +122,7 @@ def attribute(docs: DataFrame, sections: str | None = None, ranks_path: str = RA
                 flat[0] = flat[0].cast(pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), *flat], names=["doc_id", *(f.split()[0] for f in _OUT.split(", "))])
 
-    return given.mapInArrow(run, extended(given.select("doc_id").schema, _OUT))
+    return given.transform(arrow_map, run, extended(given.select("doc_id").schema, _OUT))
 
 
 @query("op1_token_counts")

@@ -30,7 +30,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyforge.llm.common import arrow_rows, batches, query, table
+from tallyforge.llm.common import arrow_map, arrow_rows, batches, query, table
 from tallyforge.session import settle
 
 CHUNK_CHARS = 32_768
@@ -79,7 +79,7 @@ def _resynchronised(chunks: DataFrame, chunk_chars: int, overlap: int) -> DataFr
     id_type = pa.int64() if chunks.schema["doc_id"].dataType.typeName() == "long" else pa.string()
     kind = chunks.schema["doc_id"].dataType.simpleString()
     order = Window.partitionBy(*_KEY).orderBy("k")
-    return (chunks.repartition(*_KEY, "k").mapInArrow(edges, f"doc_id {kind}, row string, k long, head array<long>, tail array<long>")
+    return (chunks.repartition(*_KEY, "k").transform(arrow_map, edges, f"doc_id {kind}, row string, k long, head array<long>, tail array<long>")
             .withColumn("cut", F.array_min(F.array_intersect("tail", F.lead("head").over(order))))
             .groupBy(*_KEY).agg(F.array_sort(F.collect_list("cut")).alias("cuts")))
 
@@ -125,7 +125,7 @@ def encode_pieces(parts: DataFrame, ranks_path: str = RANKS) -> DataFrame:
                 yield _with_ids(part, [encoding.encode_to_numpy(t, disallowed_special=()) for t in part.column(5).to_pylist()])
 
     kind = parts.schema["doc_id"].dataType.simpleString()
-    return parts.mapInArrow(run, f"doc_id {kind}, row string, copies long, piece int, n_pieces int, ids array<int>")
+    return parts.transform(arrow_map, run, f"doc_id {kind}, row string, copies long, piece int, n_pieces int, ids array<int>")
 
 
 def encode(docs: DataFrame, ranks_path: str = RANKS, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
@@ -152,7 +152,7 @@ def decode(encoded: DataFrame, ranks_path: str = RANKS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], data], names=[*part.schema.names[:-1], "data"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInArrow(run, f"doc_id {kind}, row string, copies long, piece int, n_pieces int, data binary")
+    return encoded.transform(arrow_map, run, f"doc_id {kind}, row string, copies long, piece int, n_pieces int, data binary")
 
 
 def digests(docs: DataFrame, ranks_path: str = RANKS, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
@@ -188,8 +188,8 @@ def digests(docs: DataFrame, ranks_path: str = RANKS, chunk_chars: int = CHUNK_C
     short, cut = pieces(docs, chunk_chars, overlap)
     kind = short.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    alone = encode_pieces(short, ranks_path).mapInArrow(run, out)
-    tied = encode_pieces(cut, ranks_path).repartition(*_KEY).sortWithinPartitions(*_KEY, "piece").mapInArrow(run, out)
+    alone = encode_pieces(short, ranks_path).transform(arrow_map, run, out)
+    tied = encode_pieces(cut, ranks_path).repartition(*_KEY).sortWithinPartitions(*_KEY, "piece").transform(arrow_map, run, out)
     return alone.unionByName(tied)
 
 

@@ -62,3 +62,9 @@ def arrow_rows(stream: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
 def extended(schema: T.StructType, ddl: str) -> T.StructType:
     """A new schema with the columns of `ddl` after those of `schema`."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """`df.mapInArrow(run, schema)` with batches of at most 4 MB, so that long texts don't add up to batches of any size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return df.mapInArrow(run, schema)

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyforge.llm.common import extended, query, table
+from tallyforge.llm.common import arrow_map, extended, query, table
 from tallyforge.session import settle
 
 PART_WORDS = 64
@@ -99,7 +99,7 @@ def _document_frequency(docs: DataFrame, wanted: frozenset[bytes]) -> tuple[dict
                     counts.update(wanted.intersection(words_of(text)))
         yield pa.RecordBatch.from_pydict({"word": pa.array([b"", *counts], pa.binary()), "n": pa.array([total, *counts.values()], pa.int64())})
 
-    rows = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").transform(arrow_map, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     found = {bytes(r.word): r.n for r in rows}
     return found, found.pop(b"", 0)
 
@@ -144,7 +144,7 @@ def passages(docs: DataFrame, number: dict[bytes, int]) -> DataFrame:
                 found = [terms for text in batch.column(0).slice(start, 1024).to_pylist() for _, terms in windows(words_of(text), number)]
                 yield pa.RecordBatch.from_pydict({"terms": pa.array(found, pa.list_(pa.int32()))})
 
-    return docs.select("text").mapInArrow(run, "terms array<int>")
+    return docs.select("text").transform(arrow_map, run, "terms array<int>")
 
 
 _TERMS = 256  # terms in a block of a product
@@ -181,7 +181,7 @@ def _times_gram(rows: DataFrame, weights: np.ndarray, block: np.ndarray) -> np.n
                 part, total = number, own.copy() if total is None else total + own
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
 
-    summed = rows.mapInArrow(multiply, "part int, data binary").groupBy("part").applyInArrow(add, "part int, data binary")
+    summed = rows.transform(arrow_map, multiply, "part int, data binary").groupBy("part").applyInArrow(add, "part int, data binary")
     out = np.zeros(shape)
     for r in summed.toLocalIterator():
         own = np.frombuffer(bytes(r.data), np.float64).reshape(-1, shape[1])
@@ -303,7 +303,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = [index.leaks(t) for s in range(0, batch.num_rows, 256) for t in batch.column(at).slice(s, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, typ)], names=[*batch.schema.names, "_more"])
 
-        out = out.mapInArrow(run, extended(out.schema, f"_more {kind}")).withColumn("leaks", F.concat("leaks", "_more")).drop("_more")
+        out = out.transform(arrow_map, run, extended(out.schema, f"_more {kind}")).withColumn("leaks", F.concat("leaks", "_more")).drop("_more")
     return out
 
 

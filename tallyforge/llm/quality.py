@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyforge.llm.common import arrow_rows, extended, query, table
+from tallyforge.llm.common import arrow_map, arrow_rows, extended, query, table
 
 SYMBOLS = "#*$%&|<>"
 _ALPHA = re.compile(r"[^\W\d_]")
@@ -114,7 +114,7 @@ def rule_order(docs: DataFrame, sample_rows: int = 2000) -> list[str]:
                 seconds[k] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"rule": names, "seen": [seen] * len(names), "rejected": rejected, "seconds": seconds})
 
-    figures = (picked.mapInArrow(measure, "rule string, seen long, rejected long, seconds double")
+    figures = (picked.transform(arrow_map, measure, "rule string, seen long, rejected long, seconds double")
                .groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds")).collect())
     gain = {r.rule: (r.rejected + 0.01) / (r.seconds + 1e-9) for r in figures}
     return sorted(names, key=lambda n: (-gain.get(n, 0.0), n))
@@ -144,7 +144,7 @@ def quality_cascade(docs: DataFrame, order: list[str] | None = None) -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*carried, *added])
 
     plain = docs.select(*(f"`{c}`" for c in carried))
-    return plain.mapInArrow(judge, extended(plain.schema, "n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    return plain.transform(arrow_map, judge, extended(plain.schema, "n_words long, word_chars long, n_symbols long, n_dup_lines long, "
                                             "n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"))
 
 

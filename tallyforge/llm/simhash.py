@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallyforge.llm.common import extended, query, table
+from tallyforge.llm.common import arrow_map, extended, query, table
 from tallyforge.llm.components import components
 from tallyforge.session import settle
 
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
                                for t in batch.column(1).slice(s, 256).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, extended(docs.select("doc_id").schema, "fp long"))
+    return docs.select("doc_id", "text").transform(arrow_map, run, extended(docs.select("doc_id").schema, "fp long"))
 
 
 def bits_between(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -226,7 +226,7 @@ def near_links(nodes: DataFrame, max_bits: int = 4, sample_rows: int = 65_536, s
         ids = shard.column("node").to_numpy()
         return pa.table({"a": pa.array(ids[i], pa.int64()), "b": pa.array(ids[j], pa.int64())})
 
-    return (nodes.select("node", "fp").mapInArrow(deal, "shard int, node long, fp long, home boolean")
+    return (nodes.select("node", "fp").transform(arrow_map, deal, "shard int, node long, fp long, home boolean")
             .groupBy("shard").applyInArrow(join, "a long, b long"))
 
 

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyforge.llm.common import extended, query, table
+from tallyforge.llm.common import arrow_map, extended, query, table
 from tallyforge.session import settle
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
@@ -166,7 +166,7 @@ def learn_lexicon(train: DataFrame, max_entries: int = 2000) -> list[str]:
     if not 0 < totals.t < totals.n:
         return []
     share = totals.t / totals.n
-    summed = (train.select("text", "toxic").mapInArrow(count, "entry string, dirty long, clean long")
+    summed = (train.select("text", "toxic").transform(arrow_map, count, "entry string, dirty long, clean long")
               .groupBy("entry").agg(F.sum("dirty").alias("dirty"), F.sum("clean").alias("clean")).where("dirty >= 3"))
     n = F.col("dirty") + F.col("clean")
     excess = 2 * (F.col("dirty") * F.log(F.col("dirty") / (n * share))
@@ -206,7 +206,7 @@ def _counted(docs: DataFrame, entries: list[str]) -> DataFrame:
             names = [c for i, c in enumerate(batch.schema.names) if i != at]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(found, pa.list_(pa.int32()))], names=[*names, "counts"])
 
-    return docs.mapInArrow(run, extended(docs.drop("text").schema, "counts array<int>"))
+    return docs.transform(arrow_map, run, extended(docs.drop("text").schema, "counts array<int>"))
 
 
 def fit(train: DataFrame, penalty: float = 0.1) -> Model:

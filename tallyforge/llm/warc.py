@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyforge.llm.common import arrow_rows, batches, query, table
+from tallyforge.llm.common import arrow_map, arrow_rows, batches, query, table
 from tallyforge.session import scratch_path, settle
 
 CHUNK_BYTES = 65_536
@@ -110,7 +110,7 @@ def write_archives(records: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES
         yield from batches(rows, pa.schema([("value", pa.binary())]), weigh=lambda r: len(r[0]))
 
     ready = with_revisits(records, revisit_min_bytes).select("record_id", "uri", "payload", "digest", "n_bytes", "refers_to")
-    ready.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.text(path, compression="gzip", lineSep="\r\n\r\n")
+    ready.transform(arrow_map, run, "value binary").select(F.col("value").cast("string")).write.text(path, compression="gzip", lineSep="\r\n\r\n")
 
 
 _CHUNKS = ("record string, chunk int, last boolean, warc_type string, uri string, payload_digest string, declared_bytes long, "
@@ -138,54 +138,67 @@ def _parse(raw: bytes) -> tuple:
             fields.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None, declared, bare("WARC-Refers-To"), block)
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunked record table of the archives in `path`: one row per record or segment, its bytes in `data`, checked."""
+_PARSED = pa.schema([("record", pa.string()), ("chunk", pa.int32()), ("last", pa.bool_()), ("warc_type", pa.string()), ("uri", pa.string()),
+                     ("payload_digest", pa.string()), ("declared_bytes", pa.int64()), ("refers_to", pa.string()), ("data", pa.binary())])
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record", pa.string()), ("chunk", pa.int32()), ("last", pa.bool_()), ("warc_type", pa.string()), ("uri", pa.string()),
-                            ("payload_digest", pa.string()), ("declared_bytes", pa.int64()), ("refers_to", pa.string()), ("data", pa.binary())])
-        yield from batches((_parse(raw) for (raw,) in arrow_rows(stream)), schema, weigh=lambda r: len(r[8]))
 
-    return (spark.read.text(path, lineSep=SEPARATOR.decode()).select(F.col("value").cast("binary")).mapInArrow(run, _CHUNKS))
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """The records and segments of the archives in `path`, one row each: `value`, its bytes, and whether it is one of several `segments`."""
+    raw = spark.read.text(path, lineSep=SEPARATOR.decode())
+    head = F.substring_index("value", END.decode(), 1)
+    return raw.select(F.contains(head, F.lit("WARC-Segment-Number: ")).alias("segments"), F.col("value").cast("binary"))
+
 
+def read_chunks(archives: DataFrame) -> DataFrame:
+    """The chunked record table: one row per record or segment, checked, its part of the payload in `data`."""
 
-def digest_records(chunks: DataFrame) -> DataFrame:
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches((_parse(raw) for (raw,) in arrow_rows(stream)), _PARSED, weigh=lambda r: len(r[8]))
+
+    return archives.select("value").transform(arrow_map, run, _CHUNKS)
+
+
+def _running(chunks: Iterator[tuple]) -> Iterator[tuple]:
+    """Digested records out of chunks in order; holds one chunk at a time. A segment that comes twice belongs to equal rows."""
+    head = running = before = None
+    n = copies = 0
+    for row in chunks:
+        record, chunk, last, *_, data = row
+        if not last and chunk == 1 and (record, chunk) == before:
+            copies += 1
+            continue
+        if chunk == 1:
+            head, running, n, copies = row, hashlib.sha1(), 0, 1
+        elif (record, chunk) == before:
+            continue
+        before = (record, chunk)
+        running.update(data)
+        n += len(data)
+        if last:
+            _, _, _, kind, uri, digest, declared, refers, _ = head
+            size, found = (declared, digest) if kind == "revisit" else (n, base64.b32encode(running.digest()).decode())
+            for _ in range(copies):
+                yield record, kind, uri, size, found, refers, size == declared and found == digest
+
+
+def digest_records(archives: DataFrame) -> DataFrame:
     """Per record: record, warc_type, uri, n_bytes and digest of the whole payload, refers_to, valid (they equal what was declared).
 
-    Records of one chunk are digested where they lie; the chunks of others meet in order in one
-    task, which carries the running digest and holds one chunk at a time.
+    Records of one chunk are digested where they are read; the chunks of others meet in order in
+    one task, which carries the running digest on.
     """
+    names = ["record", "warc_type", "uri", "n_bytes", "digest", "refers_to", "valid"]
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+    schema, out = pa.schema(list(zip(names, types))), "record string, warc_type string, uri string, n_bytes long, digest string, refers_to string, valid boolean"
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def records():
-            head = running = n = copies = None
-            before = None
-            for row in arrow_rows(stream):
-                record, chunk, last, kind, uri, digest, declared, refers, data = row
-                if chunk == 1 and (record, chunk) == before and not last:
-                    copies += 1
-                    continue
-                if chunk == 1:
-                    head, running, n, copies = row, hashlib.sha1(), 0, 1
-                elif (record, chunk) == before:
-                    continue
-                before = (record, chunk)
-                running.update(data)
-                n += len(data)
-                if last:
-                    _, _, _, kind, uri, digest, declared, refers, _ = head
-                    found = base64.b32encode(running.digest()).decode()
-                    if kind == "revisit":
-                        n, found = declared, digest
-                    for _ in range(copies):
-                        yield record, kind, uri, n, found, refers, n == declared and found == digest
-
-        yield from batches(records(), pa.schema([("record", pa.string()), ("warc_type", pa.string()), ("uri", pa.string()), ("n_bytes", pa.int64()),
-                                                 ("digest", pa.string()), ("refers_to", pa.string()), ("valid", pa.bool_())]))
-
-    out = "record string, warc_type string, uri string, n_bytes long, digest string, refers_to string, valid boolean"
-    alone = chunks.where("chunk = 1 AND last").mapInArrow(run, out)
-    tied = chunks.where("NOT (chunk = 1 AND last)").repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(run, out)
+    def whole(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(_running(_parse(raw) for (raw,) in arrow_rows(stream)), schema)
+
+    def chunked(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(_running(arrow_rows(stream)), schema)
+
+    alone = archives.where("NOT segments").select("value").transform(arrow_map, whole, out)
+    tied = read_chunks(archives.where("segments")).repartition("record").sortWithinPartitions("record", "chunk").transform(arrow_map, chunked, out)
     return alone.unionByName(tied)
 
 
@@ -207,6 +220,6 @@ def op2_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     write_archives(pages.select(F.col("page_id").alias("record_id"), F.col("url").alias("uri"), F.col("html").cast("binary").alias("payload")), path)
     number = lambda c: F.expr(f"try_cast(split({c}, ':')[2] AS bigint)")
-    return digest_records(read_chunks(spark, path)).select(
+    return digest_records(read_archives(spark, path)).select(
         number("record").alias("page_id"), F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
         F.col("warc_type").alias("record_type"), number("refers_to").alias("refers_to"))

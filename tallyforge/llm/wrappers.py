@@ -27,7 +27,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyforge.llm.common import arrow_rows, batches, query, table
+from tallyforge.llm.common import arrow_map, arrow_rows, batches, query, table
 from tallyforge.session import settle
 
 DEPTH = 150
@@ -280,7 +280,7 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
     given = pages.select("page_id", "url", host("url").alias("host"), F.xxhash64(source).alias("page_key"), source.alias("html"))
     name = given.schema["page_id"].dataType.simpleString()
     kind = pa.int64() if name == "bigint" else pa.string()
-    return given.mapInArrow(run, f"page_id {name}, url string, host string, page_key long, skeleton string, blocks array<struct<node:int,text:string,linked:int>>")
+    return given.transform(arrow_map, run, f"page_id {name}, url string, host string, page_key long, skeleton string, blocks array<struct<node:int,text:string,linked:int>>")
 
 
 def aligned(shapes: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def aligned(shapes: DataFrame) -> DataFrame:
         yield from batches(rows(), pa.schema([("host", pa.string()), ("skeleton", pa.string()), ("node", pa.int32()), ("slot", pa.string()), ("role", pa.int32())]))
 
     pivots = shapes.groupBy("host").agg(F.max_by("skeleton", F.struct("pages", "skeleton")).alias("pivot"))
-    return shapes.join(pivots, "host").select("host", "skeleton", "pivot").mapInArrow(run, "host string, skeleton string, node int, slot string, role int")
+    return shapes.join(pivots, "host").select("host", "skeleton", "pivot").transform(arrow_map, run, "host string, skeleton string, node int, slot string, role int")
 
 
 def induced(parsed: DataFrame) -> DataFrame:

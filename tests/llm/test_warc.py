@@ -32,7 +32,7 @@ def round_trip(spark, rows, **how):
     df = spark.createDataFrame([(i, u, h.encode() if h is not None else None, 1) for i, u, h in rows], "record_id long, uri string, payload binary, digest int")
     path = scratch_path(spark, "warc")
     warc.write_archives(df, path, **how)
-    got = warc.digest_records(warc.read_chunks(spark, path)).collect()
+    got = warc.digest_records(warc.read_archives(spark, path)).collect()
     assert all(r.valid for r in got)
     number = lambda x: int(x.split(":")[2]) if x and x.split(":")[2] else None
     return path, sorted(((number(r.record), r.n_bytes, r.digest, r.warc_type, number(r.refers_to)) for r in got), key=str)
@@ -46,7 +46,7 @@ def test_round_trip(spark, chunk, least):
 
 def test_chunks_are_bounded_and_archives_are_warc(spark):
     path, _ = round_trip(spark, ROWS, chunk_bytes=64)
-    assert max(len(r.data) for r in warc.read_chunks(spark, path).collect()) <= 64
+    assert max(len(r.data) for r in warc.read_chunks(warc.read_archives(spark, path)).collect()) <= 64
     raw = b"".join(gzip.open(f).read() for f in glob.glob(f"{path}/*.gz"))
     while raw:  # each record is as long as it says
         head, _, rest = raw.partition(b"\r\n\r\n")
