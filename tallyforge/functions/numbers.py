@@ -9,9 +9,18 @@ def round_2dp(value: Column) -> Column:
     """Two decimals, half-even on the exact binary value (2.675 -> 2.67, 0.125 -> 0.12).
 
     `round` and `bround` look at the shortest decimal text of the double instead.
-    Meant for aggregated results, since it goes through a string.
+    Meant for aggregated results, since it goes through a string. Infinity gives NULL.
     """
-    return F.regexp_replace(F.format_number(value, 2), ",", "").cast("double")
+    return F.regexp_replace(F.format_number(value, 2), ",", "").try_cast("double")
+
+
+def seconds_2dp(micros: Column) -> Column:
+    """Whole, not negative microseconds as seconds with two decimals, rounded as `round_2dp` does.
+
+    Only an exact half of a hundredth depends on the binary value and needs its text.
+    """
+    hundredths = F.floor((micros + 5000) / 10_000)
+    return F.when(micros % 10_000 == 5000, round_2dp(micros / F.lit(1e6))).otherwise(hundredths / F.lit(100.0))
 
 
 def truncate(value: Column) -> Column:

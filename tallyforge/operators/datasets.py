@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Bytes of one item of each array type.
@@ -57,7 +59,8 @@ def array_size_kb(n_samples: Column, data_types: Column) -> Column:
         return F.coalesce(known, F.raise_error(F.concat(F.lit("unknown array type: "), entry["key"])).cast("int")) * entry["value"]
 
     sample = F.aggregate(F.map_entries(data_types), F.lit(0).cast("bigint"), lambda acc, e: acc + bytes_of(e))
-    return F.floor(n_samples * sample / BYTES_PER_KB)
+    # Whole numbers all the way: a quotient of doubles is one too high beyond 2^53.
+    return F.shiftright(n_samples.cast("bigint") * sample, int(math.log2(BYTES_PER_KB)))
 
 
 def size_in_memory(datasets: DataFrame, registry: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyforge.functions.numbers import round_2dp
+from tallyforge.functions.numbers import round_2dp, seconds_2dp
 from tallyforge.functions.ordered import exact_rank, running_totals
-from tallyforge.functions.timing import duration_or_null, finished_or_null, micros, seconds_between
+from tallyforge.functions.timing import duration_or_null, finished_or_null, micros, micros_between, seconds_between
 from tallyforge.session import settle
 
 # States of a run that has ended.
@@ -22,7 +22,8 @@ SUCCEEDED = "SUCCEEDED"
 
 def normalize_times(df: DataFrame, start: str, end: str) -> DataFrame:
     """`end` at or before the epoch means unfinished: NULL. Adds duration (2 dp), NULL when negative."""
-    duration = round_2dp(duration_or_null(F.col(start), F.col(end)))
+    us = micros_between(F.col(start), F.col(end))
+    duration = F.when(us >= 0, seconds_2dp(us))
     return df.withColumn("duration", duration).withColumn(end, finished_or_null(F.col(end)))
 
 
@@ -73,11 +74,13 @@ def prefix_match_run(pipelines: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def submission_windows(runs: DataFrame, every: str) -> DataFrame:
-    """Adds the window a run was submitted in and its number among non-empty windows."""
-    placed = runs.withColumn("window_start", F.window("submitted_at", every).getField("start"))
+    """Adds the window a run was submitted in and its number among non-empty windows; NULL for a run without a submission time."""
+    start = F.window("submitted_at", every).getField("start")
+    placed = runs.filter("submitted_at IS NOT NULL").withColumn("window_start", start)
     windows = settle(placed.select("window_start").distinct().withColumn("_us", micros(F.col("window_start"))))
     numbered = exact_rank(windows, [], ["_us"], "time_window").drop("_us")
-    return placed.join(numbered, "window_start")
+    # `window` itself drops rows without a time; they are in no window but stay in the result.
+    return placed.join(numbered, "window_start", "left").unionByName(runs.filter("submitted_at IS NULL"), allowMissingColumns=True)
 
 
 def state_changes(runs: DataFrame) -> DataFrame:

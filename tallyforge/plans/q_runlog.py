@@ -18,7 +18,7 @@ MICROS_EXEC = "epoch_us(finished_at) - epoch_us(scheduled_at)"
 
 MAKESPAN_SQL = """SELECT strategy, experiment,
     CAST(trunc((epoch_us(max(finished_at)) - epoch_us(min(scheduled_at))) / 1e6) AS BIGINT) AS makespan_s
-    FROM v_runs GROUP BY strategy, experiment"""
+    FROM v_runs WHERE finished_at IS NOT NULL GROUP BY strategy, experiment"""
 
 KFP_SPAN_SQL = """SELECT strategy, experiment, epoch_us(max(finished_at)) - epoch_us(min(submitted_at)) AS us
     FROM v_runs GROUP BY strategy, experiment"""
@@ -26,11 +26,11 @@ KFP_SPAN_SQL = """SELECT strategy, experiment, epoch_us(max(finished_at)) - epoc
 
 def last_per_name(value: str, out: str) -> str:
     return f"""SELECT strategy, experiment, name, {value} AS {out}
-    FROM v_runs QUALIFY row_number() OVER (PARTITION BY strategy, experiment, name
+    FROM v_runs WHERE {value} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY strategy, experiment, name
                                            ORDER BY submitted_at DESC, run_id DESC) = 1"""
 
 
-TOTAL_WAIT_SQL = f"""SELECT strategy, experiment, CAST(sum({WHOLE_WAIT}) AS BIGINT) AS total_wait_s
+TOTAL_WAIT_SQL = f"""SELECT strategy, experiment, CAST(coalesce(sum({WHOLE_WAIT}), 0) AS BIGINT) AS total_wait_s
     FROM v_runs GROUP BY strategy, experiment"""
 
 WAIT_AVG_SQL = f"""SELECT strategy, experiment, avg(wait_s) AS wait_avg

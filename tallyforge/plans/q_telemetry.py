@@ -98,7 +98,7 @@ def submission_windows(spark, folder):
 
 @query("running_waiting_counts", """WITH c AS (SELECT submitted_at AS ts, 0 AS r, 1 AS w FROM v_runs
         UNION ALL SELECT scheduled_at, 1, -1 FROM v_runs UNION ALL SELECT finished_at, -1, 0 FROM v_runs),
-    s AS (SELECT ts, sum(r) AS r, sum(w) AS w FROM c GROUP BY ts)
+    s AS (SELECT ts, sum(r) AS r, sum(w) AS w FROM c WHERE ts IS NOT NULL GROUP BY ts)
     SELECT ts, CAST(sum(r) OVER (ORDER BY ts) AS BIGINT) AS running, CAST(sum(w) OVER (ORDER BY ts) AS BIGINT) AS waiting FROM s""")
 def running_waiting_counts(spark, folder):
     return ops.running_waiting_counts(view(spark, folder, "v_runs"))

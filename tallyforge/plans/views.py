@@ -14,7 +14,7 @@ from tallyforge.functions.timing import micros
 from tallyforge.sources.tables import table
 
 RUNS = """
-SELECT user_id * 100000 + CAST(floor(rn / 3) AS BIGINT) AS run_id,
+SELECT CAST(user_id AS BIGINT) * 2147483648 + CAST(floor(rn / 3) AS BIGINT) AS run_id,
        CAST(floor(rn / 3) AS BIGINT) % 5 AS experiment,
        concat('p', CAST(user_id % 20 AS STRING)) AS name,
        max(CASE WHEN rn % 3 = 0 THEN event_type END) AS strategy,
@@ -23,7 +23,7 @@ SELECT user_id * 100000 + CAST(floor(rn / 3) AS BIGINT) AS run_id,
        min(CASE WHEN rn % 3 = 2 THEN ts END) AS finished_at
 FROM (SELECT user_id, event_id, ts, event_type,
              row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM {events}) AS numbered
-GROUP BY user_id, CAST(floor(rn / 3) AS BIGINT) HAVING count(*) = 3
+GROUP BY user_id, CAST(floor(rn / 3) AS BIGINT)
 """
 
 NODES = """
@@ -100,7 +100,7 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def runs(events: DataFrame) -> DataFrame:
-    """Three consecutive events of a user are one run: submitted, scheduled, finished."""
+    """Three consecutive events of a user are one run: submitted, scheduled, finished; the last may not have got so far."""
     slim = events.select("user_id", "event_id", "ts", "event_type", micros(F.col("ts")).alias("_us"))
     numbered = exact_rank(slim, ["user_id"], ["_us", "event_id"]).withColumn("_step", (F.col("rn") - 1) % 3)
     number = ((F.col("rn") - 1) / 3).cast("bigint")
@@ -115,11 +115,9 @@ def runs(events: DataFrame) -> DataFrame:
             F.min(at(0, "ts")).alias("submitted_at"),
             F.min(at(1, "ts")).alias("scheduled_at"),
             F.min(at(2, "ts")).alias("finished_at"),
-            F.count(F.lit(1)).alias("_events"),
         )
-        .filter("_events = 3")
         .select(
-            (F.col("user_id") * 100000 + F.col("_n")).alias("run_id"),
+            (F.col("user_id").cast("bigint") * 2147483648 + F.col("_n")).alias("run_id"),
             (F.col("_n") % 5).alias("experiment"),
             F.concat(F.lit("p"), (F.col("user_id") % 20).cast("string")).alias("name"),
             "strategy", "submitted_at", "scheduled_at", "finished_at",

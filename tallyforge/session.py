@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Folders of local applications without a setting of their own.
 _LOCAL_ROOTS: dict[str, str] = {}
+# Applications whose workers have the package.
+_SHIPPED: set[str] = set()
 
 
 def build_session(master: str | None = None, app: str = "tallyforge", **conf) -> SparkSession:
@@ -18,6 +22,9 @@ def build_session(master: str | None = None, app: str = "tallyforge", **conf) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # The state of the latest-state stream outgrows memory; this store keeps it on disk.
+        .config("spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     if master:
         builder = builder.master(master)
@@ -26,6 +33,23 @@ def build_session(master: str | None = None, app: str = "tallyforge", **conf) ->
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the workers, once per application, so that they find it whatever their working directory is."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tallyforge-package-"), "tallyforge")
+    spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(package), os.path.basename(package)))
+    _SHIPPED.add(application)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the application's intermediates in the shared folder; frames that read them are gone with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`.
 

@@ -17,7 +17,6 @@ from tallyforge.operators.telemetry import latest_by
 from tallyforge.session import scratch_path
 
 DELAY = "10 minutes"
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 from decimal import Decimal
 
@@ -78,10 +79,11 @@ def compare(spark, fn, sql, folder=DEFAULT, con=None):
 
 def main(keys):
     import __spark_entry__ as entry
-    from tallyforge.session import build_session
+    from tallyforge.session import build_session, release
 
     spark = build_session("local[8]", "compare", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
-                          spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
+                          spark__driver__memory="8g", spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="tallyforge-shared-"))
     spark.sparkContext.setLogLevel("ERROR")
     folder = os.environ.get("SF_DIR", DEFAULT)
     con = connect(folder)
@@ -99,6 +101,7 @@ def main(keys):
                 problem, note = None, f"rows {len(queries[key](spark, folder).collect())}"
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
+        release(spark)
         failed += problem is not None
         print(f"{key:28s} {time.time() - start:6.2f}s  {problem[:1800] if problem else note}", flush=True)
     print("failed:", failed)

@@ -9,15 +9,17 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from tallyforge.session import build_session
+def spark(tmp_path_factory):
+    from tallyforge.session import build_session, release
 
     session = build_session(
         "local[8]", "tests", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
         spark__driver__memory="6g", spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 
