@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyforge.functions.hashing import HASH_RANGE, hash32
 from tallyforge.functions.ordered import HOT_ROWS, exact_rank
-from tallyforge.session import checked_broadcast, settle
+from tallyforge.session import BROADCAST_BYTES, bounded_broadcast, settle, stored_bytes
 
 NUMERIC = (T.LongType, T.DoubleType)
 TEXT = (T.StringType,)
@@ -59,56 +59,79 @@ def drop_missing(df: DataFrame) -> DataFrame:
 
 # --- quantiles and clipping -----------------------------------------------------------
 
-def fit_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], margin: float = 1e-4) -> dict[str, list]:
+def fit_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], margin: float = 1e-4,
+                  piece_rows: int = 1_000_000) -> dict[str, list]:
     """Exact quantiles with linear interpolation, as {column: [value per prob]}.
 
-    A sketch brackets each wanted rank, then one pass counts what lies below the bracket
-    and the distinct values inside it, which are few. A bracket that misses its rank is
-    widened and tried again, up to the whole range. All columns share both passes.
+    A sketch brackets each wanted rank. One aggregation counts what lies below and inside all
+    brackets; a bracket that misses its rank is widened, one that holds more than `piece_rows` rows
+    is narrowed by a sketch of its inside, until every bracket is right and small or holds a single
+    value. Only rows inside a bracket are then counted by value and ranked.
     """
     values = df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     accuracy = int(10 / margin)
-    fitted: dict[str, list] = {}
-    pending = list(range(len(columns)))
-    while pending:
-        edges = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in probs for d in (-margin, margin)])
-        counted = values.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in pending],
-                             *[F.percentile_approx(f"c{i}", edges, F.lit(accuracy)).alias(f"e{i}") for i in pending]).first()
-        pieces, ranks = [], []
-        for i in [i for i in pending if counted[f"n{i}"] == 0]:
-            fitted[columns[i]] = [None] * len(probs)
-        pending = [i for i in pending if counted[f"n{i}"]]
-        if not pending:
-            break
-        for i in pending:
-            for j, p in enumerate(probs):
-                low, high = counted[f"e{i}"][2 * j], counted[f"e{i}"][2 * j + 1]
-                value = F.col(f"c{i}")
-                place = F.when(value <= F.lit(high), len(ranks)).alias("place")
-                # Everything below the bracket is one group, counted map-side.
-                pieces.append(F.struct(place, F.when(value >= F.lit(low), value).alias("value")))
-                position = (counted[f"n{i}"] - 1) * p
-                ranks.append((i, j, math.floor(position), math.ceil(position), position - math.floor(position)))
-        inside = values.select(F.inline(F.array(*pieces))).filter("place IS NOT NULL").groupBy("place", "value").agg(
-            F.count(F.lit(1)).alias("n"))
-        order = Window.partitionBy("place").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0)
-        wanted = F.get(F.array(*[F.array(F.lit(a), F.lit(b)) for _, _, a, b, _ in ranks]), F.col("place"))
-        hits = inside.withColumn("upto", F.sum("n").over(order)).filter(
-            F.exists(wanted, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))))
-        # At most two rows per column and probability.
-        found: dict[int, list] = {}
-        for hit in hits.collect():
-            found.setdefault(hit["place"], []).append((hit["upto"] - hit["n"], hit["upto"], hit["value"]))
-        missed = set()
-        results: dict[int, list] = {}
-        for place, (i, j, first, last, share) in enumerate(ranks):
-            ends = [next((v for lo, hi, v in found.get(place, []) if lo <= r < hi), None) for r in (first, last)]
-            if None in ends:
-                missed.add(i)
-            else:
-                results.setdefault(i, [None] * len(probs))[j] = ends[0] + (ends[1] - ends[0]) * share
-        fitted.update({columns[i]: r for i, r in results.items() if i not in missed})
-        pending, margin = sorted(missed), margin * 100
+    edges = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in probs for d in (-margin, margin)])
+    first = values.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(columns))],
+                       *[F.percentile_approx(f"c{i}", edges, F.lit(accuracy)).alias(f"e{i}") for i in range(len(columns))],
+                       *[f(f"c{i}").alias(f"{k}{i}") for i in range(len(columns)) for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    fitted: dict[str, list] = {c: [None] * len(probs) for c in columns}
+    brackets: dict[tuple[int, int], tuple[float, float]] = {}
+    wanted: dict[tuple[int, int], tuple[int, int, float]] = {}
+    for i in range(len(columns)):
+        for j, p in enumerate(probs):
+            if first[f"n{i}"]:
+                position = (first[f"n{i}"] - 1) * p
+                wanted[i, j] = math.floor(position), math.ceil(position), position - math.floor(position)
+                brackets[i, j] = first[f"e{i}"][2 * j], first[f"e{i}"][2 * j + 1]
+    below: dict[tuple[int, int], int] = {}
+    open_ones = list(brackets)
+    while open_ones:
+        asked = []
+        for i, j in open_ones:
+            value, (low, high) = F.col(f"c{i}"), brackets[i, j]
+            inside = (value >= F.lit(low)) & (value <= F.lit(high))
+            asked += [F.count_if(value < F.lit(low)).alias(f"b{i}_{j}"), F.count_if(inside).alias(f"i{i}_{j}")]
+            if first[f"n{i}"] > piece_rows:
+                asked.append(F.percentile_approx(F.when(inside, value), F.array(*[F.lit(k / 64) for k in range(65)]), F.lit(6400)).alias(f"s{i}_{j}"))
+        counted = values.agg(*asked).first()
+        again = []
+        for i, j in open_ones:
+            (a, b, _), (low, high) = wanted[i, j], brackets[i, j]
+            under, held = counted[f"b{i}_{j}"], counted[f"i{i}_{j}"]
+            if a < under or b >= under + held:
+                brackets[i, j] = (first[f"lo{i}"] if a < under else low, first[f"hi{i}"] if b >= under + held else high)
+                again.append((i, j))
+                continue
+            below[i, j] = under
+            if held > piece_rows and low < high:
+                # The marks cut the inside into 64 parts; the one with the rank, and its neighbours, hold a twentieth of it.
+                marks = counted[f"s{i}_{j}"]
+                k = int(64 * (a - under) / held)
+                narrow = (marks[max(0, k - 1)], marks[min(64, k + 2)])
+                if narrow != (low, high):
+                    brackets[i, j] = narrow
+                    again.append((i, j))
+        open_ones = again
+    if not wanted:
+        return fitted
+    keys = list(wanted)
+    pieces = [F.when((F.col(f"c{i}") >= F.lit(brackets[i, j][0])) & (F.col(f"c{i}") <= F.lit(brackets[i, j][1])),
+                     F.struct(F.lit(place).alias("place"), F.col(f"c{i}").alias("value"))) for place, (i, j) in enumerate(keys)]
+    inside = (values.select(F.explode(F.filter(F.array(*pieces), lambda x: x.isNotNull())).alias("p"))
+              .groupBy("p.place", "p.value").agg(F.count(F.lit(1)).alias("n")))
+    # Brackets hold at most `piece_rows` rows, or few values that are repeated.
+    order = Window.partitionBy("place").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.get(F.array(*[F.array(F.lit(wanted[k][0] - below[k]), F.lit(wanted[k][1] - below[k])) for k in keys]), F.col("place"))
+    hits = inside.withColumn("upto", F.sum("n").over(order)).filter(
+        F.exists(ends, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))))
+    # At most two rows per column and probability.
+    found: dict[int, list] = {}
+    for hit in hits.collect():
+        found.setdefault(hit["place"], []).append((hit["upto"] - hit["n"], hit["upto"], hit["value"]))
+    for place, (i, j) in enumerate(keys):
+        a, b, share = wanted[i, j]
+        low, high = (next(v for x, y, v in found[place] if x <= r - below[i, j] < y) for r in (a, b))
+        fitted[columns[i]][j] = low + (high - low) * share
     return fitted
 
 
@@ -171,9 +194,9 @@ def map_values(df: DataFrame, column: str, mapping: Mapping[str, str], out: str
 
 
 def map_values_table(df: DataFrame, column: str, mapping: DataFrame, out: str | None = None,
-                     max_rows: int = 200_000) -> DataFrame:
+                     max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The same for a dictionary held as a table (key, value) of any size."""
-    side = checked_broadcast(mapping.select(F.col("key").alias("_key"), F.col("value").alias("_mapped")), max_rows)
+    side = bounded_broadcast(mapping.select(F.col("key").alias("_key"), F.col("value").alias("_mapped")), max_bytes)
     joined = df.join(side, quoted(column) == F.col("_key"), "left").drop("_key")
     target = out or column
     return joined.withColumn(target, F.col("_mapped")).drop("_mapped")
@@ -184,26 +207,40 @@ def collapse_to_other(df: DataFrame, column: str, keep: str, other: str = "Other
     return df.withColumn(column, F.when(quoted(column) == keep, F.lit(keep)).otherwise(F.lit(other)))
 
 
-def label_classes(df: DataFrame, column: str) -> DataFrame:
-    """Distinct values in sorted order: rows (value, code) with codes 0..k-1."""
-    classes = settle(df.select(quoted(column).alias("value")).filter("value IS NOT NULL").distinct())
-    return exact_rank(classes, [], ["value"], "_rank").select("value", (F.col("_rank") - 1).alias("code"))
+def label_classes(df: DataFrame, columns: Sequence[str]) -> list[tuple[list[int], DataFrame]]:
+    """Distinct values in sorted order, per type of column: (column numbers, rows (column, value, code)) with codes 0..k-1.
 
-
-def label_encode(df: DataFrame, columns: Sequence[str], max_broadcast: int = 200_000) -> DataFrame:
+    Columns of one type share one pass over the data, one rank and one written table, however many they are.
+    """
+    by_type: dict[str, list[int]] = {}
+    for i, name in enumerate(columns):
+        by_type.setdefault(df.schema[name].dataType.simpleString(), []).append(i)
+    found = []
+    for numbers in by_type.values():
+        pairs = F.array(*[F.struct(F.lit(i).alias("column"), quoted(columns[i]).alias("value")) for i in numbers])
+        classes = settle(df.select(F.explode(pairs).alias("p")).select("p.column", "p.value").filter("value IS NOT NULL").distinct())
+        ranked = exact_rank(classes, ["column"], ["value"], "_rank")
+        found.append((numbers, ranked.select("column", "value", (F.col("_rank") - 1).alias("code"))))
+    return found
+
+
+def label_encode(df: DataFrame, columns: Sequence[str], max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
     """Replaces each column by its class code; NULL is the class after the last.
 
-    The class list is small for ordinary labels and then broadcast; a column with more
-    classes than `max_broadcast` is joined by shuffle instead.
+    The class list of all columns is broadcast while its files are small; beyond
+    `max_broadcast` bytes the columns are joined by shuffle instead.
     """
-    for name in columns:
-        classes = checked_broadcast(label_classes(df, name), max_broadcast)
-        side = classes.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-        missing = side.agg(F.count(F.lit(1)).alias("k")).scalar()
-        joined = df.join(side, quoted(name) == F.col("_value"), "left")
-        code = F.coalesce(F.col("_code"), missing)
-        df = joined.select(*[code.alias(c) if c == name else quoted(c) for c in df.columns])
-    return df
+    codes: dict[str, Column] = {}
+    joined = df
+    for numbers, classes in label_classes(df, columns):
+        side = settle(classes)
+        small = stored_bytes(side) <= max_broadcast
+        sizes = {r["column"]: r["n"] for r in side.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        for i in numbers:
+            own = side.filter(F.col("column") == i).select(F.col("value").alias(f"_value{i}"), F.col("code").alias(f"_code{i}"))
+            joined = joined.join(F.broadcast(own) if small else own, quoted(columns[i]) == F.col(f"_value{i}"), "left")
+            codes[columns[i]] = F.coalesce(F.col(f"_code{i}"), F.lit(sizes.get(i, 0)).cast("bigint"))
+    return joined.select(*[codes[c].alias(c) if c in codes else quoted(c) for c in df.columns])
 
 
 def binarize_equals(df: DataFrame, column: str, zero_value: str) -> DataFrame:
@@ -259,7 +296,7 @@ def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.
         "_end": F.sum("_n").over(upto),
         "_tests": F.ceil(F.sum("_n").over(Window.partitionBy("_class")) * F.lit(test_share)),
     }).filter((F.col("_tests") > F.col("_end") - F.col("_n")) & (F.col("_tests") <= F.col("_end")))
-    limits = checked_broadcast(limits.select(
+    limits = bounded_broadcast(limits.select(
         "_class", F.col("_range").alias("_limit"), (F.col("_tests") - (F.col("_end") - F.col("_n"))).alias("_left")))
     placed = hashed.join(limits, quoted(label).eqNullSafe(F.col("_class")), "left")
     on_limit = F.coalesce(F.col("_range") == F.col("_limit"), F.lit(False))

@@ -59,15 +59,18 @@ def content_key(df: DataFrame, out: str = "row_key") -> DataFrame:
 
 
 def split_and_scale(df: DataFrame, label: str, scaled: list[str] | None = None, stratified: bool = False,
-                    resample: Resampler | None = None) -> DataFrame:
-    """Rows (row_key, features.., label, split), scaled by the train part."""
+                    resample: Resampler | None = None, key: str | None = None) -> DataFrame:
+    """Rows (row_key, features.., label, split), scaled by the train part.
+
+    `key` names a column that already tells rows apart; without it the content does.
+    """
     ready = df if resample is None else resample(df, label)
-    keyed = content_key(ready)
+    keyed = content_key(ready) if key is None else ready.withColumnRenamed(key, "row_key")
     if stratified:
         parts = prep.stratified_split(keyed, "row_key", label, TEST_SHARE, SEED)
     else:
         parts = prep.random_split(keyed, "row_key", TEST_SHARE, SEED)
-    columns = scaled if scaled is not None else [c for c in df.columns if c != label]
+    columns = scaled if scaled is not None else [c for c in df.columns if c not in (label, key)]
     return prep.standard_scale(parts, columns, F.col("split") == "train")
 
 
@@ -90,10 +93,10 @@ def clean_connections(df: DataFrame) -> DataFrame:
     return prep.binarize_equals(encoded, "label", "normal.")
 
 
-def clean_flows(df: DataFrame) -> DataFrame:
+def clean_flows(df: DataFrame, key: str | None = None) -> DataFrame:
     """Network flows: id and attack category dropped, incomplete rows dropped, text encoded."""
     df = prep.drop_missing(prep.drop_columns(df, ["id", "attack_cat"]))
-    return prep.label_encode(df, prep.columns_of(df, prep.TEXT))
+    return prep.label_encode(df, [c for c in prep.columns_of(df, prep.TEXT) if c != key])
 
 
 def clean_wine(df: DataFrame) -> DataFrame:
@@ -105,27 +108,27 @@ def clean_credit(df: DataFrame) -> DataFrame:
     return prep.drop_columns(renamed, ["ID"])
 
 
-def census(df: DataFrame, resample: Resampler | None = None, sketch: bool = False) -> DataFrame:
+def census(df: DataFrame, resample: Resampler | None = None, sketch: bool = False, key: str | None = None) -> DataFrame:
     """Balances before the split, as the published numbers of this table do."""
-    return split_and_scale(clean_census(df, sketch), "income", resample=resample)
+    return split_and_scale(clean_census(df, sketch), "income", resample=resample, key=key)
 
 
-def connections(df: DataFrame) -> DataFrame:
-    return split_and_scale(clean_connections(df), "label")
+def connections(df: DataFrame, key: str | None = None) -> DataFrame:
+    return split_and_scale(clean_connections(df), "label", key=key)
 
 
-def flows(df: DataFrame) -> DataFrame:
+def flows(df: DataFrame, key: str | None = None) -> DataFrame:
     """Scales only the columns that were numeric before encoding; stratified split."""
     numeric = [c for c in prep.columns_of(df, prep.NUMERIC) if c not in ("id", "attack_cat", "label")]
-    return split_and_scale(clean_flows(df), "label", scaled=numeric, stratified=True)
+    return split_and_scale(clean_flows(df, key), "label", scaled=numeric, stratified=True, key=key)
 
 
-def wine(df: DataFrame) -> DataFrame:
-    return split_and_scale(clean_wine(df), "quality")
+def wine(df: DataFrame, key: str | None = None) -> DataFrame:
+    return split_and_scale(clean_wine(df), "quality", key=key)
 
 
-def credit(df: DataFrame) -> DataFrame:
-    return split_and_scale(clean_credit(df), "default")
+def credit(df: DataFrame, key: str | None = None) -> DataFrame:
+    return split_and_scale(clean_credit(df), "default", key=key)
 
 
 def images(df: DataFrame, shape: tuple[int, int, int], key: str = "idx") -> DataFrame:

@@ -89,15 +89,16 @@ def settle(df: DataFrame, compression: str | None = None) -> DataFrame:
 BROADCAST_BYTES = 64 << 20
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files behind a settled frame, as the planner sees them."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Settles `df` and hints a broadcast only if its files hold at most `max_bytes` bytes.
 
     Beyond that the plain frame is returned and Spark shuffles the join, splitting
-    skewed keys at run time. The size is that of the files as the planner sees them.
+    skewed keys at run time.
     """
     settled = settle(df)
-    size = settled._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(settled) if int(size) <= max_bytes else settled
-
-
-checked_broadcast = bounded_broadcast
+    return F.broadcast(settled) if stored_bytes(settled) <= max_bytes else settled

@@ -18,12 +18,12 @@ def test_sentinels_and_duplicates(spark):
     assert prep.sentinel_columns(df.select("n")).count() == 0
 
 
-@pytest.mark.parametrize("margin", [1e-4, 0.2])
-def test_quantiles_equal_numpy(spark, margin):
+@pytest.mark.parametrize("margin,piece_rows", [(1e-4, 1_000_000), (0.2, 1_000_000), (0.2, 30)])
+def test_quantiles_equal_numpy(spark, margin, piece_rows):
     draw = np.random.default_rng(5)
     a = np.concatenate([draw.normal(0, 1, 997), np.full(500, 2.5)])
     df = spark.createDataFrame([(float(x), i % 7, None) for i, x in enumerate(a)], "a double, b int, c double")
-    got = prep.fit_quantiles(df, ["a", "b", "c"], [0.0, 0.1, 0.25, 0.5, 0.75, 1.0], margin)
+    got = prep.fit_quantiles(df, ["a", "b", "c"], [0.0, 0.1, 0.25, 0.5, 0.75, 1.0], margin, piece_rows)
     for column, values in (("a", a), ("b", np.arange(len(a)) % 7)):
         assert got[column] == pytest.approx(list(np.quantile(values, [0.0, 0.1, 0.25, 0.5, 0.75, 1.0])), abs=1e-12)
     assert got["c"] == [None] * 6
