@@ -2,16 +2,15 @@
 
 A plain `Window.orderBy` (or a window over a hot key) sorts one group in one task.
 The helpers here cut such a group along the order itself, run the window inside each
-piece, and stitch the pieces together with one total per piece:
-
-- a whole table is first cut into equal-width bins of its leading order column, which
-  is plain arithmetic;
-- a bin or key that still holds too many rows is cut again at sampled positions of the
-  full order.
-
-Whether a key or bin is too large is measured before the plan is built, by one count
-per key that combines map-side. Bins and cut points only balance the work; the results
-are exact whatever they are.
+piece, and stitch the pieces together with one total per piece.
+
+A group of more than `hot_rows` rows is cut evenly between its own least and greatest
+value into as many pieces as its rows ask for; a piece that is still too large is cut
+again between its own ends, along the next order column where all its values are equal.
+So pieces follow the rows of each group, however many groups are large and wherever
+their values lie. What is large is measured before the plan is built, by one aggregation
+per level that combines map-side. Pieces only balance the work; the results are exact
+whatever they are.
 """
 
 from __future__ import annotations
@@ -20,89 +19,56 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tallyforge.session import settle
+from tallyforge.session import BROADCAST_BYTES, settle, stored_bytes
 
-BINS = 1 << 16
-BIN_ROWS = 2000
-SLICES = 1024
-SAMPLE_PER_SLICE = 8
 HOT_ROWS = 1_000_000
-HOT_PARTS = 1000
-_GRAIN = 1 << 40
-
-
-def cut_points(df: DataFrame, key: Column, total: Column, slices: int = SLICES) -> Column:
-    """Scalar subquery: ascending cut points of `key` (any orderable type), at most `slices` of them.
-
-    Rows enter the sample by a hash of their key, with a probability that makes
-    SAMPLE_PER_SLICE rows per slice on average of `total`; equal keys enter once.
-    """
-    wanted = float(slices * SAMPLE_PER_SLICE)
-    picked = df.select(key.alias("k"), total.alias("n")).filter(
-        F.pmod(F.xxhash64("k"), F.lit(_GRAIN)) * F.col("n") < F.lit(wanted * _GRAIN))
-    sample = picked.agg(F.array_sort(F.collect_set("k")).alias("s"))
-    step = F.ceil(F.size("s") / slices).cast("int")
-    places = F.when(F.size("s") > 0, F.sequence(step - 1, F.size("s") - 1, step)).otherwise(F.array().cast("array<int>"))
-    return sample.select(F.transform(places, lambda i: F.get("s", i)).alias("cuts")).scalar()
-
-
-def slice_of(cuts: Column, key: Column, slices: int = SLICES) -> Column:
-    """Number of cut points <= key, by binary search over the array column `cuts`."""
-    steps, step = [], slices // 2
-    while step:
-        steps.append(F.lit(step))
-        step //= 2
-    return F.aggregate(
-        F.array(*steps),
-        F.lit(0),
-        lambda at, hop: at + F.when(F.get(cuts, at + hop - 1) <= key, hop).otherwise(0),
-    )
-
-
-def coarse_bin(df: DataFrame, column: str, bins: int = BINS) -> Column:
-    """A bin number below `bins` that never decreases with `column`; NULL goes first.
-
-    Numbers are cut evenly between the least and greatest value, text by its first two bytes.
-    """
-    if isinstance(df.schema[column].dataType, T.StringType):
-        lead = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 2)), 4, "0")
-        return F.coalesce(F.conv(lead, 16, 10).cast("int"), F.lit(-1))
-    value = F.col(column).cast("double")
-    ends = df.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("n")).first()
-    # Few rows need few bins: a bin should hold enough rows to be worth a total of its own.
-    bins = max(2, min(bins, ends["n"] // BIN_ROWS))
-    width = (ends["high"] - ends["low"]) / (bins - 1) if ends["low"] is not None else 0.0
-    if not 0.0 < width < float("inf"):
-        return F.when(value.isNull(), -1).otherwise(0)
-    return F.when(value.isNull(), -1).otherwise(((value - F.lit(ends["low"])) / F.lit(width)).cast("int"))
-
-
-def _with_pieces(df: DataFrame, part: Sequence[str], order: Sequence[str], hot_rows: int) -> tuple[DataFrame, bool]:
-    """Adds `_slice`: -1 for ordinary parts, a slice number for the rows of hot parts; and whether there are any.
-
-    Hot parts hold more than `hot_rows` rows. The 1000 largest are looked up, so their
-    list is safe to hold and broadcast; any other part holds less than a thousandth of
-    the table.
+# A piece that stays large after so many cuts is kept: its work is unbalanced, its result right.
+LEVELS = 8
+# Text is cut by as many groups of six bytes, each a whole number that a double holds.
+TEXT_GROUPS = 4
+
+
+def _leads(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """Doubles that never decrease along `order`: each only counts where those before it are equal."""
+    leads = []
+    for name in order:
+        kind = df.schema[name].dataType
+        if isinstance(kind, T.StringType):
+            data = F.col(name).cast("binary")
+            for k in range(TEXT_GROUPS):
+                leads.append(F.conv(F.rpad(F.hex(F.substring(data, 6 * k + 1, 6)), 12, "0"), 16, 10).cast("double"))
+        elif isinstance(kind, T.NumericType):
+            leads.append(F.col(name).cast("double"))
+        else:
+            break
+    return leads
+
+
+def with_pieces(df: DataFrame, part: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, bool]:
+    """Adds `_piece`, an array that never decreases along `order` within a part; and whether any part has several.
+
+    Large pieces are a table of at most rows / hot_rows rows; it is broadcast while its files are small.
     """
-    counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
-    hot = counts.orderBy(F.desc("_rows")).limit(HOT_PARTS).collect()
-    if not hot:
-        return df.withColumn("_slice", F.lit(-1)), False
-    listed = df.sparkSession.createDataFrame(hot, counts.schema).select(
-        *[F.col(c).alias(f"_h_{c}") for c in part], F.lit(True).alias("_hot"))
-    marked = df.join(F.broadcast(listed), _same_keys(part, "_h_"), "left").select(*df.columns, "_hot")
-    key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    cuts = cut_points(marked.filter("_hot"), key, F.lit(float(sum(r["_rows"] for r in hot))))
-    # The cut points are named once, so the optimizer keeps them inside the expression
-    # and never copies the array into the rows.
-    staged = marked.select("*", key.alias("_key"), cuts.alias("_cuts"))
-    place = F.when(F.col("_hot"), slice_of(F.col("_cuts"), F.col("_key")))
-    return staged.select(*df.columns, F.coalesce(place, F.lit(-1)).alias("_slice")), True
-
-
-def in_pieces(df: DataFrame, order: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Adds (_bin, _slice), which never decrease along `order` over the whole table."""
-    return _with_pieces(df.withColumn("_bin", coarse_bin(df, order[0])), ["_bin"], order, hot_rows)[0]
+    leads = _leads(df, order)
+    keys = [*part, "_piece"]
+    pieces = df.withColumn("_piece", F.array().cast("array<bigint>"))
+    for level in range(LEVELS if leads else 0):
+        ends = [f(lead).alias(f"{name}{i}") for i, lead in enumerate(leads) for name, f in (("_low", F.min), ("_high", F.max))]
+        stats = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *ends)
+        ready = F.coalesce(*[F.when(F.col(f"_low{i}") < F.col(f"_high{i}"), F.lit(i)) for i in range(len(leads))])
+        at = lambda name: F.get(F.array(*[F.col(f"{name}{i}") for i in range(len(leads))]), F.col("_lead"))
+        large = stats.filter(F.col("_n") > hot_rows).withColumn("_lead", ready).filter("_lead IS NOT NULL")
+        large = settle(large.select(
+            *[F.col(k).alias(f"_c_{k}") for k in keys], "_lead", at("_low").alias("_low"),
+            ((at("_high") - at("_low")) / F.ceil(2 * F.col("_n") / hot_rows)).alias("_width")).filter("_width > 0"))
+        if large.isEmpty():
+            return pieces, level > 0
+        side = F.broadcast(large) if stored_bytes(large) <= BROADCAST_BYTES else large
+        value = F.get(F.array(*leads), F.col("_lead"))
+        place = F.when(value.isNull(), -1).otherwise(F.floor((value - F.col("_low")) / F.col("_width")))
+        longer = F.when(F.col("_lead").isNull(), F.col("_piece")).otherwise(F.concat("_piece", F.array(place.cast("bigint"))))
+        pieces = pieces.join(side, _same_keys(keys, "_c_"), "left").select(*df.columns, longer.alias("_piece"))
+    return pieces, bool(leads)
 
 
 def exact_rank(df: DataFrame, part: Sequence[str], order: Sequence[str], out: str = "rn",
@@ -112,16 +78,13 @@ def exact_rank(df: DataFrame, part: Sequence[str], order: Sequence[str], out: st
     `order` should be unique within a part. Parts with at most `hot_rows` rows keep the
     plain window.
     """
-    if part:
-        pieces, any_hot = _with_pieces(df, part, order, hot_rows)
-        if not any_hot:
-            return df.withColumn(out, F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("bigint"))
-        keys = [*part, "_slice"]
-        totals, before = pieces.filter(F.col("_slice") >= 0), Window.partitionBy(*part).orderBy("_slice")
-    else:
-        pieces, keys = in_pieces(df, order, hot_rows), ["_bin", "_slice"]
-        # One row per piece: BINS plus the slices of hot bins.
-        totals, before = pieces, Window.orderBy("_bin", "_slice")
+    pieces, any_hot = with_pieces(df, part, order, hot_rows)
+    if not any_hot:
+        # Without a part this is one task, of at most `hot_rows` rows.
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("bigint"))
+    keys = [*part, "_piece"]
+    # Only parts with several pieces need offsets; a part has rows / hot_rows pieces or twice as many.
+    totals, before = pieces.filter(F.size("_piece") > 0), Window.partitionBy(*part).orderBy("_piece")
     local = pieces.withColumn("_local", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     offsets = totals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
         *[F.col(c).alias(f"_o_{c}") for c in keys],
@@ -133,8 +96,8 @@ def exact_rank(df: DataFrame, part: Sequence[str], order: Sequence[str], out: st
 
 def running_totals(df: DataFrame, order: str, values: dict[str, str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Running sums of `values` (column -> output name) along a unique `order`."""
-    keys = ["_bin", "_slice"]
-    pieces = in_pieces(df, [order], hot_rows)
+    keys = ["_piece"]
+    pieces, _ = with_pieces(df, [], [order], hot_rows)
     inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = pieces.select("*", *[F.sum(c).over(inside).alias(f"_l_{o}") for c, o in values.items()])
     totals = pieces.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{o}") for c, o in values.items()])
@@ -164,13 +127,13 @@ def above_threshold(items: DataFrame, needs: DataFrame, part: Sequence[str], lev
         right.select(*blank, "_level", F.lit(0).alias("_item")), allowMissingColumns=True
     )
     # Read four times below: written once, as one row per distinct level and part.
-    pieces = in_pieces(settle(both), ["_level"], hot_rows)
-    keys = [*part, "_bin", "_slice"]
+    pieces, _ = with_pieces(settle(both), part, ["_level"], hot_rows)
+    keys = [*part, "_piece"]
     inside = Window.partitionBy(*keys).orderBy(F.desc("_level"), "_item").rowsBetween(Window.unboundedPreceding, 0)
     local = pieces.withColumn("_near", merge("_pay").over(inside)).filter("_item = 0")
     # What lies in higher pieces: a suffix over the pieces of each part that hold anything.
     per_piece = pieces.groupBy(*keys).agg(merge("_pay").alias("_piece_pay"))
-    after = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))).orderBy(F.desc("_bin"), F.desc("_slice"))
+    after = Window.partitionBy(*part).orderBy(F.desc("_piece"))
     far = per_piece.select(*keys, merge("_piece_pay").over(after.rowsBetween(Window.unboundedPreceding, -1)).alias("_far"))
     joined = local.join(far, keys, "left")
     if total:

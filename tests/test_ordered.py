@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.functions.ordered import above_threshold, exact_rank, running_totals
+from tallyforge.functions.ordered import above_threshold, exact_rank, running_totals, with_pieces
 
 
 def rows(n, seed=1):
@@ -87,3 +87,21 @@ def test_partition_counts_do_not_matter(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert results[0] == results[1] == results[2]
+
+
+def test_pieces_follow_the_rows_of_each_part(spark):
+    # 60 large parts whose orders don't overlap, one with an outlier, one with text that shares its beginning.
+    data = [(k, 1000 * k + i, f"shared-prefix-{i:04d}") for k in range(60) for i in range(100)] + [(0, 10**15, "z")]
+    df = spark.createDataFrame(data, "k int, v bigint, w string")
+    for order in (["v"], ["w", "v"]):
+        pieces, cut = with_pieces(df, ["k"], order, hot_rows=20)
+        sizes = pieces.groupBy("k", "_piece").count()
+        assert cut and sizes.agg(F.max("count")).first()[0] <= 20
+        assert sizes.groupBy("k").count().agg(F.max("count")).first()[0] <= 40
+    assert not with_pieces(df, ["k"], ["v"], hot_rows=1000)[1]
+
+
+def test_many_equal_values_are_cut_by_the_next_column(spark):
+    df = spark.createDataFrame([(5, i) for i in range(300)], "v bigint, id bigint")
+    pieces, _ = with_pieces(df, [], ["v", "id"], hot_rows=50)
+    assert pieces.groupBy("_piece").count().agg(F.max("count")).first()[0] <= 50
