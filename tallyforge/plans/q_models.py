@@ -64,6 +64,28 @@ def smote_oversample_counts(spark, folder):
     return counted
 
 
+WIDE = {**{c: c for c in XS}, **{f"{a}_{b}": f"({a} + 1) * ({b} + 1)" for n, a in enumerate(XS) for b in XS[n + 1:]}, "y1": "x1 * x1", "y2": "x4 * 100"}
+
+
+@query("smote_oversample_wide", """WITH n AS (SELECT label, count(*) AS n FROM v_tab GROUP BY label)
+    SELECT label, max(n) OVER () - n AS n_synthetic, max(n) OVER () - n AS n_on_segment, max(n) OVER () - n AS n_between_rows FROM n""")
+def smote_oversample_wide(spark, folder):
+    """Twelve features, neighbours by cells: every new row lies between two rows of its class."""
+    source = view(spark, folder, "v_tab").select("label", *[F.expr(e).cast("double").alias(c) for c, e in WIDE.items()])
+    rows = settle(smote_oversample(source, "label", list(WIDE), neighbours="cells", trace=True))
+    vec = F.array(*WIDE)
+    gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    on_segment = gap(vec, F.col("start")) + gap(vec, F.col("other")) <= gap(F.col("start"), F.col("other")) * (1 + 1e-9) + 1e-6
+    real = source.select("label", vec.alias("end")).distinct()
+    new = rows.filter("synthetic").withColumn("seg", on_segment)
+    between = new.join(real.withColumnRenamed("end", "start"), ["label", "start"], "left_semi").join(
+        real.withColumnRenamed("end", "other"), ["label", "other"], "left_semi").groupBy("label").agg(F.count(F.lit(1)).alias("n_between_rows"))
+    counted = rows.groupBy("label").agg(F.count_if("synthetic").alias("n_synthetic"))
+    segments = new.groupBy("label").agg(F.count_if("seg").alias("n_on_segment"))
+    whole = counted.join(segments, "label", "left").join(between, "label", "left")
+    return whole.na.fill(0, ["n_on_segment", "n_between_rows"])
+
+
 def prepared(spark, folder):
     """Encoded, split and scaled test table as (row_key, features, label, split)."""
     encoded = prep.label_encode(view(spark, folder, "v_tab"), ["c1", "c2"])
