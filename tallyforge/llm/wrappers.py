@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyforge.llm.common import arrow_map, arrow_rows, batches, query, table
-from tallyforge.session import settle
+from tallyforge.session import bounded_broadcast, settle
 
 DEPTH = 150
 _TAG = re.compile(
@@ -329,8 +329,9 @@ def induced(parsed: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and `text` of every row of `pages` (page_id, url, html)."""
-    parsed = settle(parsed_pages(pages))
-    content = induced(parsed).withColumnsRenamed({"host": "_host", "skeleton": "_skeleton"})
+    parsed = settle(parsed_pages(pages), compression="zstd")
+    # Hosts and their skeletons are few beside pages; checked in bytes, so that the texts needn't move where they are.
+    content = bounded_broadcast(induced(parsed).withColumnsRenamed({"host": "_host", "skeleton": "_skeleton"}))
     joined = parsed.join(content, (F.col("host") == F.col("_host")) & (F.col("skeleton") == F.col("_skeleton")), "left")
     kept = F.filter("blocks", lambda b: F.array_contains("content", b.node))
     return joined.select("page_id", "url", F.coalesce(F.array_join(F.transform(kept, lambda b: b.text), "\n"), F.lit("")).alias("text"))
