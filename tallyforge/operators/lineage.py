@@ -31,7 +31,7 @@ def artifact_edges(args: DataFrame) -> DataFrame:
     producers = (
         roles.filter("role = 'producer'")
         .groupBy("pipeline_id", "arg")
-        .agg(F.max_by("component", "position").alias("producer"))
+        .agg(F.max_by("component", F.struct("position", "component")).alias("producer"))
     )
     consumers = roles.filter("role = 'consumer'").select("pipeline_id", "arg", F.col("component").alias("consumer"))
     return consumers.join(producers, ["pipeline_id", "arg"]).select(

@@ -62,12 +62,12 @@ def prefix_match_run(pipelines: DataFrame, runs: DataFrame) -> DataFrame:
     names = named.select("_name").distinct()
     # One entry per distinct name length.
     lengths = names.agg(F.collect_set(F.length("_name")).alias("l")).scalar()
-    last = runs.groupBy("display_name").agg(F.max_by("run_id", "seq").alias("run_id"), F.max("seq").alias("seq"))
+    last = runs.groupBy("display_name").agg(F.max_by("run_id", F.struct("seq", "run_id")).alias("run_id"), F.max("seq").alias("seq"))
     cut = last.withColumn("_length", F.explode(lengths)).filter(F.length("display_name") >= F.col("_length"))
     prefixes = (
         cut.select(F.expr("substring(display_name, 1, _length)").alias("_name"), "run_id", "seq")
         .groupBy("_name")
-        .agg(F.max_by("run_id", "seq").alias("run_id"))
+        .agg(F.max_by("run_id", F.struct("seq", "run_id")).alias("run_id"))
     )
     matched = names.join(prefixes, "_name")
     return named.join(matched, "_name", "left").select("pipeline_id", "name", "run_id")

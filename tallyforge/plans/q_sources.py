@@ -36,15 +36,29 @@ def scan_csv_sep(spark, folder):
     return files.read_csv(spark, _csv(spark, source, "csv-sep", header=True, sep=";"), source.schema, sep=";")
 
 
-@query("scan_csv_named", """SELECT o_orderkey AS duration, o_orderstatus AS flag, o_totalprice AS rate,
-    o_orderpriority AS label FROM orders""")
+@query("scan_csv_named", """SELECT o_orderkey AS duration, o_custkey AS service, o_orderstatus AS flag, o_totalprice AS rate,
+    strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS label FROM orders""")
 def scan_csv_named(spark, folder):
     """No header line: the names come from the schema."""
-    names = "duration bigint, flag string, rate double, label string"
-    source = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    names = "duration bigint, service bigint, flag string, rate double, day string, label string"
+    source = table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderpriority")
     return files.read_csv(spark, _csv(spark, source, "csv-named", header=False), names, header=False)
 
 
+@query("scan_array_files", """WITH n AS (SELECT count(*) // 2000 + 1 AS shards FROM embeddings)
+    SELECT concat('shard=', vec_id % shards) AS folder, row_number() OVER (PARTITION BY vec_id % shards ORDER BY vec_id) - 1 AS pos,
+        CAST(len(embedding) AS INTEGER) AS width, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[len(embedding)] AS DOUBLE) AS last
+    FROM embeddings, n""")
+def scan_array_files(spark, folder):
+    """Vectors written as array files of about 2000 rows and read back."""
+    source, path = table(spark, folder, "embeddings"), scratch_path(spark, "npy")
+    shards = source.count() // 2000 + 1
+    files.write_npy(source.withColumn("shard", F.col("vec_id") % shards), path, "shard", "vec_id", "embedding")
+    return files.read_npy(spark, path, "*.txt").select(
+        "folder", "pos", F.size("values").alias("width"), F.get("values", F.lit(0)).alias("first"), F.element_at("values", -1).alias("last"))
+
+
 @query("scan_arrays", """SELECT vec_id AS idx, CAST(i AS INTEGER) AS pos, CAST(embedding[i + 1] AS DOUBLE) AS pixel, label
     FROM embeddings, unnest(range(0, len(embedding))) AS t(i)""")
 def scan_arrays(spark, folder):
@@ -95,6 +109,20 @@ def scan_runlogs(spark, folder):
     return local_times(runs.select("strategy", "seed", "id", "name", *times), *times)
 
 
+@query("scan_runlogs_arrays", """SELECT strategy, CAST(experiment AS STRING) AS seed, CAST(run_id AS STRING) AS id, name,
+    submitted_at, scheduled_at, finished_at FROM v_runs""")
+def scan_runlogs_arrays(spark, folder):
+    """Dumps that hold one JSON array per file, of about a thousand runs."""
+    dump, path = run_dump(spark, folder), scratch_path(spark, "runs-arrays")
+    body = F.to_json(F.struct(*[c for c in dump.columns if c not in ("strategy", "seed")]))
+    parts = dump.count() // 1000 + 1
+    arrays = dump.groupBy("strategy", "seed", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("_part")).agg(F.collect_list(body).alias("_runs"))
+    arrays.select("strategy", "seed", F.concat(F.lit("["), F.array_join("_runs", ",\n"), F.lit("]")).alias("value")) \
+        .write.option("maxRecordsPerFile", 1).partitionBy("strategy", "seed").text(path)
+    times = ["submitted_at", "scheduled_at", "finished_at"]
+    return local_times(files.read_run_dumps(spark, path).select("strategy", "seed", "id", "name", *times), *times)
+
+
 @query("explode_components", """SELECT CAST(run_id AS STRING) AS id, c AS component, t AS type, concat('node-', run_id % 10) AS node
     FROM v_runs, (VALUES ('data-preprocessing', 'preprocessing'), ('model-training', 'training'), ('model-evaluation', 'evaluation')) AS k(c, t)""")
 def explode_components(spark, folder):

@@ -32,25 +32,39 @@ def read_arrays(spark: SparkSession, x_path: str, y_path: str) -> DataFrame:
     return x.join(y, "idx")
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """Array files (`*.npy`, each below 2 GB) as rows (file, pos, values); values are flattened.
+def read_npy(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataFrame:
+    """Array files as rows (folder, file, pos, values); values are flattened and keep their precision as doubles.
 
-    Files are the unit of parallelism; within a file rows leave in Arrow batches. Shards
-    of x and y with equal names match on (file, pos).
+    A file is one row of Spark's binary source, which holds up to 2 GB: larger arrays are kept as
+    shards, as `write_npy` makes them. Within a file rows leave in Arrow batches. Shards of x and y
+    with equal names match on (folder, pos).
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 data = np.load(io.BytesIO(content), allow_pickle=False)
-                flat = data.reshape(data.shape[0], -1).astype("float64")
-                short = name.rsplit("/", 1)[-1]
+                flat = data.reshape(data.shape[0], -1)
+                folder, short = name.rsplit("/", 2)[-2:]
                 for start in range(0, len(flat), 4096):
-                    part = flat[start:start + 4096]
-                    yield pd.DataFrame({"file": short, "pos": np.arange(start, start + len(part)), "values": list(part)})
+                    part = flat[start:start + 4096].astype("float64")
+                    yield pd.DataFrame({"folder": folder, "file": short, "pos": np.arange(start, start + len(part)), "values": list(part)})
 
-    return files.mapInPandas(rows, "file string, pos bigint, values array<double>")
+    return files.mapInPandas(rows, "folder string, file string, pos bigint, values array<double>")
+
+
+def write_npy(df: DataFrame, path: str, shard: str, order: str, values: str) -> None:
+    """One array file per value of `shard`, in a folder `shard=..`; rows by `order`. The caller bounds the rows of a shard."""
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        np.save(out, np.stack(pdf.sort_values("_order")["_values"].to_numpy()))
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "value": [out.getvalue()]})
+
+    rows = df.select(F.col(shard).cast("bigint").alias("shard"), F.col(order).alias("_order"), F.col(values).alias("_values"))
+    packed = rows.groupBy("shard").applyInPandas(pack, "shard bigint, value binary")
+    # The text writer puts the bytes down as they are; the line end after an array is not read.
+    packed.select("shard", F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).partitionBy("shard").text(path)
 
 
 def write_artifacts(df: DataFrame, path: str, split: str = "split") -> None:
