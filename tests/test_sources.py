@@ -79,7 +79,8 @@ def test_dump_hides_private_columns(spark, tmp_path):
 def test_settled_frames_and_broadcast_bound(spark):
     df = spark.range(20).selectExpr("id", "id % 3 AS k")
     assert session.settle(df).count() == 20
-    small, large = session.checked_broadcast(df, 20), session.checked_broadcast(df, 19)
+    size = session.stored_bytes(session.settle(df))
+    small, large = session.bounded_broadcast(df, size), session.bounded_broadcast(df, size - 1)
     assert "ResolvedHint" in small._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" not in large._jdf.queryExecution().analyzed().toString()
     assert session.scratch_path(spark, "a") != session.scratch_path(spark, "a")
