@@ -144,7 +144,34 @@ def scan(docs: DataFrame) -> DataFrame:
                     F.coalesce("detections", F.array().cast(empty)).alias("detections")))
 
 
-@query("op10_licenses")
+def oracle_sql() -> str:
+    """The scan in SQL: every rule at every word of a text that holds its keyword, then the sweep as a running maximum."""
+    made = rules()
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {quoted(label)}, {quoted(key)}, {quoted(p)}, {rank}, {weight})" for i, (label, key, p, rank, weight) in enumerate(made))
+    base = ", ".join(str(i) for i, r in enumerate(made) if (r[2], r[0]) in BASE)
+    return rf"""
+    WITH rules AS (SELECT * FROM (VALUES {values}) AS r(rule, label, keyword, pattern, priority, weight)),
+    d AS (SELECT row_number() OVER () AS rid, doc_id,
+            regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    found AS (SELECT rid, ws, rule, label, pattern, priority, weight
+              FROM d JOIN rules ON contains(concat('. ', array_to_string(ws, ' '), ' '), keyword)),
+    places AS (SELECT *, unnest(range(len(ws))) AS start FROM found),
+    m AS (SELECT *, regexp_extract(concat(array_to_string(ws[start + 1:start + 40], ' '), ' '), concat('^(', pattern, ') '), 1) AS hit FROM places),
+    hits AS (SELECT rid, rule, label, priority, weight, start, start + len(string_split(hit, ' ')) AS stop FROM m WHERE hit <> ''),
+    swept AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY rid ORDER BY start, stop DESC, priority DESC, rule
+                                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS reach FROM hits),
+    b AS (SELECT rid, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
+                 string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits WHERE rule IN ({base}) GROUP BY rid),
+    l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+          FROM swept WHERE stop > reach OR rule IN ({base}) GROUP BY rid),
+    s AS (SELECT rid, max(weight) AS score FROM swept WHERE stop > reach GROUP BY rid)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+           coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+    FROM d LEFT JOIN b USING (rid) LEFT JOIN l USING (rid) LEFT JOIN s USING (rid)"""
+
+
+@query("op10_licenses", oracle_sql())
 def op10_licenses(spark, sf_dir):
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     labels = F.array_union(F.transform("detections", lambda d: d.label), F.col("base_labels"))
