@@ -69,7 +69,7 @@ def test_pairs_of_random_clusters(spark, seed):
                 x ^= 1 << int(b)
             points.append(x)
     points = np.unique(np.array(points, np.uint64))
-    nodes = spark.createDataFrame([(i, int(np.int64(p.view(np.int64)))) for i, p in enumerate(points)], "node long, fp long")
+    nodes = spark.createDataFrame([(i, int(np.int64(p.view(np.int64)))) for i, p in enumerate(points)], "node long, fp long").selectExpr("0 AS t", "*")
     links = simhash.near_links(nodes, sample_rows=64, shard_rows=32)
     got = {r.node: r.root for r in components(links).collect()}
     forest = simhash.Forest(len(points))
@@ -87,3 +87,24 @@ def test_components_of_a_long_path(spark):
 def test_empty(docs_of):
     assert simhash.near_dedup(docs_of([])).collect() == []
     assert [tuple(r) for r in simhash.near_dedup(docs_of([(4, "a")])).collect()][0][2] == 4
+
+
+def test_more_fingerprints_find_less_alike_texts(docs_of):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    rows, pairs = [], []
+    for i in range(120):
+        text = rng.choices(words, k=300)
+        near = list(text)
+        for at in rng.sample(range(300), 3):
+            near[at] = "changed"
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(near))]
+    rows += [(1000, rows[0][1]), (1001, None)]
+
+    def found(tables):
+        of = {r.doc_id: r.component_id for r in simhash.near_dedup(docs_of(rows), shingle_words=5, tables=tables).collect()}
+        assert of[1000] == 0 and of[1001] == 1001 and all(of[d] in (d, d - 1, 0) for d in of)
+        return sum(of[2 * i + 1] == 2 * i for i in range(120)) / 120
+
+    one, many = found(1), found(8)
+    assert many > 0.8 > 0.7 > one
