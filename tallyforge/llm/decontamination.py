@@ -1,7 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are cut into parts of at most `PART_WORDS` words and taken in blocks of about
-`BLOCK_PARTS` parts, so all that a block needs on the driver or in a task is bounded. For a block:
+Benchmark items of up to `PART_WORDS` words are one part. Longer ones are cut into parts of `LONG_PART_WORDS`
+words that overlap, at most `PART_STEP` words apart, the last at the item's end, so 50 words in a row quoted from anywhere hold
+`COPY_SHARE` of some part. Parts are taken in blocks of about `BLOCK_PARTS`, so all that a block needs on the driver or
+in a task is bounded. For a block:
 
 1. The document frequency of its words is counted over all documents. A part's vocabulary is its
    words in at most `MAX_DF` of the documents, or its `RAREST` rarest where those are fewer.
@@ -14,7 +16,8 @@ Benchmark items are cut into parts of at most `PART_WORDS` words and taken in bl
    common subsequence of words with a stretch half as long again as the part then decides: `copy`
    from `COPY_SHARE` of the part's words, `paraphrase` from `LIKE_SHARE` if the answer is there
    too. Of its vocabulary words alone, `LIKE_SHARE` must be there in order in either case.
-   The answer is the item's `answer`, or its last `ANSWER_WORDS` words.
+   The answer is the item's `answer`, or its last `ANSWER_WORDS` words; for a part of a long item it may be as far
+   away as the item is long.
 
 Steps 1, 2 and 4 are maps over documents; texts never move. Passages without vocabulary words
 can't be candidates and add nothing to the SVD, so they aren't stored.
@@ -32,12 +35,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyforge.llm.common import arrow_map, extended, query, table
 from tallyforge.session import settle
 
 PART_WORDS = 64
+LONG_PART_WORDS = 48
+PART_STEP = 16
 BLOCK_PARTS = 256
 PASSAGE_WORDS = 64
 MAX_DF = 0.01
@@ -63,6 +68,22 @@ class Part:
     item_id: int | None
     words: list[bytes]
     answer: list[bytes] = field(default_factory=list)
+    reach: int = 0  # words around a passage that may hold the answer; 0: the stretch alone
+
+    def answered(self, words: list[bytes], start: int, around: list[bytes]) -> bool:
+        """Is half of the answer, in order, near the passage at `start` of `words`?"""
+        if not self.answer or not self.reach:
+            return 2 * common_subsequence(self.answer, around) >= len(self.answer)
+        return closest(self.answer, words[max(0, start - self.reach):start + PASSAGE_WORDS + self.reach])[0] >= 0.5
+
+
+def parts_of(item_id: int | None, words: list[bytes], told: list[bytes]) -> list[Part]:
+    answer = told or words[-ANSWER_WORDS:]
+    if len(words) <= PART_WORDS:
+        return [Part(item_id, words, answer)] if words else []
+    steps = -(-(len(words) - LONG_PART_WORDS) // PART_STEP)
+    starts = [k * (len(words) - LONG_PART_WORDS) // steps for k in range(steps + 1)]
+    return [Part(item_id, words[s:s + LONG_PART_WORDS], answer, len(words) * 3 // 2 + len(answer)) for s in starts]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[Part]]:
@@ -75,11 +96,8 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[Part]]:
     for k in range(n_blocks):
         parts = []
         for r in held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).orderBy("item_id", "text").toLocalIterator():
-            words, told = words_of(r.text), words_of(r.answer)
-            for start in range(0, len(words), PART_WORDS):
-                last = start + PART_WORDS >= len(words)
-                own = words[start:start + PART_WORDS]
-                parts.append(Part(r.item_id, own, (told or own[-ANSWER_WORDS:]) if last else []))
+            for part in parts_of(r.item_id, words_of(r.text), words_of(r.answer)):
+                parts.append(part)
                 if len(parts) == 2 * BLOCK_PARTS:
                     yield parts
                     parts = []
@@ -260,7 +278,7 @@ class Index:
                     kind = "copy" if share == 1 and _inside(part.words, around) else None
                 elif share >= COPY_SHARE:
                     kind = "copy"
-                elif share >= LIKE_SHARE and 2 * common_subsequence(part.answer, around) >= len(part.answer):
+                elif share >= LIKE_SHARE and part.answered(words, start, around):
                     kind = "paraphrase"
                 else:
                     kind = None
@@ -303,10 +321,19 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = [index.leaks(t) for s in range(0, batch.num_rows, 256) for t in batch.column(at).slice(s, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, typ)], names=[*batch.schema.names, "_more"])
 
-        out = out.transform(arrow_map, run, extended(out.schema, f"_more {kind}")).withColumn("leaks", F.concat("leaks", "_more")).drop("_more")
+        out = out.transform(arrow_map, run, extended(out.schema, f"_more {kind}")).withColumn("leaks", _merged("leaks", "_more")).drop("_more")
     return out
 
 
+def _merged(a: str, b: str) -> Column:
+    """The leaks of both columns, an item that is in both (its parts were in two blocks) once."""
+    def other(x: Column, y: Column) -> Column:
+        return x["item_id"].eqNullSafe(y["item_id"])
+
+    kept = F.filter(a, lambda x: ~F.exists(b, lambda y: other(x, y) & (y["lcs"] > x["lcs"])))
+    return F.concat(kept, F.filter(b, lambda y: ~F.exists(a, lambda x: other(x, y) & (x["lcs"] >= y["lcs"]))))
+
+
 @query("op7_decontamination")
 def op7_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

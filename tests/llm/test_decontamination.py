@@ -90,3 +90,41 @@ def test_blocks_and_empty_tables(spark, docs_of, monkeypatch):
     assert {(r.doc_id, x.item_id) for r in got for x in r.leaks} == {(i, i) for i in range(15)}
     assert [r.leaks for r in d.with_leaks(docs_of(rows[:2]), bench(spark, [])).collect()] == [[], []]
     assert d.with_leaks(docs_of([]), bench(spark, items[:3])).collect() == []
+
+
+def test_long_items_are_cut_into_even_overlapping_parts():
+    for n in (1, 7, 64, 65, 66, 71, 113, 150, 1000):
+        words = [b"%d" % i for i in range(n)]
+        parts = d.parts_of(1, words, [])
+        assert {len(p.words) for p in parts} == {n if n <= d.PART_WORDS else d.LONG_PART_WORDS}
+        assert parts[0].words[0] == words[0] and parts[-1].words[-1] == words[-1]
+        assert all(p.answer == words[-d.ANSWER_WORDS:] for p in parts)
+        for at in range(n - 50 if n > 64 else 0):
+            quote = set(words[at:at + 50])
+            assert max(len(quote.intersection(p.words)) for p in parts) >= d.COPY_SHARE * d.LONG_PART_WORDS
+
+
+def test_long_items_leak_by_their_passages_only(spark, docs_of):
+    rng = random.Random(5)
+    own = [f"{a}{b}" for a in RARE[:60] for b in ("an", "or", "is", "ul")]
+    item = rng.sample(own, 130) + ["lonely"]
+    short = rng.sample(own, 64) + ["tail"]
+    common = lambda n: rng.choices(COMMON, k=n)
+    swapped = [w if k % 10 < 7 else "c1" for k, w in enumerate(item[:100])]
+    rows = [
+        (1, common(70) + ["tail"] + common(70)),        # only the word after the first 64
+        (2, common(40) + item[39:89] + common(40)),     # 50 words across the middle
+        (3, common(40) + swapped + common(40)),         # reworded, without the answer
+        (4, common(40) + swapped + item[100:] + common(40)),
+        (5, common(90)),
+    ]
+    rows += [(10 + i, common(60)) for i in range(400)]
+    got = d.with_leaks(docs_of([(i, " ".join(t)) for i, t in rows]), bench(spark, [(7, " ".join(item)), (8, " ".join(short))])).collect()
+    assert {(r.doc_id, x.item_id) for r in got for x in r.leaks} == {(2, 7), (4, 7)}
+
+
+def test_item_in_two_blocks_is_one_leak(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(d, "BLOCK_PARTS", 2)
+    item = " ".join(random.Random(6).sample(RARE, 200))
+    got = d.with_leaks(docs_of([(1, item), (2, "c1 c2 c3")]), bench(spark, [(3, item)])).collect()
+    assert {r.doc_id: [x.item_id for x in r.leaks] for r in got} == {1: [3], 2: []}
