@@ -76,3 +76,11 @@ def test_prefixes_of_alike_sets_share_enough():
                 continue
             order = shingles.Order([x[::3], x[::5], y[::2]])
             assert len(np.intersect1d(order.prefix(x), order.prefix(y))) >= shingles._least(min(len(x), len(y)))
+
+
+def test_unlike_texts_of_one_doc_id_both_stay(spark, docs_of):
+    rng = random.Random(9)
+    one, two, three = (" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, one), (1, two), (1, two), (2, two + " end"), (3, three), (0, three), (None, three)]
+    kept = [(r.doc_id, r.text) for r in cp.near_dedup_stage(spark, docs_of(rows, extra=True), "").collect()]
+    assert len(kept) == 4 and set(kept) == {(1, one), (1, two), (0, three), (None, three)}
