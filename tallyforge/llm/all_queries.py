@@ -1,6 +1,6 @@
 """Importing this module registers every corpus query."""
 
 from tallyforge.llm import (  # noqa: F401
-    attribution, byte_bpe, decontamination, divergence, licenses, line_dedup, quality, resampling, simhash, toxicity, warc, wrappers,
+    attribution, byte_bpe, decontamination, divergence, licenses, line_dedup, mixing, quality, resampling, simhash, toxicity, warc, wrappers,
 )
 from tallyforge.llm.common import ORACLES, QUERIES  # noqa: F401
