@@ -87,7 +87,10 @@ class Objective:
         def block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             loss, first, second = losses(y * (x @ w), width)
             parts = [[loss.sum()], x.T @ (first * y)]
-            return np.concatenate([*parts, (x.T @ (x * second[:, None])).ravel()] if dense else parts)
+            if dense:
+                bent = second > 0
+                parts.append((x[bent].T @ (x[bent] * second[bent, None])).ravel())
+            return np.concatenate(parts)
 
         def product(v: np.ndarray) -> np.ndarray:
             def bend(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
-from tallyforge.operators import margins, metrics, models, nets, prep, recipes
+from tallyforge.operators import margins, metrics, models, nets, prep, recipes, trees
 from tallyforge.operators.smote import smote_oversample
 from tallyforge.plans.q_prep import TAB_NULLS_SQL, XS, encode_sql, md5_part, tab_with_nulls
 from tallyforge.plans.q_runlog import rounded
@@ -127,13 +127,13 @@ def train_logistic(spark, folder):
     return _outcome(models.train_and_score(prepared(spark, folder), lambda t: models.train_logistic(t, c=0.1)))
 
 
-@query("train_tree", TAB_OUTCOME)
-def train_tree(spark, folder):
+@query("train_tree_ml", TAB_OUTCOME)
+def train_tree_ml(spark, folder):
     return _outcome(models.train_and_score(prepared(spark, folder), models.train_tree))
 
 
-@query("train_forest", TAB_OUTCOME)
-def train_forest(spark, folder):
+@query("train_forest_ml", TAB_OUTCOME)
+def train_forest_ml(spark, folder):
     return _outcome(models.train_and_score(prepared(spark, folder), models.train_forest))
 
 
@@ -155,6 +155,67 @@ def hinge_slope(train, machine, c):
     return sum((weights[j] - 2 * c * s) ** 2 for j, s in sums.collect()) ** 0.5
 
 
+@query("train_tree", _flags_sql(TAB_OUTCOME, "leaves_recounted", "sizes_hold"))
+def train_tree(spark, folder):
+    """Depth 10, splits of 10 rows, leaves of 4; SQL over the rows counts every leaf again."""
+    rows = settle(prepared(spark, folder))
+    train = rows.filter("split = 'train'")
+    tree = trees.train_tree(train, "row_key")
+    again = train.groupBy(F.expr(tree.leaf_sql()).alias("leaf"), "label").count().collect()
+    counted = {(r["leaf"], int(r["label"])): float(r["count"]) for r in again}
+    kept = {(leaf, y): n for leaf in tree.leaves() for y, n in enumerate(tree.counts[leaf].tolist()) if n}
+    large = all(tree.counts[i].sum() >= (4 if tree.feature[i] < 0 else 10) for i in tree.reached())
+    return _with_flags(trees.score_tree(tree, rows.filter("split = 'test'")), leaves_recounted=counted == kept, sizes_hold=large and max(tree.depth) <= 10)
+
+
+SPLIT_COLUMNS = ["c1", "c2", "x1", "x3", "x4"]
+
+
+def _splits_sql(levels, min_split, min_leaf):
+    """A brute-force grower: per level the counts of all values, the gain of every cut, the best cut, and the rows moved on."""
+    def entropy(n, k):
+        return f"-(CASE WHEN {k} IN (0, {n}) THEN 0 ELSE {k} / {n} * log2({k} / {n}) + ({n} - {k}) / {n} * log2(({n} - {k}) / {n}) END)"
+
+    text = f"""WITH l0 AS (SELECT 1 AS node, label, [CASE c1 WHEN 'A' THEN 0.0 WHEN 'N' THEN 1.0 ELSE 2.0 END, CASE c2 WHEN 'F' THEN 0.0 ELSE 1.0 END, x1, x3, x4]::DOUBLE[] AS xs FROM v_tab),
+    v0 AS (SELECT DISTINCT unnest(range(5)) AS f, unnest(xs) AS v FROM l0), cuts AS (SELECT f, v, (v + lead(v) OVER (PARTITION BY f ORDER BY v)) / 2 AS cut FROM v0)"""
+    for k in range(levels):
+        text += f""",
+    c{k} AS (SELECT node, f, v, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS k FROM (SELECT node, label, unnest(range(5)) AS f, unnest(xs) AS v FROM l{k}) GROUP BY node, f, v),
+    s{k} AS (SELECT node, c.f, cut, sum(n) OVER (w ORDER BY c.v) AS a, sum(k) OVER (w ORDER BY c.v) AS ak, sum(n) OVER w AS n, sum(k) OVER w AS k
+             FROM c{k} AS c JOIN cuts USING (f, v) WINDOW w AS (PARTITION BY node, c.f)),
+    g{k} AS (SELECT *, round({entropy('n', 'k')} - a / n * ({entropy('a', 'ak')}) - (n - a) / n * ({entropy('(n - a)', '(k - ak)')}), 9) AS gain
+             FROM s{k} WHERE a >= {min_leaf} AND n - a >= {min_leaf} AND n >= {min_split}),
+    b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, cut) AS r FROM g{k}) WHERE r = 1 AND gain > 0),
+    l{k + 1} AS (SELECT 2 * l.node + (CASE WHEN xs[f + 1] <= cut THEN 0 ELSE 1 END) AS node, label, xs FROM l{k} AS l JOIN b{k} USING (node))"""
+    return text + " " + " UNION ALL ".join(f"SELECT node::INTEGER AS node, f::INTEGER AS feature, round(cut, 6) AS cut, n, a AS n_left, round(gain, 6) AS gain FROM b{k}" for k in range(levels))
+
+
+@query("tree_splits", _splits_sql(4, 10, 4))
+def tree_splits(spark, folder):
+    """Four levels of splits over five columns of few values, equal to a brute-force search in SQL. Children of node i are 2i and 2i + 1."""
+    coded = prep.label_encode(view(spark, folder, "v_tab"), ["c1", "c2"])
+    rows = prep.features_target(coded, "label", keep=["row_key"], features=SPLIT_COLUMNS)
+    tree = trees.train_tree(rows, "row_key", max_depth=4)
+    found, stack = [], [(0, 1)]
+    while stack:
+        node, name = stack.pop()
+        if tree.feature[node] >= 0:
+            found.append((name, tree.feature[node], round(tree.cut[node], 6), float(tree.counts[node].sum()), float(tree.counts[tree.left[node]].sum()), round(tree.gain[node], 6)))
+            stack += [(tree.left[node], 2 * name), (tree.right[node], 2 * name + 1)]
+    return spark.createDataFrame(found, "node int, feature int, cut double, n double, n_left double, gain double")
+
+
+@query("train_forest", _flags_sql(TAB_OUTCOME, "leaves_are_pure"))
+def train_forest(spark, folder):
+    """A hundred trees without a limit of depth: every leaf holds one label."""
+    rows = settle(prepared(spark, folder))
+    forest = trees.train_forest(rows.filter("split = 'train'"), "row_key")
+    mixed = trees.forest_leaves(forest).where("array_min(counts) > 0").isEmpty()
+    test = rows.filter("split = 'test'")
+    scored = trees.score_forest(forest, test, "row_key").join(test.select("row_key", "label"), "row_key")
+    return _with_flags(scored, leaves_are_pure=mixed)
+
+
 @query("train_linear_svm", _flags_sql(TAB_OUTCOME, "slope_is_zero"))
 def train_linear_svm(spark, folder):
     """Squared hinge loss; the gradient at the result vanishes over all training rows."""
