@@ -24,6 +24,12 @@ def matrix(lists: pa.Array) -> np.ndarray:
     return np.asarray(lists.flatten(), dtype=float).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in at least as many partitions as there are cores: a small table out of one file would keep one busy in every pass."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def block_sum(df: DataFrame, block: Callable[[pa.RecordBatch], np.ndarray], size: int, fan: int = FAN) -> np.ndarray:
     """The sum of `block(batch)`, a vector of `size` numbers, over all batches of `df`. Zeros for an empty table.
 

@@ -26,7 +26,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
-from tallyforge.functions.blocks import block_sum, matrix
+from tallyforge.functions.blocks import block_sum, matrix, spread
 from tallyforge.operators.models import kernel_width
 
 MATRIX_COLUMNS = 1024
@@ -165,7 +165,7 @@ def linear_svm(df: DataFrame, c: float = 1.0, max_iter: int = 1000) -> tuple[Mar
 
 
 def _fit(df: DataFrame, trainer: Callable[[DataFrame], Margin]) -> tuple[Margin, DataFrame]:
-    train = df.where("split = 'train'").select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    train = spread(df.where("split = 'train'").select("features", "label")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         machine = trainer(train)
     finally:
@@ -226,5 +226,5 @@ def gaussian_svm(df: DataFrame, c: float = 1.0, count: int = 256, width: float =
     train = df.where("split = 'train'")
     _, gamma = kernel_width(train)
     features = Nystrom(landmarks(train, count, seed), gamma)
-    machine, scored = _fit(features.map(df), lambda t: train_margin(t, c, width, free_intercept=True, tolerance=1e-5))
+    machine, scored = _fit(features.map(spread(df)), lambda t: train_margin(t, c, width, free_intercept=True, tolerance=1e-5))
     return features, machine, scored

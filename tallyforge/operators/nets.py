@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyforge.functions.blocks import block_sum, matrix
 from tallyforge.session import scratch_path
 
-ROWS_A_FILE = 200_000
+ROWS_A_FILE, LEAST_ROWS_A_FILE = 200_000, 2_000
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-7
 
 
@@ -111,7 +111,9 @@ def loss_and_gradient(net: DenseNet, x: np.ndarray, y: np.ndarray, rows: np.ndar
 def deal_batches(train: DataFrame, key: str, batches: int, seed: int, rows_a_file: int = ROWS_A_FILE) -> list[DataFrame]:
     """The mini-batches as frames over files: features, label, and the hash of the row's key."""
     spark = train.sparkSession
-    files = -(-train.count() // (batches * rows_a_file)) or 1
+    rows_a_batch = -(-train.count() // batches)
+    # As many files as the rows ask for, and where that leaves cores idle as many as cores.
+    files = max(1, -(-rows_a_batch // rows_a_file), min(spark.sparkContext.defaultParallelism, rows_a_batch // LEAST_ROWS_A_FILE))
     hashed = F.xxhash64(F.col(key), F.lit(seed))
     dealt = train.select("features", F.col("label").cast("int").alias("label"), hashed.alias("row")).withColumns(
         {"batch": F.pmod(F.col("row"), F.lit(batches)).cast("int"), "slice": F.pmod(F.xxhash64("row"), F.lit(files)).cast("int")})

@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyforge.functions.blocks import matrix
+from tallyforge.functions.blocks import block_sum, matrix, spread
 from tallyforge.operators.nets import hashed_units
 from tallyforge.session import settle
 
@@ -34,6 +34,8 @@ BINS = 255
 LOCAL_ROWS = 50_000
 # Cells a task gathers before it sums and sends them.
 CELLS = 2_000_000
+# A level of at most so many cells is summed as one vector per task.
+DENSE = 250_000
 LEAF, OPEN, LOCAL = -1, -2, -3
 
 
@@ -156,72 +158,111 @@ class Growth:
         return LOCAL if n <= self.local_rows else OPEN
 
 
-def _cells(rows: DataFrame, trees: Sequence[Tree], slots: list[tuple[int, int]], looks: np.ndarray, cuts: list[np.ndarray], growth: Growth) -> DataFrame:
-    """slot, f, bin, label, n: weighted rows of every open node by label and bin of the features it looks at."""
-    d, width, k = len(cuts), max((len(c) for c in cuts), default=0) + 1, growth.classes
-    walks, places = [], []
-    for t, tree in enumerate(trees):
-        place = np.full(len(tree.feature), -1)
-        for s, (of, node) in enumerate(slots):
-            if of == t:
-                place[node] = s
-        walks.append((t, tree.walker()) if (place >= 0).any() else None)
-        places.append(place)
+class _Cells:
+    """Numbers the cells (slot, feature, bin, label) of a level and finds those that a batch of rows adds to."""
+
+    def __init__(self, trees: Sequence[Tree], slots: list[tuple[int, int]], looks: np.ndarray, cuts: list[np.ndarray], growth: Growth):
+        self.looks, self.cuts, self.growth = looks, cuts, growth
+        self.d, self.width = len(cuts), max((len(c) for c in cuts), default=0) + 1
+        self.size = len(slots) * self.d * self.width * growth.classes
+        self.walks = []
+        for t in sorted({t for t, _ in slots}):
+            place = np.full(len(trees[t].feature), -1)
+            for s, (of, node) in enumerate(slots):
+                if of == t:
+                    place[node] = s
+            self.walks.append((t, trees[t].walker(), place))
+
+    def of(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x, y = matrix(batch.column("features")), np.asarray(batch.column("label")).astype(np.int64)
+        row = np.asarray(batch.column("row"))
+        bins = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(self.cuts)], axis=1) if len(x) else np.zeros((0, self.d), int)
+        for t, walk, place in self.walks:
+            w = poisson_weights(row, t, self.growth.seed) if self.growth.bootstrap else np.ones(len(x))
+            at = np.flatnonzero(w > 0)
+            slot = place[walk(x[at])]
+            at, slot = at[slot >= 0], slot[slot >= 0]
+            for f in range(self.d):
+                seen = self.looks[slot, f]
+                r = at[seen]
+                yield ((slot[seen] * self.d + f) * self.width + bins[r, f]) * self.growth.classes + y[r], w[r]
+
+    def summed(self, rows: DataFrame) -> DataFrame:
+        """slot, f, bin, label, n by a shuffle, for levels of any size."""
+
+        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, weights, size = [], [], 0
+
+            def sums() -> pa.RecordBatch:
+                cell, back = np.unique(np.concatenate(held), return_inverse=True)
+                return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.bincount(back, np.concatenate(weights)))], ["cell", "n"])
+
+            for batch in stream:
+                for cell, w in self.of(batch):
+                    held.append(cell)
+                    weights.append(w)
+                    size += len(cell)
+                    if size >= CELLS:
+                        yield sums()
+                        held, weights, size = [], [], 0
+            if held:
+                yield sums()
+
+        cells = rows.mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
+        k = self.growth.classes
+        part = lambda size: F.floor(F.col("cell") / size)
+        return cells.select(part(self.d * self.width * k).cast("int").alias("slot"), (part(self.width * k) % self.d).cast("int").alias("f"),
+                            (part(k) % self.width).cast("int").alias("bin"), (F.col("cell") % k).cast("int").alias("label"), "n")
+
+    def best(self, rows: DataFrame) -> list[dict]:
+        """The best split of every slot that rows reach: `slot`, `whole`, `f` (-1 for none), `bin`, `gain`, `low`."""
+        sizes = [len(c) for c in self.cuts]
+        if self.size > DENSE:
+            return [r.asDict() for r in self.summed(rows).groupBy("slot").applyInArrow(_best_of(self.growth, sizes), _SPLIT).collect()]
+        # A small level is one vector per task, judged on the driver.
+
+        def block(batch: pa.RecordBatch) -> np.ndarray:
+            total = np.zeros(self.size)
+            for cell, w in self.of(batch):
+                total += np.bincount(cell, w, self.size)
+            return total
+
+        tables = block_sum(rows, block, self.size).reshape(-1, self.d, self.width, self.growth.classes)
+        found = []
+        for slot, table in enumerate(tables):
+            seen = [f for f in range(self.d) if table[f].any()]
+            if seen:
+                found.append({"slot": slot} | _judged(self.growth, {f: table[f, :sizes[f] + 1] for f in seen}))
+        return found
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, weights, size = [], [], 0
-
-        def sums() -> pa.RecordBatch:
-            cell, back = np.unique(np.concatenate(held), return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.bincount(back, np.concatenate(weights)))], ["cell", "n"])
 
-        for batch in stream:
-            x, y = matrix(batch.column("features")), np.asarray(batch.column("label")).astype(np.int64)
-            row = np.asarray(batch.column("row"))
-            bins = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1) if len(x) else np.zeros((0, d), int)
-            for t, walk in filter(None, walks):
-                w = poisson_weights(row, t, growth.seed) if growth.bootstrap else np.ones(len(x))
-                at = np.flatnonzero(w > 0)
-                slot = places[t][walk(x[at])]
-                at, slot = at[slot >= 0], slot[slot >= 0]
-                for f in range(d):
-                    seen = looks[slot, f]
-                    r = at[seen]
-                    held.append(((slot[seen] * d + f) * width + bins[r, f]) * k + y[r])
-                    weights.append(w[r])
-                    size += len(r)
-                if size >= CELLS:
-                    yield sums()
-                    held, weights, size = [], [], 0
-        if held:
-            yield sums()
-
-    cells = rows.mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
-    part = lambda size: F.floor(F.col("cell") / size)
-    return cells.select(part(d * width * k).cast("int").alias("slot"), (part(width * k) % d).cast("int").alias("f"),
-                        (part(k) % width).cast("int").alias("bin"), (F.col("cell") % k).cast("int").alias("label"), "n")
+_SPLIT = "slot int, whole array<double>, f int, bin int, gain double, low array<double>"
 
 
-_SPLIT = "slot int, whole array<double>, f int, bin int, gain double, low array<double>"
+def _judged(growth: Growth, tables: dict[int, np.ndarray]) -> dict:
+    """The best split out of a table (bin by label) per feature."""
+    found = {"f": -1, "bin": -1, "gain": 0.0, "low": np.zeros(growth.classes)}
+    for feature, table in sorted(tables.items()):
+        low, found["whole"] = table.cumsum(axis=0)[:-1], table.sum(axis=0)
+        if len(low):
+            gain = gains(low, found["whole"], growth.kind, growth.min_leaf)
+            at = int(gain.argmax())
+            if gain[at] > found["gain"]:
+                found |= {"f": feature, "bin": at, "gain": float(gain[at]), "low": low[at]}
+    return found
 
 
 def _best_of(growth: Growth, cuts: list[int]) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
     def best(key: tuple[pa.Scalar, ...], cells: pa.Table) -> pa.Table:
         f, b, y, n = (np.asarray(cells.column(c)) for c in ("f", "bin", "label", "n"))
-        found = (-1, -1, 0.0, np.zeros(growth.classes))
-        whole = np.zeros(growth.classes)
+        tables = {}
         for feature in np.unique(f):
             mine = f == feature
-            table = np.zeros((cuts[feature] + 1, growth.classes))
+            tables[int(feature)] = table = np.zeros((cuts[feature] + 1, growth.classes))
             np.add.at(table, (b[mine], y[mine]), n[mine])
-            low, whole = table.cumsum(axis=0)[:-1], table.sum(axis=0)
-            if len(low):
-                gain = gains(low, whole, growth.kind, growth.min_leaf)
-                at = int(gain.argmax())
-                if gain[at] > found[2]:
-                    found = (int(feature), at, float(gain[at]), low[at])
-        return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "whole": [whole.tolist()], "f": pa.array([found[0]], pa.int32()),
-                         "bin": pa.array([found[1]], pa.int32()), "gain": [found[2]], "low": [found[3].tolist()]})
+        found = _judged(growth, tables)
+        return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "whole": [found["whole"].tolist()], "f": pa.array([found["f"]], pa.int32()),
+                         "bin": pa.array([found["bin"]], pa.int32()), "gain": [found["gain"]], "low": [found["low"].tolist()]})
 
     return best
 
@@ -238,9 +279,8 @@ def grow(rows: DataFrame, count: int, growth: Growth, bins: int = BINS) -> list[
         looks = np.zeros((len(slots), d), bool)
         for s, (t, node) in enumerate(slots):
             looks[s, chosen_features(d, pick, growth.seed, t, node)[:d if (t, node) in wide else pick]] = True
-        cells = _cells(rows, trees, slots, looks, cuts, growth)
         seen, stuck = set(), []
-        for r in cells.groupBy("slot").applyInArrow(_best_of(growth, [len(c) for c in cuts]), _SPLIT).collect():
+        for r in _Cells(trees, slots, looks, cuts, growth).best(rows):
             t, node = slots[r["slot"]]
             tree, whole, low = trees[t], np.array(r["whole"]), np.array(r["low"])
             seen.add((t, node))
@@ -292,7 +332,7 @@ def hashed_rows(train: DataFrame, key: str, seed: int = 42) -> DataFrame:
 def train_tree(train: DataFrame, key: str, classes: int = 2, kind: str = "entropy", max_depth: int | None = 10, min_split: int = 10, min_leaf: int = 4,
                ccp_alpha: float = 0.0, bins: int = BINS) -> Tree:
     """One tree over (features, label, key)."""
-    tree = grow(settle(hashed_rows(train, key)), 1, Growth(classes, kind, max_depth, min_split, min_leaf), bins)[0]
+    tree = grow(settle(spread(hashed_rows(train, key))), 1, Growth(classes, kind, max_depth, min_split, min_leaf), bins)[0]
     return pruned(tree, kind, ccp_alpha)
 
 
@@ -409,7 +449,7 @@ def _handed(df: DataFrame, tops: Sequence[Tree], carried: Sequence[str], schema:
 def train_forest(train: DataFrame, key: str, classes: int = 2, trees: int = 100, kind: str = "gini", max_depth: int | None = None, min_split: int = 2, min_leaf: int = 1,
                  pick: int | None = None, local_rows: int = LOCAL_ROWS, bins: int = BINS, seed: int = 42) -> Forest:
     """A forest over (features, label, key): bootstrap rows, `pick` features a node (the root of their number), any depth."""
-    rows = settle(hashed_rows(train, key, seed))
+    rows = settle(spread(hashed_rows(train, key, seed)))
     first = rows.first()
     if first is None:
         raise ValueError("no rows to train on")
