@@ -23,14 +23,14 @@ def by_hand(docs, items):
         text = "\n".join(x for k, x in enumerate(lines) if k not in gone)
         if not gone or text.split():
             cut.append((i, text))
-    fps = {i: [simhash.fingerprint(t, 5, n) for n in range(cp.FINGERPRINTS)] for i, t in cut}
+    fps = {i: set(simhash._hashes(t, cp.SHINGLE_WORDS).tolist()) for i, t in cut}
     root = {i: i for i in fps}
     changed = True
     while changed:
         changed = False
         for i in fps:
             for j in fps:
-                if root[i] != root[j] and any((x ^ y).bit_count() <= 4 for x, y in zip(fps[i], fps[j])):
+                if root[i] != root[j] and (fps[i] == fps[j] or 5 * len(fps[i] & fps[j]) >= 4 * len(fps[i] | fps[j])):
                     root[i] = root[j] = min(root[i], root[j])
                     changed = True
     alone = [(i, t) for i, t in cut if root[i] == i]
