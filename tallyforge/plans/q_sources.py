@@ -46,19 +46,32 @@ def scan_csv_named(spark, folder):
     return files.read_csv(spark, _csv(spark, source, "csv-named", header=False), names, header=False)
 
 
-@query("scan_array_files", """WITH n AS (SELECT count(*) // 2000 + 1 AS shards FROM embeddings)
+ARRAY_FILES_SQL = """WITH n AS (SELECT count(*) // 2000 + 1 AS shards FROM embeddings)
     SELECT concat('shard=', vec_id % shards) AS folder, row_number() OVER (PARTITION BY vec_id % shards ORDER BY vec_id) - 1 AS pos,
         CAST(len(embedding) AS INTEGER) AS width, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[len(embedding)] AS DOUBLE) AS last
-    FROM embeddings, n""")
-def scan_array_files(spark, folder):
-    """Vectors written as array files of about 2000 rows and read back."""
+    FROM embeddings, n"""
+
+
+def _array_files(spark, folder, reader):
     source, path = table(spark, folder, "embeddings"), scratch_path(spark, "npy")
     shards = source.count() // 2000 + 1
     files.write_npy(source.withColumn("shard", F.col("vec_id") % shards), path, "shard", "vec_id", "embedding")
-    return files.read_npy(spark, path, "*.txt").select(
+    return reader(spark, path, "*.txt").select(
         "folder", "pos", F.size("values").alias("width"), F.get("values", F.lit(0)).alias("first"), F.element_at("values", -1).alias("last"))
 
 
+@query("scan_array_files", ARRAY_FILES_SQL)
+def scan_array_files(spark, folder):
+    """Vectors written as array files of about 2000 rows and read back."""
+    return _array_files(spark, folder, files.read_npy)
+
+
+@query("scan_array_ranges", ARRAY_FILES_SQL)
+def scan_array_ranges(spark, folder):
+    """The same files, each read by as many tasks as it has blocks."""
+    return _array_files(spark, folder, files.read_npy_ranges)
+
+
 @query("scan_arrays", """SELECT vec_id AS idx, CAST(i AS INTEGER) AS pos, CAST(embedding[i + 1] AS DOUBLE) AS pixel, label
     FROM embeddings, unnest(range(0, len(embedding))) AS t(i)""")
 def scan_arrays(spark, folder):
@@ -109,9 +122,11 @@ def scan_runlogs(spark, folder):
     return local_times(runs.select("strategy", "seed", "id", "name", *times), *times)
 
 
-@query("scan_runlogs_arrays", """SELECT strategy, CAST(experiment AS STRING) AS seed, CAST(run_id AS STRING) AS id, name,
-    submitted_at, scheduled_at, finished_at FROM v_runs""")
-def scan_runlogs_arrays(spark, folder):
+RUNLOGS_SQL = """SELECT strategy, CAST(experiment AS STRING) AS seed, CAST(run_id AS STRING) AS id, name,
+    submitted_at, scheduled_at, finished_at FROM v_runs"""
+
+
+def _array_dumps(spark, folder, **options):
     """Dumps that hold one JSON array per file, of about a thousand runs."""
     dump, path = run_dump(spark, folder), scratch_path(spark, "runs-arrays")
     body = F.to_json(F.struct(*[c for c in dump.columns if c not in ("strategy", "seed")]))
@@ -120,7 +135,18 @@ def scan_runlogs_arrays(spark, folder):
     arrays.select("strategy", "seed", F.concat(F.lit("["), F.array_join("_runs", ",\n"), F.lit("]")).alias("value")) \
         .write.option("maxRecordsPerFile", 1).partitionBy("strategy", "seed").text(path)
     times = ["submitted_at", "scheduled_at", "finished_at"]
-    return local_times(files.read_run_dumps(spark, path).select("strategy", "seed", "id", "name", *times), *times)
+    return local_times(files.read_run_dumps(spark, path, **options).select("strategy", "seed", "id", "name", *times), *times)
+
+
+@query("scan_runlogs_arrays", RUNLOGS_SQL)
+def scan_runlogs_arrays(spark, folder):
+    return _array_dumps(spark, folder)
+
+
+@query("scan_runlogs_ranges", RUNLOGS_SQL)
+def scan_runlogs_ranges(spark, folder):
+    """The same dumps, cut at object borders within their files."""
+    return _array_dumps(spark, folder, by_ranges=True)
 
 
 @query("explode_components", """SELECT CAST(run_id AS STRING) AS id, c AS component, t AS type, concat('node-', run_id % 10) AS node

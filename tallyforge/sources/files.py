@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tallyforge.functions.timing import seconds_between
-from tallyforge.sources import schemas
+from tallyforge.sources import ranges, schemas
 
 # Columns that stay inside the service and never reach a dump.
 PRIVATE_RUN_COLUMNS = ["effort", "last_update", "time_window", "metadata"]
@@ -35,9 +35,9 @@ def read_arrays(spark: SparkSession, x_path: str, y_path: str) -> DataFrame:
 def read_npy(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataFrame:
     """Array files as rows (folder, file, pos, values); values are flattened and keep their precision as doubles.
 
-    A file is one row of Spark's binary source, which holds up to 2 GB: larger arrays are kept as
-    shards, as `write_npy` makes them. Within a file rows leave in Arrow batches. Shards of x and y
-    with equal names match on (folder, pos).
+    A file is one row of Spark's binary source, which holds up to 2 GB and is right for many small
+    files; `read_npy_ranges` reads files of any size in several tasks. Within a file rows leave in Arrow
+    batches. Shards of x and y with equal names match on (folder, pos).
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
 
@@ -54,6 +54,12 @@ def read_npy(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataFram
     return files.mapInPandas(rows, "folder string, file string, pos bigint, values array<double>")
 
 
+def read_npy_ranges(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataFrame:
+    """The rows of `read_npy`, a file of any size cut into ranges that tasks share."""
+    place = F.split("file", "/")
+    return ranges.npy_rows(spark, path, pattern).select(F.element_at(place, -2).alias("folder"), F.element_at(place, -1).alias("file"), "pos", "values")
+
+
 def write_npy(df: DataFrame, path: str, shard: str, order: str, values: str) -> None:
     """One array file per value of `shard`, in a folder `shard=..`; rows by `order`. The caller bounds the rows of a shard."""
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -75,14 +81,18 @@ def write_artifacts(df: DataFrame, path: str, split: str = "split") -> None:
 # --- run logs -------------------------------------------------------------------------
 
 def read_run_dumps(spark: SparkSession, root: str, multi_line: bool = True,
-                   layout: str = r"/(?:strategy=)?([^/]+)/(?:seed=)?([^/]+)/[^/]+$") -> DataFrame:
+                   layout: str = r"/(?:strategy=)?([^/]+)/(?:seed=)?([^/]+)/[^/]+$", by_ranges: bool = False) -> DataFrame:
     """Every dump below `root` in one table; strategy and seed come from the path.
 
-    `multi_line` is for files that hold one JSON array; dumps written by this library
-    are one object per line and split across tasks.
+    `multi_line` is for files that hold one JSON array, each read by one task; `by_ranges` cuts
+    such files at object borders, so that a large one is read by many. Dumps written by this
+    library are one object per line and split across tasks.
     """
-    reader = spark.read.schema(schemas.RUN_DUMP).option("multiLine", multi_line).option("recursiveFileLookup", True)
-    runs = reader.json(root).withColumn("_path", F.col("_metadata.file_path"))
+    if by_ranges:
+        runs = ranges.read_json_elements(spark, root, schemas.RUN_DUMP)
+    else:
+        reader = spark.read.schema(schemas.RUN_DUMP).option("multiLine", multi_line).option("recursiveFileLookup", True)
+        runs = reader.json(root).withColumn("_path", F.col("_metadata.file_path"))
     times = {c: F.col(c).cast("timestamp") for c in ("submitted_at", "scheduled_at", "finished_at")}
     return runs.withColumns({
         "strategy": F.regexp_extract("_path", layout, 1), "seed": F.regexp_extract("_path", layout, 2), **times,
@@ -141,7 +151,9 @@ def append_counter_log(rows: DataFrame, path: str) -> None:
 
 # --- catalog --------------------------------------------------------------------------
 
-def read_catalog(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Pipeline metadata files with the union schema of all their variants."""
+def read_catalog(spark: SparkSession, path: str, multi_line: bool = True, by_ranges: bool = False) -> DataFrame:
+    """Pipeline metadata files with the union schema of all their variants; `by_ranges` as for run dumps."""
+    if by_ranges:
+        return ranges.read_json_elements(spark, path, schemas.CATALOG).drop("_path")
     reader = spark.read.schema(schemas.CATALOG).option("multiLine", multi_line).option("recursiveFileLookup", True)
     return reader.json(path)
