@@ -39,6 +39,42 @@ def latest_run_by_id_stream(spark, folder):
     return jobs.latest_run_table(jobs.run_available(changes, mode="update", name="latest-run"))
 
 
+@query("latest_run_expiring_stream", """SELECT user_id AS run_id, event_type AS state, ts AS updated_at FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def latest_run_expiring_stream(spark, folder):
+    """The same table by a stream that forgets ended and silent runs."""
+    changes = jobs.latest_run_expiring(state_updates(events(spark, folder)))
+    return local_times(jobs.latest_run_table(jobs.run_available(changes, mode="update", name="latest-expiring")), "updated_at")
+
+
+# The horizon ends at noon, dates at midnight, so no row lies on the border of the watermark.
+OUTCOMES_SQL = """(WITH a AS (SELECT o_orderkey AS pipeline_id, 1 AS component, o_custkey % 10 AS node_id, CAST(o_orderdate AS TIMESTAMP) AS assigned_at FROM orders),
+    c AS (SELECT l_orderkey AS pipeline_id, l_linenumber AS component, CAST(l_shipdate AS TIMESTAMP) AS done_at FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'R'),
+    mark AS (SELECT least((SELECT max(assigned_at) FROM a), (SELECT max(done_at) FROM c)) - INTERVAL 1 DAY AS upto)
+    SELECT a.*, done_at FROM a LEFT JOIN c ON a.pipeline_id = c.pipeline_id AND a.component = c.component AND done_at >= assigned_at
+        AND done_at <= assigned_at + INTERVAL 60 DAY + INTERVAL 12 HOUR, mark WHERE done_at IS NOT NULL OR assigned_at + INTERVAL 60 DAY + INTERVAL 12 HOUR < upto)"""
+
+
+def _outcomes(spark, folder):
+    """Orders are assignments, their first lines that didn't come back the completions; sixty days and a half are the horizon."""
+    assigned = jobs.table_stream(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("pipeline_id"), F.lit(1).cast("bigint").alias("component"), (F.col("o_custkey") % 10).alias("node_id"), F.col("o_orderdate").alias("assigned_at"))
+    done = jobs.table_stream(spark, folder, "lineitem").filter("l_linenumber = 1 AND l_returnflag <> 'R'").select(
+        F.col("l_orderkey").alias("pipeline_id"), F.col("l_linenumber").cast("bigint").alias("component"), F.col("l_shipdate").alias("done_at"))
+    return jobs.run_available(jobs.assignment_outcomes(assigned, done, "'60 12' DAY TO HOUR", "1 day"), name="outcomes")
+
+
+@query("active_assignments_stream", f"SELECT pipeline_id, CAST(component AS BIGINT) AS component, node_id FROM {OUTCOMES_SQL} AS o WHERE done_at IS NULL")
+def active_assignments_stream(spark, folder):
+    return jobs.overdue_assignments(_outcomes(spark, folder))
+
+
+@query("node_release_times_stream", f"""SELECT pipeline_id, node_id, max(done_at) AS released_at FROM {OUTCOMES_SQL} AS o GROUP BY pipeline_id, node_id
+    HAVING bool_and(done_at IS NOT NULL)""")
+def node_release_times_stream(spark, folder):
+    return local_times(jobs.release_times(_outcomes(spark, folder)), "released_at")
+
+
 @query("submission_windows_stream", f"""WITH w AS (SELECT date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY 1)
     SELECT window_start, n, row_number() OVER (ORDER BY window_start) AS time_window FROM w
     WHERE window_start + INTERVAL 1 HOUR <= {WATERMARK_SQL}""")
