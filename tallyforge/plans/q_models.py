@@ -6,7 +6,7 @@ from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
 from tallyforge.operators import margins, metrics, models, nets, prep, recipes, trees
-from tallyforge.operators.smote import smote_oversample
+from tallyforge.operators.smote import partners, smote_oversample
 from tallyforge.plans.q_prep import TAB_NULLS_SQL, XS, encode_sql, md5_part, tab_with_nulls
 from tallyforge.plans.q_runlog import rounded
 from tallyforge.plans.registry import query
@@ -64,6 +64,23 @@ def smote_oversample_counts(spark, folder):
     return counted
 
 
+# Whole prices name the vectors that are looked at; they are searched among all of their class.
+ASKED = "CAST(round({x} * 100) AS BIGINT) % 100 = 0"
+
+
+@query("smote_partners", f"""WITH sizes AS (SELECT label, count(*) AS n FROM v_tab GROUP BY label),
+    r AS (SELECT DISTINCT label, x1, x2, x3, x4 FROM v_tab JOIN sizes USING (label) WHERE n < (SELECT max(n) FROM sizes)),
+    d AS (SELECT a.*, sqrt((a.x1 - b.x1) ** 2 + (a.x2 - b.x2) ** 2 + (a.x3 - b.x3) ** 2 + (a.x4 - b.x4) ** 2) AS dist
+          FROM r AS a JOIN r AS b ON a.label = b.label AND (a.x1, a.x2, a.x3, a.x4) <> (b.x1, b.x2, b.x3, b.x4) WHERE {ASKED.format(x='a.x2')})
+    SELECT label, x1, x2, x3, x4, CAST(row_number() OVER (PARTITION BY label, x1, x2, x3, x4 ORDER BY dist) - 1 AS INTEGER) AS place, round(dist, 6) AS dist
+    FROM d QUALIFY place < 5""")
+def smote_partners(spark, folder):
+    """The five nearest that new rows are drawn toward, for every vector of a whole price, equal to all distances in SQL."""
+    found = partners(view(spark, folder, "v_tab"), "label", XS)
+    asked = found.where(ASKED.format(x="vec[1]")).select("label", *(F.get("vec", F.lit(i)).alias(c) for i, c in enumerate(XS)), F.posexplode("near").alias("place", "of"))
+    return asked.select("label", *XS, "place", F.round("of.dist", 6).alias("dist"))
+
+
 WIDE = {**{c: c for c in XS}, **{f"{a}_{b}": f"({a} + 1) * ({b} + 1)" for n, a in enumerate(XS) for b in XS[n + 1:]}, "y1": "x1 * x1", "y2": "x4 * 100"}
 
 
