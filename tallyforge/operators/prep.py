@@ -166,12 +166,16 @@ def iqr_limits(df: DataFrame, columns: Sequence[str], sketch: bool = False) -> d
 def iqr_clip(df: DataFrame, columns: Sequence[str] | None = None, sketch: bool = False) -> DataFrame:
     """Clips every numeric column to its own limits; NULL stays NULL.
 
-    The limits are fitted at once, so clipping is one projection with constants.
+    The limits are fitted at once.
     """
     names = list(columns) if columns is not None else columns_of(df, NUMERIC)
     if not names:
         return df
-    limits = iqr_limits(df, names, sketch)
+    return clip_to(df, iqr_limits(df, names, sketch))
+
+
+def clip_to(df: DataFrame, limits: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """Clips the columns that have limits, in one projection with constants."""
 
     def clipped(name: str) -> Column:
         value, (low, high) = quoted(name).cast("double"), limits[name]

@@ -294,7 +294,7 @@ def train_dense_net(spark, folder):
 
 def _reloaded(spark, folder):
     """Every row of the prepared table with the predictions of a model and of its saved copy."""
-    vectors = models.as_vectors(prepared(spark, folder))
+    vectors = models.as_vectors(settle(prepared(spark, folder)))
     model = models.train_logistic(vectors.filter("split = 'train'").select("features", "label"))
     path = scratch_path(spark, "model")
     models.save_model(model, path)

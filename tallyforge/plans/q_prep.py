@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import prep as ops
+from tallyforge.operators import prep as ops, sketches
 from tallyforge.plans.q_runlog import rounded
 from tallyforge.plans.registry import query
 from tallyforge.plans.views import view
+from tallyforge.session import scratch_path, settle
 from tallyforge.sources.tables import table
 
 XS = ["x1", "x2", "x3", "x4"]
@@ -60,6 +61,23 @@ def quantiles(spark, folder):
     return rounded(ops.quantiles(tab(spark, folder), XS), "value")
 
 
+@query("quantiles_refreshed", " UNION ALL ".join(f"""SELECT '{c}' AS "column", CAST({p} AS DOUBLE) AS prob, count({c}) AS n, true AS near FROM v_tab"""
+                                                 for c in XS for p in (0.25, 0.75)))
+def quantiles_refreshed(spark, folder):
+    """Twelve parts that arrive in three appends, each sketched once; the ranks of the merged quantiles are right to twice the stated error."""
+    rows, path = tab(spark, folder), scratch_path(spark, "sketches")
+    part = F.pmod(F.xxhash64("row_key"), F.lit(12))
+    for upto in (4, 8, 12):
+        sketches.refresh_sketches(rows.filter(part < upto), path, part, XS)
+    found = settle(sketches.sketched_quantiles(sketches.stored_sketches(spark, path)))
+    # Two counts per quantile, in one pass over the rows.
+    counted = rows.agg(F.array(*[F.struct(F.lit(r["column"]).alias("column"), F.lit(r["prob"]).alias("prob"), F.count_if(F.col(r["column"]) < r["value"]).alias("below"),
+                                          F.count_if(F.col(r["column"]) <= r["value"]).alias("upto")) for r in found.collect()]).alias("all")).select(F.inline("all"))
+    slack = 2 * sketches.rank_error() * F.col("n")
+    near = (F.col("below") - slack <= F.col("prob") * F.col("n")) & (F.col("prob") * F.col("n") <= F.col("upto") + slack)
+    return found.join(counted, ["column", "prob"]).select("column", "prob", "n", near.alias("near"))
+
+
 LIMITS_SQL = "SELECT " + ", ".join(
     f"""quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo_{c},
         quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi_{c}"""
