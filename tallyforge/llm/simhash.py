@@ -269,7 +269,9 @@ def near_dedup(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4, table
     of the pairs with a shingle similarity of 0.95 and a fifth of those with 0.9.
     """
     marked = settle(fingerprints(docs, shingle_words, tables))
-    nodes = settle(marked.where("doc_id IS NOT NULL").groupBy("fps").agg(F.min("doc_id").alias("node")))
+    # A node is a fingerprint (or the hash of several), so that rows without an id link and bridge too.
+    name = F.get("fps", F.lit(0)) if tables == 1 else F.xxhash64("fps")
+    nodes = settle(marked.groupBy("fps").agg(F.min("doc_id").alias("id")).withColumn("node", name))
     tall = nodes.select("node", F.posexplode("fps").alias("t", "fp"))
     # Texts may share one fingerprint and differ in another: a point has one node, the others hang on it.
     points = settle(tall.groupBy("t", "fp").agg(F.min("node").alias("node")))
@@ -278,7 +280,9 @@ def near_dedup(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4, table
         links = links.unionByName(tall.join(points.withColumnRenamed("node", "b"), ["t", "fp"]).where("node <> b").select(F.col("node").alias("a"), "b"))
     roots = components(links)
     named = (nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
-             .select("fps", F.coalesce("root", "node").alias("component_id")))
+             .select("fps", "id", F.coalesce("root", "node").alias("root")))
+    smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = named.join(smallest, "root").select("fps", "component_id")
     return marked.join(named, "fps", "left").select("doc_id", F.get("fps", F.lit(0)).alias("fp"), "component_id")
 
 

@@ -108,3 +108,17 @@ def test_more_fingerprints_find_less_alike_texts(docs_of):
 
     one, many = found(1), found(8)
     assert many > 0.8 > 0.7 > one
+
+
+def test_rows_without_an_id_link_and_bridge(docs_of):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[:400 - k] + [f"new{j}" for j in range(k)]) for k in range(0, 60)]
+    prints = [simhash.fingerprint(t, 4) for t in texts]
+    far = lambda i, j: (prints[i] ^ prints[j]).bit_count()
+    near = next(k for k in range(1, 60) if 0 < far(0, k) <= 4)
+    got = {r.doc_id: r.component_id for r in simhash.near_dedup(docs_of([(7, texts[0]), (None, texts[near])])).collect()}
+    assert got == {7: 7, None: 7}
+    # A text without an id between two that are too far apart for a link of their own.
+    i, j, k = next((i, j, k) for i in range(60) for j in range(60) for k in range(60) if far(i, j) > 4 and far(i, k) <= 4 and far(j, k) <= 4)
+    rows = [(9, texts[i]), (4, texts[j]), (None, texts[k])]
+    assert {(r.doc_id, r.component_id) for r in simhash.near_dedup(docs_of(rows)).collect()} == {(9, 4), (4, 4), (None, 4)}
