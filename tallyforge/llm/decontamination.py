@@ -2,28 +2,34 @@
 
 Benchmark items of up to `PART_WORDS` words are one part. Longer ones are cut into parts of `LONG_PART_WORDS`
 words that overlap, at most `PART_STEP` words apart, the last at the item's end, so 50 words in a row quoted from anywhere hold
-`COPY_SHARE` of some part. Parts are taken in blocks of about `BLOCK_PARTS`, so all that a block needs on the driver or
-in a task is bounded. For a block:
+`COPY_SHARE` of some part. Parts are taken in blocks of about `BLOCK_PARTS`, which bounds what the driver or a task
+holds: terms (at most `PART_WORDS` a part) times `RANK` numbers. A benchmark of one block takes three maps over the
+documents:
 
 1. The document frequency of its words is counted over all documents. A part's vocabulary is its
    words in at most `MAX_DF` of the documents, or its `RAREST` rarest where those are fewer.
-2. Passages of `PASSAGE_WORDS` words, half overlapping, become TF-IDF rows over that vocabulary.
-3. A randomised SVD of the passages, the parts' own rows weighted up, finds the latent space: rows
-   are multiplied with a random block in tasks, products are summed by blocks of terms, and only a
-   matrix of vocabulary times rank reaches the driver. Since the rank exceeds the number of parts,
-   the space holds every part, and an exact copy is never lost to the approximation.
-4. Each passage is projected, and parts with enough cosine and coverage are candidates. The longest
-   common subsequence of words with a stretch half as long again as the part then decides: `copy`
-   from `COPY_SHARE` of the part's words, `paraphrase` from `LIKE_SHARE` if the answer is there
-   too. Of its vocabulary words alone, `LIKE_SHARE` must be there in order in either case.
-   The answer is the item's `answer`, or its last `ANSWER_WORDS` words; for a part of a long item it may be as far
-   away as the item is long.
-
-Steps 1, 2 and 4 are maps over documents; texts never move. Passages without vocabulary words
-can't be candidates and add nothing to the SVD, so they aren't stored.
+2. Passages of `PASSAGE_WORDS` words, half overlapping, become TF-IDF rows over the vocabulary of all parts.
+   A randomised SVD of these passages and the parts' own rows finds a latent space of at most `RANK` directions, and fewer
+   than terms: rows are multiplied with a random block in tasks, products are summed by blocks of terms, and only a
+   matrix of terms times rank reaches the driver. Words that stand in the same passages get like directions.
+3. Each passage is projected. Candidates are parts whose projection has a cosine of `MIN_COSINE` with the passage's, and,
+   so that no copy depends on an approximation, parts of whose own weight the passage holds `MIN_COVERAGE`,
+   whatever else the passage holds. The longest common subsequence of words with a stretch half as long again as
+   the part then decides: `copy` from `COPY_SHARE` of the part's words, `paraphrase` from `LIKE_SHARE` if the answer is
+   there too. Of the part's vocabulary words alone `LIKE_SHARE` must be there in order, unless the passage is near
+   the part in the latent space: then other words of the same subject may stand in their place, and it is a `paraphrase`
+   at most. The answer is the item's `answer`, or its last `ANSWER_WORDS` words; for a part of a long item it may be as
+   far away as the item is long. A part of fewer than `SHORT_WORDS` words must stand there word by word.
+
+Words outside the vocabulary of all parts have no direction, so a paraphrase in words that no item holds is found by its
+literal words alone.
+
+Texts never move. Passages without vocabulary words can't be candidates and add nothing to the SVD, so they aren't
+stored.
 
 Words are maximal runs of anything but ASCII punctuation and white space, lower-cased. Null
-and empty texts and items match nothing. Ids may be null or repeated; rows are judged one by one.
+and empty texts and items match nothing. Ids may be null or repeated; rows are judged one by one. Columns of any
+name but `leaks` are kept.
 """
 
 from __future__ import annotations
@@ -32,6 +38,7 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +50,13 @@ from tallyforge.session import settle
 PART_WORDS = 64
 LONG_PART_WORDS = 48
 PART_STEP = 16
-BLOCK_PARTS = 256
+BLOCK_PARTS = 4096
 PASSAGE_WORDS = 64
 MAX_DF = 0.01
 RAREST = 8
-EXTRA_RANK = 32
-MIN_COSINE = 0.3
+RANK = 64
+TERMS_PER_DIRECTION = 8
+MIN_COSINE = 0.6
 MIN_COVERAGE = 0.35
 COPY_SHARE = 0.8
 LIKE_SHARE = 0.6
@@ -133,24 +141,26 @@ def _vocabulary(parts: list[Part], frequency: dict[bytes, int], total: int) -> d
     return chosen
 
 
-def windows(words: list[bytes], number: dict[bytes, int]) -> Iterator[tuple[int, list[int]]]:
-    """(first word, distinct terms) of every half-overlapping passage that holds a term."""
-    hits = [(i, t) for i, w in enumerate(words) if (t := number.get(w)) is not None]
-    if not hits:
-        return
+def spans(words: list[bytes], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The half-overlapping passages that hold a term: first words, where the terms of each begin, and their distinct terms."""
+    ids = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+    hits = np.flatnonzero(ids >= 0)
     half = PASSAGE_WORDS // 2
     last = max(0, (len(words) - 1) // half - 1)
-    low = 0
-    for k in range(max(0, hits[0][0] // half - 1), min(last, hits[-1][0] // half) + 1):
-        start = k * half
-        while low < len(hits) and hits[low][0] < start:
-            low += 1
-        found, at = set(), low
-        while at < len(hits) and hits[at][0] < start + PASSAGE_WORDS:
-            found.add(hits[at][1])
-            at += 1
-        if found:
-            yield start, sorted(found)
+    block, term = hits // half, ids[hits]
+    own, before = block <= last, block >= 1
+    width = len(number)
+    keys = np.unique(np.concatenate([block[own] * width + term[own], (block[before] - 1) * width + term[before]]))
+    passage, terms = np.divmod(keys, max(1, width))
+    firsts = np.flatnonzero(np.diff(passage, prepend=-1))
+    return passage[firsts] * half, firsts, terms
+
+
+def windows(words: list[bytes], number: dict[bytes, int]) -> Iterator[tuple[int, list[int]]]:
+    """(first word, distinct terms) of every half-overlapping passage that holds a term."""
+    starts, firsts, terms = spans(words, number)
+    for start, found in zip(starts.tolist(), np.split(terms, firsts[1:])):
+        yield start, found.tolist()
 
 
 def passages(docs: DataFrame, number: dict[bytes, int]) -> DataFrame:
@@ -159,8 +169,11 @@ def passages(docs: DataFrame, number: dict[bytes, int]) -> DataFrame:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for start in range(0, batch.num_rows, 1024):
-                found = [terms for text in batch.column(0).slice(start, 1024).to_pylist() for _, terms in windows(words_of(text), number)]
-                yield pa.RecordBatch.from_pydict({"terms": pa.array(found, pa.list_(pa.int32()))})
+                found = [spans(words_of(text), number)[1:] for text in batch.column(0).slice(start, 1024).to_pylist()]
+                sizes = np.concatenate([np.diff(firsts, append=len(terms)) for firsts, terms in found])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()),
+                                                 pa.array(np.concatenate([terms for _, terms in found]), pa.int32()))
+                yield pa.RecordBatch.from_pydict({"terms": lists})
 
     return docs.select("text").transform(arrow_map, run, "terms array<int>")
 
@@ -168,6 +181,16 @@ def passages(docs: DataFrame, number: dict[bytes, int]) -> DataFrame:
 _TERMS = 256  # terms in a block of a product
 
 
+def _add_gram(terms: np.ndarray, sizes: np.ndarray, weighted: np.ndarray, out: np.ndarray) -> None:
+    """Adds A'(A w) to `out`, but for the weights on the left; A has a row of `sizes` terms for each list in `terms`."""
+    firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    products = np.add.reduceat(weighted[terms], firsts, axis=0)
+    order = np.argsort(terms, kind="stable")
+    owner = np.repeat(np.arange(len(sizes)), sizes)[order]
+    which, at = np.unique(terms[order], return_index=True)
+    out[which] += np.add.reduceat(products[owner], at, axis=0)
+
+
 def _times_gram(rows: DataFrame, weights: np.ndarray, block: np.ndarray) -> np.ndarray:
     """A'A times `block` for the TF-IDF rows A that `rows` stands for."""
     weighted = (weights[:, None] * block).astype(np.float32)
@@ -178,14 +201,7 @@ def _times_gram(rows: DataFrame, weights: np.ndarray, block: np.ndarray) -> np.n
         for batch in stream:
             for start in range(0, batch.num_rows, 2048):
                 lists = batch.column(0).slice(start, 2048)
-                terms = lists.flatten().to_numpy(zero_copy_only=False)
-                sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-                firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                products = np.add.reduceat(weighted[terms], firsts, axis=0)
-                order = np.argsort(terms, kind="stable")
-                owner = np.repeat(np.arange(len(sizes)), sizes)[order]
-                which, at = np.unique(terms[order], return_index=True)
-                out[which] += np.add.reduceat(products[owner], at, axis=0)
+                _add_gram(lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False), weighted, out)
         out *= weights[:, None]
         starts = range(0, shape[0], _TERMS)
         yield pa.RecordBatch.from_pydict({"part": pa.array([s // _TERMS for s in starts], pa.int32()),
@@ -207,21 +223,18 @@ def _times_gram(rows: DataFrame, weights: np.ndarray, block: np.ndarray) -> np.n
     return out
 
 
-def latent_basis(rows: DataFrame, weights: np.ndarray, own: np.ndarray, rank: int, power: int = 1) -> np.ndarray:
-    """Orthonormal basis (terms x rank) of the leading right singular space of the passages, with the rows `own` weighted above them."""
+def latent_basis(rows: DataFrame, weights: np.ndarray, own: list[np.ndarray], rank: int, power: int = 1) -> np.ndarray:
+    """Orthonormal basis (terms x rank) of the leading right singular space of the passages and, counting as much as
+    all of them together, the parts, whose terms `own` lists."""
     rng = np.random.default_rng(11)
-    rank = min(rank, len(weights))
-    block = np.linalg.qr(rng.standard_normal((len(weights), rank)))[0]
+    block = np.linalg.qr(rng.standard_normal((len(weights), min(rank, len(weights)))))[0]
+    terms, sizes = np.concatenate(own), np.array([len(x) for x in own])
     for _ in range(power + 1):
-        product = _times_gram(rows, weights, block)
-        # The parts count for as much as all passages together.
-        scale = max(1.0, np.abs(product).sum() / max(1e-9, np.abs(own.T @ (own @ block)).sum()))
-        block = np.linalg.qr(product + scale * (own.T @ (own @ block)))[0]
-    # What the passages leave of the parts' own directions is put back exactly.
-    rest = own - (own @ block) @ block.T
-    left = np.linalg.svd(rest, full_matrices=False)
-    fill = left[2][left[1] > 1e-6 * max(1.0, np.abs(own).max())]
-    return np.linalg.qr(np.column_stack([block, fill.T]))[0] if len(fill) else block
+        product, parts = _times_gram(rows, weights, block), np.zeros_like(block)
+        _add_gram(terms, sizes, weights[:, None] * block, parts)
+        parts *= weights[:, None]
+        block = np.linalg.qr(product + max(1.0, np.abs(product).sum() / np.abs(parts).sum()) * parts)[0]
+    return block
 
 
 def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
@@ -247,63 +260,98 @@ def closest(part: list[bytes], around: list[bytes]) -> tuple[float, list[bytes]]
     return best[0] / len(part), best[1]
 
 
+_PASSAGES = 4096  # passages of one text that are compared with all parts at a time
+
+
 @dataclass
 class Index:
-    """What a task needs of one block: terms, the latent similarity of each term to each part, and the parts."""
+    """What a task needs of one block: terms, the parts that hold each, and the projections of terms and parts."""
 
     number: dict[bytes, int]
-    energy: np.ndarray
-    similar: np.ndarray
-    norms: np.ndarray
+    energy: np.ndarray  # squared weight of each term
+    holders: np.ndarray  # parts, those of a term one after the other
+    held: np.ndarray  # where a term's parts begin, and the end
+    norms: np.ndarray  # squared weight of each part
+    projected: np.ndarray  # terms x rank, with their weights
+    latent: np.ndarray  # parts x rank, of unit length
     parts: list[Part]
 
+    @classmethod
+    def of(cls, parts: list[Part], number: dict[bytes, int], weights: np.ndarray, basis: np.ndarray) -> Index:
+        own = part_terms(parts, number)
+        terms, sizes = np.concatenate(own), np.array([len(x) for x in own])
+        firsts = np.cumsum(sizes) - sizes
+        order = np.argsort(terms, kind="stable")
+        projected = (weights[:, None] * basis).astype(np.float32)
+        latent = np.add.reduceat(projected[terms], firsts, axis=0)
+        return cls(number, weights ** 2, np.repeat(np.arange(len(own)), sizes)[order], np.searchsorted(terms[order], np.arange(len(weights) + 1)),
+                   np.add.reduceat(weights[terms] ** 2, firsts), projected,
+                   latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9), parts)
+
+    def candidates(self, firsts: np.ndarray, terms: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(passage, part, latent cosine) of what is near in the latent space, or holds enough of the part itself."""
+        sizes = np.diff(firsts, append=len(terms))
+        live = np.flatnonzero(np.add.reduceat(self.energy[terms], firsts) >= MIN_COVERAGE * self.norms.min())
+        for chunk in np.split(live, range(_PASSAGES, len(live), _PASSAGES)):
+            if not len(chunk):
+                continue
+            width, n = len(self.parts), sizes[chunk]
+            first = np.cumsum(n) - n
+            own = terms[np.repeat(firsts[chunk] - first, n) + np.arange(n.sum())]
+            z = np.add.reduceat(self.projected[own], first, axis=0)
+            z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+            near = z @ self.latent.T
+            count = self.held[own + 1] - self.held[own]
+            part = self.holders[np.repeat(self.held[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+            keys, place = np.unique(np.repeat(np.repeat(np.arange(len(chunk)), n), count) * width + part, return_inverse=True)
+            share = np.bincount(place, np.repeat(self.energy[own], count)) / self.norms[keys % width]
+            for key in np.union1d(keys[share >= MIN_COVERAGE - 1e-9], np.flatnonzero(near >= MIN_COSINE)).tolist():
+                yield int(chunk[key // width]), key % width, float(near.flat[key])
+
     def leaks(self, text: str | None) -> list[dict]:
         words = words_of(text)
-        if not words:
-            return []
-        least = MIN_COVERAGE * float((self.norms ** 2).min())
-        spans = [(s, t) for s, t in windows(words, self.number) if self.energy[t].sum() >= least]
+        starts, firsts, terms = spans(words, self.number)
         best: dict[int | None, dict] = {}
-        for start, terms in spans:
-            dots = self.similar[terms].sum(axis=0)
-            size = float(np.sqrt(self.energy[terms].sum()))
-            for k in np.flatnonzero((dots >= MIN_COVERAGE * self.norms ** 2) & (dots >= MIN_COSINE * size * self.norms)).tolist():
-                part = self.parts[k]
-                around = words[max(0, start - PASSAGE_WORDS // 2):start + PASSAGE_WORDS * 3 // 2]
-                share, around = closest(part.words, around)
-                rare = [w for w in part.words if w in self.number]
-                if common_subsequence(rare, [w for w in around if w in self.number]) < LIKE_SHARE * len(rare):
-                    continue
-                if len(part.words) < SHORT_WORDS:
-                    kind = "copy" if share == 1 and _inside(part.words, around) else None
-                elif share >= COPY_SHARE:
-                    kind = "copy"
-                elif share >= LIKE_SHARE and part.answered(words, start, around):
-                    kind = "paraphrase"
-                else:
-                    kind = None
-                if kind and share > best.get(part.item_id, {"lcs": 0.0})["lcs"]:
-                    best[part.item_id] = {"item_id": part.item_id, "kind": kind, "lcs": share, "cosine": min(1.0, float(dots[k]) / (size * float(self.norms[k])))}
+        for passage, k, cosine in self.candidates(firsts, terms) if len(starts) else ():
+            part, start = self.parts[k], int(starts[passage])
+            around = words[max(0, start - PASSAGE_WORDS // 2):start + PASSAGE_WORDS * 3 // 2]
+            there = set(around)
+            if sum(w in there for w in part.words) < LIKE_SHARE * len(part.words):
+                continue
+            share, around = closest(part.words, around)
+            kind = self._kind(part, share, cosine, words, start, around)
+            if kind and share > best.get(part.item_id, {"lcs": 0.0})["lcs"]:
+                best[part.item_id] = {"item_id": part.item_id, "kind": kind, "lcs": share, "cosine": max(-1.0, min(1.0, cosine))}
         return list(best.values())
 
+    def _kind(self, part: Part, share: float, cosine: float, words: list[bytes], start: int, around: list[bytes]) -> str | None:
+        if len(part.words) < SHORT_WORDS:
+            return "copy" if share == 1 and _inside(part.words, around) else None
+        if share < LIKE_SHARE:
+            return None
+        rare = [w for w in part.words if w in self.number]
+        literal = common_subsequence(rare, [w for w in around if w in self.number]) >= LIKE_SHARE * len(rare)
+        if literal and share >= COPY_SHARE:
+            return "copy"
+        return "paraphrase" if (literal or cosine >= MIN_COSINE) and part.answered(words, start, around) else None
+
 
 def _inside(a: list[bytes], b: list[bytes]) -> bool:
     return any(b[i:i + len(a)] == a for i in range(len(b) - len(a) + 1))
 
 
+def part_terms(parts: list[Part], number: dict[bytes, int]) -> list[np.ndarray]:
+    """The distinct terms of each part; every part has one, since its rarest words are terms."""
+    return [np.array(sorted({number[w] for w in p.words if w in number}), np.int64) for p in parts]
+
+
 def fit_block(docs: DataFrame, parts: list[Part]) -> Index:
     frequency, total = _document_frequency(docs, frozenset(w for p in parts for w in p.words))
     idf = _vocabulary(parts, frequency, total)
     number = {w: i for i, w in enumerate(sorted(idf))}
     weights = np.array([idf[w] for w in sorted(idf)])
-    own = np.zeros((len(parts), len(weights)))
-    for k, part in enumerate(parts):
-        for w in set(part.words):
-            if w in number:
-                own[k, number[w]] = idf[w]
-    basis = latent_basis(settle(passages(docs, number)), weights, own, len(parts) + EXTRA_RANK)
-    similar = (weights[:, None] * basis) @ (own @ basis).T
-    return Index(number, weights ** 2, similar.astype(np.float32), np.linalg.norm(own, axis=1), parts)
+    rank = min(RANK, max(2, len(weights) // TERMS_PER_DIRECTION))
+    return Index.of(parts, number, weights, latent_basis(settle(passages(docs, number)), weights, part_terms(parts, number), rank))
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -50,13 +50,16 @@ def test_gram_product_and_basis(spark):
     for i, x in enumerate(lists):
         a[i, x] = weights[x]
     assert np.allclose(d._times_gram(rows, weights, block), a.T @ (a @ block), rtol=1e-4, atol=1e-2)
-    own = rng.random((5, 40))
+    own = [np.array(sorted(rng.choice(40, 6, replace=False))) for _ in range(5)]
     basis = d.latent_basis(rows, weights, own, 12)
-    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-8)
-    assert np.allclose((own @ basis) @ basis.T, own, atol=1e-6)
-    # The basis holds nearly as much of the rows as the best one of its rank.
-    best = np.linalg.svd(a, compute_uv=False)[:7]
-    assert (np.linalg.norm(a @ basis) ** 2) > 0.95 * (best ** 2).sum()
+    assert np.allclose(basis.T @ basis, np.eye(12), atol=1e-8)
+    # The basis holds nearly as much of the rows and the parts, which weigh as much as all rows, as the best one of its rank.
+    parts = np.zeros((5, 40))
+    for k, x in enumerate(own):
+        parts[k, x] = weights[x]
+    both = np.vstack([a, parts * np.linalg.norm(a) / np.linalg.norm(parts)])
+    best = np.linalg.svd(both, compute_uv=False)[:12]
+    assert (np.linalg.norm(both @ basis) ** 2) > 0.95 * (best ** 2).sum()
 
 
 def test_planted_leaks(spark, docs_of):
@@ -128,3 +131,88 @@ def test_item_in_two_blocks_is_one_leak(spark, docs_of, monkeypatch):
     item = " ".join(random.Random(6).sample(RARE, 200))
     got = d.with_leaks(docs_of([(1, item), (2, "c1 c2 c3")]), bench(spark, [(3, item)])).collect()
     assert {r.doc_id: [x.item_id for x in r.leaks] for r in got} == {1: [3], 2: []}
+
+
+def plain_leaks(text, index, basis, weights):
+    """Every passage against every part, by dense rows."""
+    words, found = d.words_of(text), {}
+    half = d.PASSAGE_WORDS // 2
+    rows = np.zeros((len(index.parts), len(weights)))
+    for k, p in enumerate(index.parts):
+        for w in p.words:
+            if w in index.number:
+                rows[k, index.number[w]] = weights[index.number[w]]
+    for k in range(max(0, (len(words) - 1) // half - 1) + 1 if words else 0):
+        x = np.zeros(len(weights))
+        for w in words[k * half:k * half + d.PASSAGE_WORDS]:
+            if w in index.number:
+                x[index.number[w]] = weights[index.number[w]]
+        for part, row in zip(index.parts, rows):
+            u, v = x @ basis, row @ basis
+            cosine = u @ v / max(1e-9, np.linalg.norm(u) * np.linalg.norm(v))
+            if cosine < d.MIN_COSINE and ((x > 0) * row) @ row < d.MIN_COVERAGE * row @ row:
+                continue
+            share, around = d.closest(part.words, words[max(0, k * half - half):k * half + 3 * half])
+            rare = [w for w in part.words if w in index.number]
+            same = d.common_subsequence(rare, [w for w in around if w in index.number]) >= d.LIKE_SHARE * len(rare)
+            if len(part.words) < d.SHORT_WORDS:
+                kind = "copy" if b" ".join(part.words) in b" ".join(around) and share == 1 else None
+            elif same and share >= d.COPY_SHARE:
+                kind = "copy"
+            elif share >= d.LIKE_SHARE and (same or cosine >= d.MIN_COSINE) and part.answered(words, k * half, around):
+                kind = "paraphrase"
+            else:
+                kind = None
+            if kind and share > found.get(part.item_id, (None, 0))[1]:
+                found[part.item_id] = (kind, share)
+    return found
+
+
+def subject_table():
+    """Documents on twelve subjects whose words stand for each other, items on them, and items with every rare word another."""
+    rng = random.Random(21)
+    subjects = [[f"{a}{x}{i}" for i in range(16)] for a in "klmnpr" for x in ("ol", "um")]
+    common = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(1500):
+        words = rng.choices(common, k=140)
+        if i % 10 == 0:
+            words[30:60] = rng.choices(subjects[i // 10 % 12], k=30)
+        rows.append((i, " ".join(words)))
+    items, changed = [], []
+    for i in range(60):
+        subject, frame = subjects[i % 12], rng.choices(common, k=40)
+        places = rng.sample(range(32), 10)
+        a, b = list(frame), list(frame)
+        for p in places:
+            a[p], b[p] = rng.sample(subject, 2)
+        items.append((i, " ".join(a)))
+        changed.append((5000 + i, " ".join(rng.choices(common, k=20) + b + rng.choices(common, k=20))))
+    return rows, items, changed
+
+
+def test_other_words_of_the_subject_are_found_by_the_latent_space_alone(spark, docs_of):
+    rows, items, changed = subject_table()
+    table = docs_of(rows + changed)
+    parts = [p for i, t in items for p in d.parts_of(i, d.words_of(t), [])]
+    index = d.fit_block(table, parts)
+    found = {(i, x["item_id"]) for i, t in changed for x in index.leaks(t)}
+    want = {(5000 + i, i) for i in range(60)}
+    assert len(found & want) >= 54 and not found - want
+    assert not any(index.leaks(t) for _, t in rows)
+    weights = np.sqrt(index.energy)
+    literal = d.Index.of(parts, index.number, weights, np.eye(len(weights)))
+    assert len({(i, x["item_id"]) for i, t in changed for x in literal.leaks(t)} & want) <= 30
+    # The query's rows are those of dense rows, passage by passage.
+    basis = index.projected / weights[:, None]
+    got = {r.doc_id: {x.item_id: (x.kind, x.lcs) for x in r.leaks} for r in d.with_leaks(table, bench(spark, items)).collect()}
+    for i, t in changed + rows[:200]:
+        assert got[i] == plain_leaks(t, index, basis, weights), i
+
+
+def test_items_one_after_the_other_are_all_found(spark, docs_of):
+    rng = random.Random(9)
+    items = [(i, " ".join(some(rng.randint(4, 29), 0.6))) for i in range(60)]
+    rows = [(1, " ".join(t for _, t in items))] + [(10 + i, " ".join(some(100, 0.02))) for i in range(300)]
+    got = d.with_leaks(docs_of(rows), bench(spark, items)).where("doc_id = 1").first()
+    assert {x.item_id for x in got.leaks} == set(range(60))
