@@ -17,7 +17,7 @@ against each other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyforge.llm.common import query, table
 from tallyforge.session import settle
@@ -46,19 +46,26 @@ def removed_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     place = F.struct("doc_id", F.col("at")[0].alias("i"))
     firsts = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     later = windows.join(firsts, ["a", "b"]).where(F.struct("doc_id", F.col("at")[0].alias("i")) != F.col("first"))
-    return later.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
+    return later.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("gone"))
+
+
+def _flags(gone: str) -> Column:
+    """True at the places in the sorted column `gone`, false before and between them, so that a line is looked up in constant time."""
+    before = lambda k: F.coalesce(F.get(gone, k - 1), F.lit(-1))
+    return F.flatten(F.transform(gone, lambda g, k: F.concat(F.array_repeat(F.lit(False), g - before(k) - 1), F.array(F.lit(True)))))
 
 
 def line_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """`docs` with later repeats cut out of `text`, and the columns `n_lines`, `n_removed` (replaced if there)."""
     docs = docs.drop("n_lines", "n_removed")
-    gone = removed_lines(docs.select("doc_id", "text"), width).withColumnsRenamed({"doc_id": "_id", "gone": "_gone"})
+    gone = removed_lines(docs.select("doc_id", "text"), width).select(
+        F.col("doc_id").alias("_id"), F.size("gone").alias("_size"), _flags("gone").alias("_gone"))
     joined = docs.join(gone, docs.doc_id == gone._id, "left")
     lines = F.split(F.col("text"), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
+        F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.get("_gone", i), F.lit(False))), "\n"))
     return (joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
-                                "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "text": text})
+                                "n_removed": F.coalesce("_size", F.lit(0)).cast("long"), "text": text})
             .select(*(f"`{c}`" for c in docs.columns), "n_lines", "n_removed"))
 
 

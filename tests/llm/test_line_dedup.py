@@ -1,4 +1,5 @@
 import random
+import time
 
 from tallyforge.llm.line_dedup import line_dedup
 
@@ -47,3 +48,18 @@ def test_other_columns_and_empty_tables(docs_of):
     got = line_dedup(df)
     assert set(df.columns) <= set(got.columns) and got.columns.count("n_lines") == 1
     assert line_dedup(docs_of([])).collect() == []
+
+
+def test_time_follows_the_lines_of_a_long_text(spark, docs_of):
+    def seconds(n):
+        text = "\n".join(f"line {i}" for i in range(n))
+        start = time.perf_counter()
+        rows = line_dedup(docs_of([(1, text), (2, text), (3, "\n".join([text, "own", "lines", "here"]))])).collect()
+        took = time.perf_counter() - start
+        assert {r.doc_id: (r.n_lines, r.n_removed) for r in rows} == {1: (n, 0), 2: (n, n), 3: (n + 3, n)}
+        assert {r.doc_id: r.text for r in rows} == {1: text, 2: "", 3: "own\nlines\nhere"}
+        return took
+
+    seconds(1000)
+    short = min(seconds(40_000) for _ in range(2))
+    assert min(seconds(80_000) for _ in range(2)) < 2.2 * short
