@@ -16,6 +16,8 @@ STEP = "1 minute"
 OWN_NAMESPACE = "kubeflow"
 BYTES_PER_KB = 1024
 WORKER_MARK = "agent"
+# Fractions of a byte are summed as whole numbers of this part of it.
+FRACTION = 1 << 32
 
 
 def free_memory_avg(metrics: DataFrame, span: str = SPAN, step: str = STEP) -> DataFrame:
@@ -33,13 +35,22 @@ def own_containers(metrics: DataFrame, namespace: str = OWN_NAMESPACE) -> DataFr
 
 
 def namespace_memory_avg(metrics: DataFrame, namespace: str = OWN_NAMESPACE, span: str = SPAN, step: str = STEP) -> DataFrame:
-    """Sum over containers at each instant, then the mean of those sums over a sliding span."""
-    at_instant = own_containers(metrics, namespace).groupBy("node_id", "ts").agg(F.sum("value").alias("total"))
+    """Sum over containers at each instant, then the mean of those sums over a sliding span.
+
+    Sums are those of whole numbers and of fractions, rounded once at the end: doubles summed in another order
+    differ in the last bit, which tells at half a KiB.
+    """
+    whole = F.floor("value")
+    part = ((F.col("value") - whole) * FRACTION).cast("bigint")
+    sums = [F.sum("whole").alias("whole"), F.sum("part").alias("part")]
+    readings = own_containers(metrics, namespace).select("node_id", "ts", whole.cast("decimal(19,0)").alias("whole"), part.alias("part"))
+    at_instant = readings.groupBy("node_id", "ts").agg(*sums)
+    mean = F.try_divide(F.col("whole").cast("double") + F.col("part") / F.lit(float(FRACTION)), "n")
     return (
         at_instant.groupBy("node_id", F.window("ts", span, step).alias("w"))
-        .agg(F.avg("total").alias("mean"))
+        .agg(*sums, F.count("whole").alias("n"))
         .select("node_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                F.round(F.col("mean") / BYTES_PER_KB, 0).cast("bigint").alias("used_kb"))
+                F.round(mean / BYTES_PER_KB, 0).cast("bigint").alias("used_kb"))
     )
 
 

@@ -81,6 +81,20 @@ def test_node_inventory(spark):
     assert got == {1: 0.75, 2: None}
 
 
+def test_memory_averages_are_those_of_any_row_order(spark):
+    """Five readings whose exact mean is half a KiB: summed as doubles, the largest first, the ones are lost."""
+    total = 5 * 512 * (2 * 2 ** 41 + 1)
+    readings = [float(total - 4), 1.0, 1.0, 1.0, 1.0]
+    schema = "node_id int, ts timestamp, container string, namespace string, value double"
+    for order in (readings, readings[::-1]):
+        apart = spark.createDataFrame([(1, at(k), "c", "kubeflow", v) for k, v in enumerate(order)], schema).coalesce(1)
+        together = spark.createDataFrame([(1, at(9), str(k), "kubeflow", v) for k, v in enumerate(order)], schema).coalesce(1)
+        assert {r["used_kb"] for r in nodes.namespace_memory_avg(apart).collect()} == {2 ** 41 + 1}
+        assert {r["used_kb"] for r in nodes.namespace_memory_avg(together).collect()} == {total // 1024 + 1}
+    half = spark.createDataFrame([(1, at(0), "c", "kubeflow", 1535.75), (1, at(1), "c", "kubeflow", 1536.25), (1, at(2), "c", "kubeflow", None)], schema)
+    assert {r["used_kb"] for r in nodes.namespace_memory_avg(half).collect()} == {2}
+
+
 def test_registry(spark, tmp_path):
     for name, size in (("wine", 3000), ("adult", 10), (".hidden", 10)):
         (tmp_path / name).mkdir()
