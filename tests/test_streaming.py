@@ -127,3 +127,12 @@ def test_assignments_meet_completions(spark, tmp_path):
     assert got == {(1, 1): at(9), (1, 2): at(31), (2, 1): None, (3, 1): None, (9, 1): None}
     assert {r.pipeline_id for r in jobs.overdue_assignments(done).collect()} == {2, 3, 9}
     assert [tuple(r) for r in jobs.release_times(done).collect()] == [(1, 5, at(31))]
+
+
+def test_own_memory_of_a_stream_is_that_of_any_row_order(spark, tmp_path):
+    """Five readings whose exact mean is half a KiB, the largest first; a later row closes their window."""
+    total = 5 * 512 * (2 * 2 ** 41 + 1)
+    readings = [gauge(k / 60, v) for k, v in enumerate([total - 4, 1, 1, 1, 1])] + [gauge(90, 1)]
+    write(spark, f"{tmp_path}/in", 0, readings, GAUGE)
+    got = jobs.run_available(jobs.namespace_memory(stream(spark, f"{tmp_path}/in", GAUGE)), f"{tmp_path}/out")
+    assert {r["used_kb"] for r in got.where(F.col("window_end") < F.lit(T0 + timedelta(hours=1))).collect()} == {2 ** 41 + 1}
