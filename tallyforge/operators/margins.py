@@ -7,7 +7,9 @@ same pass also gives the matrix of second derivatives, so a step is one pass; be
 multiplies the matrix by a vector in a pass of its own. Both give the same step.
 
 The Gaussian kernel is replaced by its Nystrom features: kernels with k-means landmarks over the table, times the
-inverse root of the landmarks' kernel matrix. `kernel_error` says how far these are from the kernel.
+inverse root of the landmarks' kernel matrix. `kernel_error` says how far these are from the kernel. Training with such a
+`lift` keeps the table as it is: each pass makes the kernels of a block in its task, and the root, the same for all rows,
+is applied to the sums.
 
 Labels are 0 and 1, features are arrays of one width without nulls. The driver holds vectors of the number of columns
 and the matrix, or the landmarks; rows stay in tasks.
@@ -27,7 +29,6 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tallyforge.functions.blocks import block_sum, matrix, spread
-from tallyforge.operators.models import kernel_width
 
 MATRIX_COLUMNS = 1024
 # When a step counts, when the region shrinks and grows, and by how much: the usual values of the method.
@@ -44,9 +45,18 @@ class Margin:
     passes: int = 0
     value: float = 0.0
     gradient_norm: float = 0.0
+    lift: Nystrom | Fourier | None = None
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Adds `margin` and `prediction`."""
+        if self.lift is not None:
+            lift, weights = self.lift, self.lift.root @ self.coefficients
+
+            @F.pandas_udf("double")
+            def lifted(features: pd.Series) -> pd.Series:
+                return pd.Series(lift.raw(np.stack(features.to_numpy())) @ weights if len(features) else [], dtype=float)
+
+            return rows.withColumn("margin", lifted("features") + self.intercept).withColumn("prediction", (F.col("margin") > 0).cast("double"))
         dot = F.aggregate(F.zip_with("features", F.array(*map(F.lit, self.coefficients.tolist())), lambda x, w: x * w), F.lit(0.0), lambda a, v: a + v)
         return rows.withColumn("margin", dot + self.intercept).withColumn("prediction", (F.col("margin") > 0).cast("double"))
 
@@ -63,9 +73,16 @@ def losses(z: np.ndarray, width: float | None) -> tuple[np.ndarray, np.ndarray,
 
 
 class Objective:
-    """Value, gradient and second derivatives of the objective at a point; the last column is the constant 1 of b."""
+    """Value, gradient and second derivatives of the objective at a point; the last column is the constant 1 of b.
 
-    def __init__(self, rows: DataFrame, columns: int, c: float, width: float | None, free_intercept: bool, matrix_columns: int):
+    With a `lift` tasks work on its raw columns and at `basis @ w`; `basis` turns their sums into those of the features.
+    """
+
+    def __init__(self, rows: DataFrame, columns: int, c: float, width: float | None, free_intercept: bool, matrix_columns: int, lift: Nystrom | Fourier | None = None):
+        self.raw, self.basis = None, None
+        if lift is not None:
+            raw_columns, columns = lift.root.shape
+            self.raw, self.basis = lift.raw, np.block([[lift.root, np.zeros((raw_columns, 1))], [np.zeros((1, columns)), np.ones((1, 1))]])
         self.rows, self.size, self.c, self.width, self.passes = rows, columns + 1, c, width, 0
         # The ridge of each weight; an intercept that isn't held gets none.
         self.ridge = np.append(np.ones(columns), 0.0 if free_intercept else 1.0)
@@ -73,19 +90,24 @@ class Objective:
 
     def _sum(self, block: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
         self.passes += 1
+        raw = self.raw
 
         def run(batch: pa.RecordBatch) -> np.ndarray:
             x = matrix(batch.column("features"))
+            if raw is not None:
+                x = raw(x)
             return block(np.hstack([x, np.ones((len(x), 1))]), np.where(np.asarray(batch.column("label")) > 0, 1.0, -1.0))
 
         return block_sum(self.rows, run, size)
 
     def at(self, w: np.ndarray) -> tuple[float, np.ndarray, Callable[[np.ndarray], np.ndarray]]:
         """(value, gradient, product of the second derivatives with a vector)."""
-        n, width, dense, c, ridge = self.size, self.width, self.dense, self.c, self.ridge
+        width, dense, c, ridge = self.width, self.dense, self.c, self.ridge
+        out, back = (lambda v: v, lambda v: v) if self.basis is None else (lambda v: self.basis @ v, lambda v: self.basis.T @ v)
+        n, u = self.size if self.basis is None else len(self.basis), out(w)
 
         def block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            loss, first, second = losses(y * (x @ w), width)
+            loss, first, second = losses(y * (x @ u), width)
             parts = [[loss.sum()], x.T @ (first * y)]
             if dense:
                 bent = second > 0
@@ -93,15 +115,17 @@ class Objective:
             return np.concatenate(parts)
 
         def product(v: np.ndarray) -> np.ndarray:
+            way = out(v)
+
             def bend(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-                return x.T @ (losses(y * (x @ w), width)[2] * (x @ v))
+                return x.T @ (losses(y * (x @ u), width)[2] * (x @ way))
 
-            return ridge * v + c * self._sum(bend, n)
+            return ridge * v + c * back(self._sum(bend, n))
 
         total = self._sum(block, 1 + n + (n * n if dense else 0))
-        value, gradient = (ridge * w * w).sum() / 2 + c * total[0], ridge * w + c * total[1:n + 1]
+        value, gradient = (ridge * w * w).sum() / 2 + c * total[0], ridge * w + c * back(total[1:n + 1])
         if dense:
-            bends = np.diag(ridge) + c * total[n + 1:].reshape(n, n)
+            bends = np.diag(ridge) + c * back(back(total[n + 1:].reshape(n, n)).T)
             return value, gradient, lambda v: bends @ v
         return value, gradient, product
 
@@ -130,13 +154,13 @@ def _newton_step(gradient: np.ndarray, product: Callable[[np.ndarray], np.ndarra
 
 
 def train_margin(train: DataFrame, c: float = 1.0, width: float | None = None, free_intercept: bool = False,
-                 tolerance: float = 1e-7, max_iter: int = 1000, matrix_columns: int = MATRIX_COLUMNS) -> Margin:
-    """The machine of (features, label). Ends where the gradient's norm is at most `tolerance`, or where no step falls any more."""
+                 tolerance: float = 1e-7, max_iter: int = 1000, matrix_columns: int = MATRIX_COLUMNS, lift: Nystrom | Fourier | None = None) -> Margin:
+    """The machine of (features, label), or of what `lift` makes of the features. Ends where the gradient's norm is at most `tolerance`, or where no step falls any more."""
     rows = train.select("features", F.col("label").cast("double").alias("label"))
     first = rows.first()
     if first is None:
         raise ValueError("no rows to train on")
-    goal = Objective(rows, len(first["features"]), c, width, free_intercept, matrix_columns)
+    goal = Objective(rows, len(first["features"]), c, width, free_intercept, matrix_columns, lift)
     w = np.zeros(goal.size)
     value, gradient, product = goal.at(w)
     reach = max(1.0, np.linalg.norm(gradient))
@@ -156,7 +180,7 @@ def train_margin(train: DataFrame, c: float = 1.0, width: float | None = None, f
             break
         else:
             reach = SHRINK * min(size, reach)
-    return Margin(w[:-1], float(w[-1]), goal.passes, float(value), float(np.linalg.norm(gradient)))
+    return Margin(w[:-1], float(w[-1]), goal.passes, float(value), float(np.linalg.norm(gradient)), lift)
 
 
 def linear_svm(df: DataFrame, c: float = 1.0, max_iter: int = 1000) -> tuple[Margin, DataFrame]:
@@ -175,6 +199,17 @@ def _fit(df: DataFrame, trainer: Callable[[DataFrame], Margin]) -> tuple[Margin,
 
 # --- the Gaussian kernel --------------------------------------------------------------
 
+def kernel_width(df: DataFrame) -> tuple[int, float]:
+    """(d, gamma) with gamma = 1 / (d * variance of all feature values)."""
+    sums = F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("s")
+    squares = F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x).alias("q")
+    row = df.select(F.size("features").alias("d"), sums, squares).agg(
+        F.max("d").alias("d"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.count(F.lit(1)).alias("n")).first()
+    cells = row["n"] * row["d"]
+    variance = row["q"] / cells - (row["s"] / cells) ** 2
+    return row["d"], 1.0 / (row["d"] * variance) if variance > 0 else 1.0
+
+
 def gaussian(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
     square = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T
     return np.exp(-gamma * np.maximum(square, 0.0))
@@ -199,8 +234,11 @@ class Nystrom:
         kept = values > 1e-10 * values.max()
         self.root = vectors[:, kept] / np.sqrt(values[kept])
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return gaussian(x, self.centres, self.gamma)
+
     def features(self, x: np.ndarray) -> np.ndarray:
-        return gaussian(x, self.centres, self.gamma) @ self.root
+        return self.raw(x) @ self.root
 
     def map(self, df: DataFrame) -> DataFrame:
         """`df` with `features` replaced, one matrix product per Arrow batch."""
@@ -212,6 +250,19 @@ class Nystrom:
         return df.withColumn("features", project("features"))
 
 
+class Fourier:
+    """Random Fourier features of the Gaussian kernel (Rahimi and Recht, 2007)."""
+
+    def __init__(self, d: int, gamma: float, size: int = 256, seed: int = 42):
+        draw = np.random.default_rng(seed)
+        self.weights = draw.normal(0.0, np.sqrt(2.0 * gamma), (size, d)).T
+        self.phases = draw.uniform(0.0, 2.0 * np.pi, size)
+        self.root = np.eye(size)
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(2.0 / len(self.phases)) * np.cos(x @ self.weights + self.phases)
+
+
 def kernel_error(df: DataFrame, key: str, features: Nystrom, pairs: int = 1000) -> float:
     """Mean distance between kernel and features over `pairs` pairs of rows, chosen by the hash of their keys."""
     rows = df.select("features").orderBy(F.xxhash64(key), key).limit(2 * pairs).collect()
@@ -226,5 +277,11 @@ def gaussian_svm(df: DataFrame, c: float = 1.0, count: int = 256, width: float =
     train = df.where("split = 'train'")
     _, gamma = kernel_width(train)
     features = Nystrom(landmarks(train, count, seed), gamma)
-    machine, scored = _fit(features.map(spread(df)), lambda t: train_margin(t, c, width, free_intercept=True, tolerance=1e-5))
+    machine, scored = _fit(df, lambda t: train_margin(t, c, width, free_intercept=True, tolerance=1e-5, lift=features))
     return features, machine, scored
+
+
+def fourier_svm(df: DataFrame, c: float = 1.0, size: int = 256, max_iter: int = 1000, width: float = 0.05, seed: int = 42) -> tuple[Margin, DataFrame]:
+    """The same machine on random Fourier features: (machine, scored test part)."""
+    features = Fourier(*kernel_width(df.where("split = 'train'")), size, seed)
+    return _fit(df, lambda t: train_margin(t, c, width, free_intercept=True, tolerance=1e-5, max_iter=max_iter, lift=features))

@@ -105,3 +105,17 @@ def test_scores_and_errors(spark, noisy):
     assert row.margin == pytest.approx(float(np.dot(row.features, machine.coefficients) + machine.intercept))
     with pytest.raises(ValueError):
         margins.train_margin(scored.where("false"))
+
+
+@pytest.mark.parametrize("kind", ["landmarks", "fourier"])
+@pytest.mark.parametrize("matrix_columns", [1024, 0])
+def test_kernels_made_inside_tasks_train_the_machine_of_their_features(spark, noisy, kind, matrix_columns):
+    x, y = noisy
+    lift = margins.Nystrom(x[:25], 0.3) if kind == "landmarks" else margins.Fourier(4, 0.3, 30)
+    mapped = lift.raw(x) @ lift.root
+    how = {"c": 0.5, "width": 0.3, "free_intercept": True, "matrix_columns": matrix_columns}
+    plain, inside = margins.train_margin(frame(spark, mapped, y), **how), margins.train_margin(frame(spark, x, y), **how, lift=lift)
+    assert inside.value == pytest.approx(plain.value, rel=1e-9)
+    assert np.abs(inside.coefficients - plain.coefficients).max() < 1e-4 * np.abs(plain.coefficients).max()
+    scored = {r["id"]: r["margin"] for r in inside.score(frame(spark, x, y)).collect()}
+    assert np.allclose([scored[i] for i in range(len(x))], mapped @ inside.coefficients + inside.intercept)
