@@ -172,19 +172,34 @@ def least_loaded_top1(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
 def affinity_top1(tasks: DataFrame, candidates: DataFrame, assignments: DataFrame) -> DataFrame:
     """As `least_loaded_top1`, but a feasible candidate the pipeline already uses comes first.
 
-    A pipeline's own nodes are few: they are joined with its tasks by key, and the best
-    feasible one is one minimum per task.
+    A pipeline's own nodes are few: their numbers are gathered by pipeline, and what each offers is looked up behind that
+    shuffle, so that offers never move with the assignments. An offer there is its rule, its free memory and its rank among
+    all payloads; the best feasible one is the least rank.
     """
     needs = _ruled(required_memory(tasks))
-    offers = free_memory(candidates)
-    used = assignments.select("pipeline_id", "node_id").distinct()
-    own = used.join(offers.withColumn("_pay", _least_loaded()).select("node_id", F.col("phase").alias("_phase"), F.col("model").alias("_model"), "free_kb", "_pay"), "node_id") \
-        .groupBy(F.col("pipeline_id").alias("_pipeline"), "_phase", "_model").agg(F.collect_set(F.struct("free_kb", "_pay")).alias("_own"))
-    same = (F.col("pipeline_id") == F.col("_pipeline")) & (F.col("phase") == F.col("_phase")) & (F.col("_rule") == F.col("_model"))
-    near = F.array_min(F.transform(F.filter("_own", lambda o: o["free_kb"] > F.col("need_kb")), lambda o: o["_pay"]))
-    with_own = needs.join(own, same, "left").select(*needs.columns, near.alias("_near"))
+    offers = settle(free_memory(candidates))
+    pays = settle(exact_rank(offers.select("load", "sort1", "sort2", "node").distinct(), [], ["load", "sort1", "sort2", "node"], "_place"))
+    listed = _paid(offers, pays).groupBy(F.col("node_id").alias("_node")).agg(
+        F.collect_set(F.struct("phase", "model", "free_kb", "_place")).alias("_offers"))
+    used = assignments.groupBy(F.col("pipeline_id").alias("_pipeline")).agg(F.collect_set("node_id").alias("_nodes"))
+    own = used.select("_pipeline", F.explode("_nodes").alias("_node")).join(bounded_broadcast(listed), "_node") \
+        .groupBy("_pipeline").agg(F.flatten(F.collect_list("_offers")).alias("_own"))
+    fits = F.filter("_own", lambda o: (o["phase"] == F.col("phase")) & (o["model"] == F.col("_rule")) & (o["free_kb"] > F.col("need_kb")))
+    near = F.array_min(F.transform(fits, lambda o: o["_place"]))
+    # The tasks move as they came; what follows from a row is computed again behind the shuffle.
+    with_own = _ruled(required_memory(tasks.join(own, F.col("pipeline_id") == F.col("_pipeline"), "left"))).select(*needs.columns, near.alias("_near"))
     best = best_above(offers, with_own, {"phase": "phase", "model": "_rule"}, _least_loaded(), "_any")
-    return best.select(*tasks.columns, F.coalesce("_near.node", "_any.node").alias("node"), F.col("_near").isNotNull().alias("affine"))
+    named = best.join(bounded_broadcast(pays.select(F.col("_place").alias("_near"), F.col("node").alias("_own_node"))), "_near", "left")
+    return named.select(*tasks.columns, F.coalesce("_own_node", "_any.node").alias("node"), F.col("_near").isNotNull().alias("affine"))
+
+
+def _paid(offers: DataFrame, pays: DataFrame) -> DataFrame:
+    """`offers` with the rank `_place` of their payload."""
+    named = pays.select("_place", *(F.col(c).alias(f"_p_{c}") for c in ("load", "sort1", "sort2", "node")))
+    same = F.lit(True)
+    for c in ("load", "sort1", "sort2", "node"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
+    return offers.join(named, same)
 
 
 def fallback_node(chosen: DataFrame, nodes: DataFrame, assignments: DataFrame) -> DataFrame:

@@ -98,3 +98,23 @@ def test_steps_equal_the_merge(spark, monkeypatch):
     monkeypatch.setattr(ops, "STEP_OFFERS", 0)
     assert steps == (pick(ops.least_loaded_top1(tasks, candidates)), pick(ops.greedy_top1(tasks, pool)))
     assert None in steps[0].values() and len(set(steps[0].values())) > 5
+
+
+def test_offers_do_not_move_with_assignments(spark):
+    """An offer is looked up behind the one shuffle by pipeline; repeated tasks stay."""
+    rules = ops.heuristics_table(spark)
+    pool = nodes(spark, *[node(i, load=i % 3, worker="med" if i % 2 else "low") for i in range(1, 41)])
+    tasks = spark.createDataFrame([(f"p{i % 20}", "e", "evaluation", "svm", 1) for i in range(40)], TASK)
+    used = spark.createDataFrame([(f"p{i % 20}", str(i), 1 + i % 40) for i in range(200)], "pipeline_id string, component string, node_id bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chosen = ops.affinity_top1(tasks, ops.heuristic_candidates(pool, rules), used)
+        plan = chosen._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(node_id" not in plan and plan.count("hashpartitioning(pipeline_id") + plan.count("hashpartitioning(_pipeline") == 2
+        rows = chosen.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(rows) == 40 and all(r["affine"] for r in rows)
+    own = {f"p{p}": min((i % 3, 2, f"n{i}") for i in (1 + k % 40 for k in range(200) if k % 20 == p))[2] for p in range(20)}
+    assert pick(chosen) == {(p, "e"): n for p, n in own.items()}
