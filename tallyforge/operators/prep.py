@@ -1,7 +1,7 @@
 """Feature preparation, column by column and row by row.
 
 Missing values are NULL throughout. Statistics are fitted in one pass over all columns
-and enter the row expressions as scalar subqueries, so no join is planned for them.
+and enter the row expressions as constants, so no join is planned for them.
 """
 
 from __future__ import annotations
@@ -59,14 +59,15 @@ def drop_missing(df: DataFrame) -> DataFrame:
 
 # --- quantiles and clipping -----------------------------------------------------------
 
-def fit_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], margin: float = 1e-4,
+def fit_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], margin: float = 1e-3,
                   piece_rows: int = 1_000_000) -> dict[str, list]:
     """Exact quantiles with linear interpolation, as {column: [value per prob]}.
 
     A sketch brackets each wanted rank. One aggregation counts what lies below and inside all
     brackets; a bracket that misses its rank is widened, one that holds more than `piece_rows` rows
     is narrowed by a sketch of its inside, until every bracket is right and small or holds a single
-    value. Only rows inside a bracket are then counted by value and ranked.
+    value. Only rows inside a bracket are then counted by value and ranked. A finer `margin` makes larger sketches,
+    which one task merges, one per part of the table.
     """
     values = df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     accuracy = int(10 / margin)
@@ -316,24 +317,14 @@ def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.
 
 # --- scaling --------------------------------------------------------------------------
 
-def scaler_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mean and population spread per column: rows (column, mean, std); spread 0 counts as 1."""
-    fitted = df.agg(*[f(quoted(c).cast("double")).alias(f"{p}{i}") for i, c in enumerate(columns)
-                      for p, f in (("m", F.avg), ("s", F.stddev_pop))])
-    rows = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mean"),
-                     F.when(F.col(f"s{i}") == 0, 1.0).otherwise(F.col(f"s{i}")).alias("std"))
-            for i, c in enumerate(columns)]
-    return fitted.select(F.inline(F.array(*rows)))
-
-
 def standard_scale(df: DataFrame, columns: Sequence[str], fit_on: Column | None = None) -> DataFrame:
     """(x - mean) / spread, fitted on the rows of `fit_on` (the train part), applied to all."""
     source = df if fit_on is None else df.filter(fit_on)
-    stats = scaler_stats(source, columns)
-    packed = stats.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("mean", "std")))).alias("m"))
-    staged = df.withColumn("_stats", packed.scalar())
-    scaled = {c: (quoted(c) - F.col("_stats")[c]["mean"]) / F.col("_stats")[c]["std"] for c in columns}
-    return staged.select(*[scaled[c].alias(c) if c in scaled else quoted(c) for c in df.columns])
+    row = source.agg(*[f(quoted(c).cast("double")).alias(f"{p}{i}") for i, c in enumerate(columns)
+                       for p, f in (("m", F.avg), ("s", F.stddev_pop))]).first() if columns else None
+    # Constants keep the projection short: searching a map for every value, or a subquery per value, made it too long to be compiled.
+    scaled = {c: (quoted(c) - F.lit(row[f"m{i}"]).cast("double")) / F.lit(1.0 if row[f"s{i}"] == 0 else row[f"s{i}"]).cast("double") for i, c in enumerate(columns)}
+    return df.select(*[scaled[c].alias(c) if c in scaled else quoted(c) for c in df.columns])
 
 
 # --- arrays ---------------------------------------------------------------------------

@@ -71,7 +71,8 @@ def split_and_scale(df: DataFrame, label: str, scaled: list[str] | None = None,
     else:
         parts = prep.random_split(keyed, "row_key", TEST_SHARE, SEED)
     columns = scaled if scaled is not None else [c for c in df.columns if c not in (label, key)]
-    return prep.standard_scale(parts, columns, F.col("split") == "train")
+    # Read by the fit and by the result: codes and splits are found once.
+    return prep.standard_scale(settle(parts), columns, F.col("split") == "train")
 
 
 def clean_census(df: DataFrame, sketch: bool = False) -> DataFrame:

@@ -136,3 +136,17 @@ def test_other_recipes(spark):
     done = recipes.connections(spark.createDataFrame(log, schemas.CONNECTION_LOG))
     assert {r["label"] for r in done.select("label").distinct().collect()} == {0, 1}
     assert len(schemas.CONNECTION_LOG_NAMES) == 42
+
+
+def test_scaling_is_a_short_projection_of_constants(spark):
+    """Long projections are not compiled: no subquery and no map look-up per value."""
+    df = spark.createDataFrame([(float(i), i * 2, 7, i % 5 > 0) for i in range(10)], "a double, b int, flat int, part boolean")
+    scaled = prep.standard_scale(df, ["a", "b", "flat"], F.col("part"))
+    plan = scaled._jdf.queryExecution().optimizedPlan().toString()
+    assert "subquery" not in plan.lower() and "_stats" not in plan
+    train = [i for i in range(10) if i % 5]
+    mean, std = np.mean(train), np.std(train)
+    for i, r in enumerate(scaled.orderBy("a").collect()):
+        assert abs(r["a"] - (i - mean) / std) < 1e-12 and abs(r["b"] - r["a"]) < 1e-12 and r["flat"] == 0.0
+    assert prep.standard_scale(df, []).columns == df.columns
+    assert {r["a"] for r in prep.standard_scale(df, ["a"], F.col("a") < 0).collect()} == {None}
