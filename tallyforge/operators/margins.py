@@ -17,7 +17,7 @@ and the matrix, or the landmarks; rows stay in tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +31,8 @@ from pyspark.storagelevel import StorageLevel
 from tallyforge.functions.blocks import block_sum, matrix, spread
 
 MATRIX_COLUMNS = 1024
+# Bytes of a block of rows as the passes read them.
+PACK_BYTES = 1 << 20
 # When a step counts, when the region shrinks and grows, and by how much: the usual values of the method.
 ACCEPT, POOR, GOOD = 1e-4, 0.25, 0.75
 SHRINK, GROW = 0.5, 4.0
@@ -72,8 +74,25 @@ def losses(z: np.ndarray, width: float | None) -> tuple[np.ndarray, np.ndarray,
             np.where(straight, -1.0, np.where(bent, -(gap + width) / (2 * width), 0.0)), np.where(bent, 1 / (2 * width), 0.0))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """(features, label) as blocks of numbers, x and y: a pass reads bytes, not a list per row."""
+    most = PACK_BYTES
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            step = max(1, most // (8 * max(1, len(batch.column("features")[0])))) if batch.num_rows else 1
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                x, y = matrix(part.column("features")), np.asarray(part.column("label"), float)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["x", "y"])
+
+    # A batch of blocks is bounded in bytes, since their number says little.
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return rows.select("features", "label").mapInArrow(run, "x binary, y binary")
+
+
 class Objective:
-    """Value, gradient and second derivatives of the objective at a point; the last column is the constant 1 of b.
+    """Value, gradient and second derivatives of the objective at a point, over `packed` rows; the last column is the constant 1 of b.
 
     With a `lift` tasks work on its raw columns and at `basis @ w`; `basis` turns their sums into those of the features.
     """
@@ -93,10 +112,14 @@ class Objective:
         raw = self.raw
 
         def run(batch: pa.RecordBatch) -> np.ndarray:
-            x = matrix(batch.column("features"))
-            if raw is not None:
-                x = raw(x)
-            return block(np.hstack([x, np.ones((len(x), 1))]), np.where(np.asarray(batch.column("label")) > 0, 1.0, -1.0))
+            total = np.zeros(size)
+            for held, labels in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                y = np.frombuffer(labels)
+                x = np.frombuffer(held).reshape(len(y), -1)
+                if raw is not None:
+                    x = raw(x)
+                total += block(np.hstack([x, np.ones((len(x), 1))]), np.where(y > 0, 1.0, -1.0))
+            return total
 
         return block_sum(self.rows, run, size)
 
@@ -157,10 +180,21 @@ def train_margin(train: DataFrame, c: float = 1.0, width: float | None = None, f
                  tolerance: float = 1e-7, max_iter: int = 1000, matrix_columns: int = MATRIX_COLUMNS, lift: Nystrom | Fourier | None = None) -> Margin:
     """The machine of (features, label), or of what `lift` makes of the features. Ends where the gradient's norm is at most `tolerance`, or where no step falls any more."""
     rows = train.select("features", F.col("label").cast("double").alias("label"))
-    first = rows.first()
-    if first is None:
-        raise ValueError("no rows to train on")
-    goal = Objective(rows, len(first["features"]), c, width, free_intercept, matrix_columns, lift)
+    blocks = packed(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        first = blocks.first()
+        if first is None:
+            raise ValueError("no rows to train on")
+        columns = len(first["x"]) // len(first["y"])
+        goal = Objective(blocks, columns, c, width, free_intercept, matrix_columns, lift)
+        w, value, gradient = _descend(goal, tolerance, max_iter)
+    finally:
+        blocks.unpersist()
+    return Margin(w[:-1], float(w[-1]), goal.passes, float(value), float(np.linalg.norm(gradient)), lift)
+
+
+def _descend(goal: Objective, tolerance: float, max_iter: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """(point, value, gradient) where the steps end."""
     w = np.zeros(goal.size)
     value, gradient, product = goal.at(w)
     reach = max(1.0, np.linalg.norm(gradient))
@@ -180,7 +214,7 @@ def train_margin(train: DataFrame, c: float = 1.0, width: float | None = None, f
             break
         else:
             reach = SHRINK * min(size, reach)
-    return Margin(w[:-1], float(w[-1]), goal.passes, float(value), float(np.linalg.norm(gradient)), lift)
+    return w, value, gradient
 
 
 def linear_svm(df: DataFrame, c: float = 1.0, max_iter: int = 1000) -> tuple[Margin, DataFrame]:
@@ -189,11 +223,7 @@ def linear_svm(df: DataFrame, c: float = 1.0, max_iter: int = 1000) -> tuple[Mar
 
 
 def _fit(df: DataFrame, trainer: Callable[[DataFrame], Margin]) -> tuple[Margin, DataFrame]:
-    train = spread(df.where("split = 'train'").select("features", "label")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        machine = trainer(train)
-    finally:
-        train.unpersist()
+    machine = trainer(spread(df.where("split = 'train'").select("features", "label")))
     return machine, machine.score(df.where("split = 'test'"))
 
 

@@ -119,3 +119,16 @@ def test_kernels_made_inside_tasks_train_the_machine_of_their_features(spark, no
     assert np.abs(inside.coefficients - plain.coefficients).max() < 1e-4 * np.abs(plain.coefficients).max()
     scored = {r["id"]: r["margin"] for r in inside.score(frame(spark, x, y)).collect()}
     assert np.allclose([scored[i] for i in range(len(x))], mapped @ inside.coefficients + inside.intercept)
+
+
+def test_passes_read_blocks(spark, monkeypatch):
+    """A pass reads blocks of bounded bytes, and no list per row."""
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(rng.normal(size=4).tolist(), float(i % 3 == 0)) for i in range(900)], "features array<double>, label double").repartition(3)
+    whole = margins.train_margin(rows)
+    read, plain = [], margins.block_sum
+    monkeypatch.setattr(margins, "PACK_BYTES", 32 * 50)
+    monkeypatch.setattr(margins, "block_sum", lambda df, run, size: read.append([(len(r["x"]), len(r["y"])) for r in df.collect()]) or plain(df, run, size))
+    cut = margins.train_margin(rows)
+    assert np.allclose(cut.coefficients, whole.coefficients, atol=1e-9) and cut.gradient_norm <= 1e-7
+    assert all(x == 4 * y and x <= 32 * 50 for blocks in read for x, y in blocks) and sum(y for _, y in read[0]) == 8 * 900
