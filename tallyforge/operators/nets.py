@@ -2,7 +2,8 @@
 
 The rows are written once, dealt to mini-batches by a hash of their key and to as many files per batch as its
 rows ask for. A step reads one batch; each task forms the gradient of its Arrow blocks with numpy, partial sums
-are added in groups, and the driver, which holds nothing but the model, moves the weights. An epoch takes the
+are added in groups, and the driver, which holds nothing but the model, moves the weights. Files are sorted by features:
+equal rows next to each other pass the layers before the first dropout once, forward and back. An epoch takes the
 batches in an order drawn from the seed. A row's dropout mask is a hash of its key, the epoch, the layer and the
 unit, so a task that is run again, or on other partitions, drops the same units.
 
@@ -12,6 +13,7 @@ Batches grow with the table where `batches` is fixed; the number of steps, each
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -24,6 +26,8 @@ from tallyforge.functions.blocks import block_sum, matrix
 from tallyforge.session import scratch_path
 
 ROWS_A_FILE, LEAST_ROWS_A_FILE = 200_000, 2_000
+# Rows whose hidden layers fit into a core's cache.
+ROWS_A_STEP = 1024
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-7
 
 
@@ -63,19 +67,28 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def hashed_units(rows: np.ndarray, salt: int, width: int) -> np.ndarray:
-    """Numbers in [0, 1) for every row hash and unit, by the 64-bit mix of the SplitMix generator."""
+def _mixed(rows: np.ndarray, salt: int, width: int) -> np.ndarray:
+    """53 random bits for every row hash and unit, by the 64-bit mix of the SplitMix generator."""
     unit = np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     z = (rows.astype(np.uint64) ^ np.uint64(salt * 0xD1342543DE82EF95 & (2 ** 64 - 1)))[:, None] + unit[None, :]
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0 ** -53
+    z ^= z >> np.uint64(30)
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    z >>= np.uint64(11)
+    return z
+
+
+def hashed_units(rows: np.ndarray, salt: int, width: int) -> np.ndarray:
+    """Numbers in [0, 1) for every row hash and unit."""
+    return _mixed(rows, salt, width) * 2.0 ** -53
 
 
 def dropout_masks(net: DenseNet, rows: np.ndarray, epoch: int) -> list[np.ndarray | None]:
     """Per hidden layer 0 for dropped units and 1 / (1 - rate) for the others; None where nothing is dropped."""
     salt = (net.seed * 1_000_003 + epoch) * 64
-    return [(hashed_units(rows, salt + i + 1, w) >= rate) / (1 - rate) if rate else None
+    return [(_mixed(rows, salt + i + 1, w) >= np.uint64(math.ceil(rate * 2.0 ** 53))) / (1 - rate) if rate else None
             for i, (w, rate) in enumerate(zip(net.widths[1:-1], net.dropout))]
 
 
@@ -93,18 +106,43 @@ def forward(weights: list[np.ndarray], x: np.ndarray, masks: list[np.ndarray | N
 
 def loss_and_gradient(net: DenseNet, x: np.ndarray, y: np.ndarray, rows: np.ndarray, epoch: int) -> np.ndarray:
     """[number of rows, summed cross-entropy, summed gradient of all weights]."""
-    masks = dropout_masks(net, rows, epoch)
-    passed = forward(net.weights, x, masks)
+    total = np.zeros(2 + sum(w.size for w in net.weights))
+    for start in range(0, len(y), ROWS_A_STEP):
+        part = slice(start, start + ROWS_A_STEP)
+        total += _step(net, x[part], y[part], rows[part], epoch)
+    return total
+
+
+def _step(net: DenseNet, x: np.ndarray, y: np.ndarray, rows: np.ndarray, epoch: int) -> np.ndarray:
+    masks, weights = dropout_masks(net, rows, epoch), net.weights
+    # Runs of equal rows are one row up to the first layer with dropout, or up to the output without any.
+    first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]).any(axis=1)))
+    apart = next((k + 1 for k, m in enumerate(masks) if m is not None), len(masks) + 1)
+    passed = [x[first]]
+    for i in range(0, len(weights), 2):
+        z = passed[-1] @ weights[i]
+        z += weights[i + 1]
+        if i + 2 < len(weights):
+            np.maximum(z, 0.0, out=z)
+        if len(passed) == apart:
+            z = np.repeat(z, np.diff(np.append(first, len(x))), axis=0)
+        if i + 2 < len(weights) and masks[i // 2] is not None:
+            z *= masks[i // 2]
+        passed.append(z)
     p = softmax(passed[-1])
     at = np.arange(len(y))
     loss = -np.log(np.maximum(p[at, y], 1e-300)).sum()
     back, parts = p, []
     back[at, y] -= 1.0
-    for i in range(len(net.weights) - 2, -1, -2):
-        parts = [(passed[i // 2].T @ back).ravel(), back.sum(axis=0), *parts]
-        if i:
-            back = back @ net.weights[i].T
-            back = np.where(passed[i // 2] > 0, back if masks[i // 2 - 1] is None else back * masks[i // 2 - 1], 0.0)
+    for k in range(len(weights) // 2, 0, -1):
+        if k <= len(masks):
+            back = back @ weights[2 * k].T
+            back *= passed[k] > 0
+            if masks[k - 1] is not None:
+                back *= masks[k - 1]
+        if k == apart:
+            back = np.add.reduceat(back, first, axis=0)
+        parts = [(passed[k - 1].T @ back).ravel(), back.sum(axis=0), *parts]
     return np.concatenate([[len(y), loss], *parts])
 
 
@@ -118,7 +156,7 @@ def deal_batches(train: DataFrame, key: str, batches: int, seed: int, rows_a_fil
     dealt = train.select("features", F.col("label").cast("int").alias("label"), hashed.alias("row")).withColumns(
         {"batch": F.pmod(F.col("row"), F.lit(batches)).cast("int"), "slice": F.pmod(F.xxhash64("row"), F.lit(files)).cast("int")})
     path = scratch_path(spark, "batches")
-    dealt.repartition(batches * files, "batch", "slice").write.partitionBy("batch").parquet(path)
+    dealt.repartition(batches * files, "batch", "slice").sortWithinPartitions("batch", "features", "row").write.partitionBy("batch").parquet(path)
     whole = spark.read.schema(dealt.schema).parquet(path)
     return [whole.where(F.col("batch") == b).select("features", "label", "row") for b in range(batches)]
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.operators import metrics, nets
 from tallyforge.operators.nets import Adam, DenseNet
@@ -106,3 +107,17 @@ def test_learns_a_curved_border_and_goes_on_from_a_version(spark, table, tmp_pat
 def test_bad_rates():
     with pytest.raises(ValueError):
         DenseNet((2, 3, 2), (1.0,))
+
+
+@pytest.mark.parametrize("dropout", [(0.0, 0.0), (0.0, 0.3), (0.4, 0.0)])
+def test_equal_rows_lie_together_and_count_as_often(spark, dropout):
+    x = DRAW.normal(size=(9, 3))
+    rows = spark.createDataFrame([(i, x[i % 9].tolist(), i % 2) for i in range(3000)], "id long, features array<double>, label int").repartition(6)
+    batch = nets.deal_batches(rows, "id", 2, seed=42, rows_a_file=1000)[0]
+    pieces = batch.withColumn("file", F.input_file_name()).collect()
+    changes = sum(a.file != b.file or a.features != b.features for a, b in zip(pieces, pieces[1:]))
+    assert len(pieces) > 1300 and changes < 9 * len({r.file for r in pieces})
+    net = DenseNet((3, 16, 8, 2), dropout)
+    y, row = np.array([r.label for r in pieces]), np.array([r.row for r in pieces])
+    alone = sum(nets.loss_and_gradient(net, np.array([r.features]), y[k:k + 1], row[k:k + 1], 1) for k, r in enumerate(pieces))
+    assert np.abs(nets.gradient_of(net, batch, 1) - alone).max() < 1e-9
