@@ -130,7 +130,8 @@ def _array_dumps(spark, folder, **options):
     """Dumps that hold one JSON array per file, of about a thousand runs."""
     dump, path = run_dump(spark, folder), scratch_path(spark, "runs-arrays")
     body = F.to_json(F.struct(*[c for c in dump.columns if c not in ("strategy", "seed")]))
-    parts = dump.count() // 1000 + 1
+    n, groups = dump.agg(F.count(F.lit(1)), F.count_distinct("strategy", "seed")).first()
+    parts = n // (1000 * max(1, groups)) + 1
     arrays = dump.groupBy("strategy", "seed", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("_part")).agg(F.collect_list(body).alias("_runs"))
     arrays.select("strategy", "seed", F.concat(F.lit("["), F.array_join("_runs", ",\n"), F.lit("]")).alias("value")) \
         .write.option("maxRecordsPerFile", 1).partitionBy("strategy", "seed").text(path)

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from tallyforge.plans import q_sources
 from tallyforge.sources import ranges
 
 DRAW, RNG = np.random.default_rng(3), random.Random(3)
@@ -80,3 +81,10 @@ def test_other_files_are_an_error(spark, tmp_path):
     (tmp_path / "x.npy").write_bytes(b"no array")
     with pytest.raises(ValueError):
         ranges.npy_rows(spark, str(tmp_path))
+
+
+def test_dumps_of_arrays_hold_about_a_thousand_runs(spark):
+    """Files follow the runs of a strategy and seed, not those of the whole table once for each of them."""
+    runs = q_sources._array_dumps(spark, "/root/testdata/sf0.01")
+    groups = runs.select("strategy", "seed").distinct().count()
+    assert len(runs.inputFiles()) <= groups + runs.count() / 1000
