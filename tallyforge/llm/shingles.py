@@ -8,13 +8,15 @@ sets x, y from 0.8 share at least `ceil(0.8 max(|x|, |y|))` shingles, so of the
 1. Prefixes are dealt to buckets by hash, packed, and only (shingle, node) rows of shingles in several
    prefixes leave them. A node goes on if it has enough of these. A corpus without near copies ends here
    but for texts made of boilerplate.
-2. Every node is compared with the least and the greatest node of each of its bands (equal minima of hashes of
-   the sets, which alike sets have more often the more alike they are). Links make components: a large group of
-   near copies becomes one or a few, for a bounded number of comparisons per node.
+2. Every node gets SimHash fingerprints of its set. Those within 4 bits meet through the vantage-point trees of
+   `simhash`, and the spanning forests they come back as are compared exactly. Links make components: a large group
+   of near copies becomes one or a few, for a bounded number of comparisons per node. Where they leave components
+   apart, a node is also compared with the least and the greatest node of each of its bands (equal minima of hashes
+   of the sets, which sets far from equal still have).
 3. Nodes of different components that share enough prefix shingles are paired and compared exactly.
    Nodes of one component never are, so a large group of near copies costs its members, not its pairs.
 
-Step 3 leaves no pair out: the components are those of all pairs from 0.8. Sample and bands decide how
+Step 3 leaves no pair out: the components are those of all pairs from 0.8. Sample, fingerprints and bands decide how
 many pairs are looked at, never which are linked. What remains quadratic is a shingle that is rare
 by the sample and in the prefix of many texts that are not alike.
 
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyforge.llm.common import arrow_map, extended
 from tallyforge.llm.components import components
-from tallyforge.llm.simhash import _hashes
+from tallyforge.llm.simhash import _hashes, _majority, _mixed, near_links
 from tallyforge.session import bounded_broadcast, settle
 
 SAMPLE_TEXTS = 4096
@@ -42,6 +44,8 @@ SAMPLE_TEXTS = 4096
 SAMPLE_SHINGLES = 400_000
 BUCKET_TOKENS = 400_000
 CROWD_PAIRS = 1000
+# Fingerprints a set, each linked to those within MAX_BITS of its own kind.
+FINGERPRINTS, MAX_BITS = 4, 4
 # Minima a band and bands a set: of two sets from 0.8, nine in ten pairs have a band in common.
 BAND, BANDS = 8, 16
 # A prefix is longer by a shingle for every so many of the set: longer prefixes tell unlike sets apart without fetching them.
@@ -185,6 +189,34 @@ def _with_components(held: DataFrame, links: DataFrame) -> DataFrame:
     return settle(named.join(mixed, "token"))
 
 
+def _fingerprinted(sets: DataFrame) -> DataFrame:
+    """a, b: spanning forests of the nodes that have a fingerprint within MAX_BITS of each other."""
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            found = np.zeros((batch.num_rows, FINGERPRINTS), np.uint64)
+            for k, shingles in enumerate(batch.column(1)):
+                own = shingles.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                found[k] = [_majority(_mixed(own, t)) for t in range(FINGERPRINTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(FINGERPRINTS, dtype=np.int32), batch.num_rows)),
+                                              batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), FINGERPRINTS))), pa.array(found.reshape(-1).view(np.int64))], names=["t", "node", "fp"])
+
+    tall = settle(sets.select("node", "shingles").transform(arrow_map, run, "t int, node long, fp long"))
+    # Nodes of one fingerprint are one point: it has the least node, the others hang on it.
+    points = settle(tall.groupBy("t", "fp").agg(F.min("node").alias("node")))
+    hung = tall.join(points.withColumnRenamed("node", "b"), ["t", "fp"]).where("node <> b").select(F.col("node").alias("a"), "b")
+    links = near_links(points, MAX_BITS, FINGERPRINTS).unionByName(hung)
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The `pairs` a, b of different components of `links`."""
+    roots = settle(components(links))
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def _banded(sets: DataFrame) -> DataFrame:
     """a, b: every node with the least and the greatest node of each of its bands, BAND equal minima of hashes of the sets."""
     draw = np.random.default_rng(8)
@@ -219,7 +251,8 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
                   .groupBy("node").agg(F.any_value("shingles").alias("shingles")))
     held = settle(shared.join(sets.select("node", F.size("shingles").alias("size")), "node"))
 
-    links = settle(alike(_banded(sets), sets))
+    links = settle(alike(_fingerprinted(sets), sets))
+    links = settle(links.unionByName(alike(_apart(_banded(sets), links), sets)))
     mixed = _with_components(held, links)
     per = mixed.groupBy("token", "c").agg(F.count(F.lit(1)).alias("n"))
     main = per.groupBy("token").agg(F.max_by("c", F.struct("n", "c")).alias("main"))

@@ -84,3 +84,16 @@ def test_unlike_texts_of_one_doc_id_both_stay(spark, docs_of):
     rows = [(1, one), (1, two), (1, two), (2, two + " end"), (3, three), (0, three), (None, three)]
     kept = [(r.doc_id, r.text) for r in cp.near_dedup_stage(spark, docs_of(rows, extra=True), "").collect()]
     assert len(kept) == 4 and set(kept) == {(1, one), (1, two), (0, three), (None, three)}
+
+
+def test_fingerprints_link_near_copies_through_the_trees(spark, docs_of):
+    """Of a large group of near copies fingerprints alone link nearly all, by fewer pairs than members times fingerprints; bands add only pairs still apart."""
+    rng = random.Random(5)
+    hub = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = [" ".join(reworded(hub, 1, rng)) for _ in range(60)] + [" ".join(f"w{rng.randrange(5000)}" for _ in range(90)) for _ in range(20)]
+    sets = shingles.settle(shingles.shingle_sets(docs_of(list(enumerate(texts))).select("doc_id", "text"), 5).select("node", "shingles"))
+    pairs = shingles.settle(shingles._fingerprinted(sets))
+    links = shingles.settle(shingles.alike(pairs, sets))
+    assert links.count() <= pairs.count() < shingles.FINGERPRINTS * 80
+    assert shingles.components(links).groupBy("root").count().agg({"count": "max"}).first()[0] >= 50
+    assert shingles._apart(links, links).count() == 0
