@@ -17,6 +17,7 @@ and the matrix, or the landmarks; rows stay in tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -31,8 +32,13 @@ from pyspark.storagelevel import StorageLevel
 from tallyforge.functions.blocks import block_sum, matrix, spread
 
 MATRIX_COLUMNS = 1024
-# Bytes of a block of rows as the passes read them.
+# Bytes of a block of rows as the passes read them, and of the columns they work on at a time, which stay in a core's cache.
 PACK_BYTES = 1 << 20
+CACHE_BYTES = 1 << 20
+# A descent starts on one row of so many, if these are enough, and on corners rounded over so many times their width; each of
+# these first descents ends where the gradient has fallen to a share.
+EARLY_SHARE, EARLY_ROWS, EARLY_FALL = 16, 20_000, 1e-3
+ROUNDER = [20, 6, 2]
 # When a step counts, when the region shrinks and grows, and by how much: the usual values of the method.
 ACCEPT, POOR, GOOD = 1e-4, 0.25, 0.75
 SHRINK, GROW = 0.5, 4.0
@@ -91,6 +97,21 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.select("features", "label").mapInArrow(run, "x binary, y binary")
 
 
+def _share(blocks: DataFrame, share: int) -> DataFrame:
+    """About one of `share` rows of packed `blocks`, drawn block by block: where a descent begins may hang on the layout, where it ends does not."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for held, labels in zip(batch.column("x"), batch.column("y")):
+                y = np.frombuffer(labels.as_buffer())
+                mine = np.random.default_rng(len(y)).random(len(y)) * share < 1
+                if mine.any():
+                    x = np.frombuffer(held.as_buffer()).reshape(len(y), -1)
+                    yield pa.RecordBatch.from_arrays([pa.array([x[mine].tobytes()], pa.binary()), pa.array([y[mine].tobytes()], pa.binary())], ["x", "y"])
+
+    return blocks.mapInArrow(run, "x binary, y binary")
+
+
 class Objective:
     """Value, gradient and second derivatives of the objective at a point, over `packed` rows; the last column is the constant 1 of b.
 
@@ -107,18 +128,27 @@ class Objective:
         self.ridge = np.append(np.ones(columns), 0.0 if free_intercept else 1.0)
         self.dense = columns <= matrix_columns
 
-    def _sum(self, block: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    def _sum(self, block: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+        """The sum of `block(x, signs)` over all rows, its vector and the squares of its rows; x is without the constant column."""
         self.passes += 1
-        raw = self.raw
+        raw, columns = self.raw, self.size if self.basis is None else len(self.basis)
+        step = max(64, CACHE_BYTES // (8 * columns))
 
         def run(batch: pa.RecordBatch) -> np.ndarray:
-            total = np.zeros(size)
-            for held, labels in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                y = np.frombuffer(labels)
-                x = np.frombuffer(held).reshape(len(y), -1)
-                if raw is not None:
-                    x = raw(x)
-                total += block(np.hstack([x, np.ones((len(x), 1))]), np.where(y > 0, 1.0, -1.0))
+            total, head = np.zeros(size), 0
+            for held, labels in zip(batch.column("x"), batch.column("y")):
+                squares = []
+                signs = np.where(np.frombuffer(labels.as_buffer()) > 0, 1.0, -1.0)
+                x = np.frombuffer(held.as_buffer()).reshape(len(signs), -1)
+                for start in range(0, len(x), step):
+                    part = x[start:start + step]
+                    sums, bows = block(part if raw is None else raw(part), signs[start:start + step])
+                    head = len(sums)
+                    total[:head] += sums
+                    squares.append(bows)
+                    if sum(map(len, squares)) >= columns or start + step >= len(x):
+                        whole, squares = np.concatenate(squares), []
+                        total[head:] += (whole.T @ whole).ravel() if head < size else 0
             return total
 
         return block_sum(self.rows, run, size)
@@ -129,19 +159,19 @@ class Objective:
         out, back = (lambda v: v, lambda v: v) if self.basis is None else (lambda v: self.basis @ v, lambda v: self.basis.T @ v)
         n, u = self.size if self.basis is None else len(self.basis), out(w)
 
-        def block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            loss, first, second = losses(y * (x @ u), width)
-            parts = [[loss.sum()], x.T @ (first * y)]
-            if dense:
-                bent = second > 0
-                parts.append((x[bent].T @ (x[bent] * second[bent, None])).ravel())
-            return np.concatenate(parts)
+        def block(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            loss, first, second = losses(y * (x @ u[:-1] + u[-1]), width)
+            pull = first * y
+            bent = np.flatnonzero(second) if dense else []
+            bows = np.hstack([x[bent], np.ones((len(bent), 1))]) * np.sqrt(second[bent, None]) if len(bent) else np.zeros((0, n))
+            return np.concatenate([[loss.sum()], x.T @ pull, [pull.sum()]]), bows
 
         def product(v: np.ndarray) -> np.ndarray:
             way = out(v)
 
-            def bend(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-                return x.T @ (losses(y * (x @ u), width)[2] * (x @ way))
+            def bend(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                bow = losses(y * (x @ u[:-1] + u[-1]), width)[2] * (x @ way[:-1] + way[-1])
+                return np.append(x.T @ bow, bow.sum()), np.zeros((0, n))
 
             return ridge * v + c * back(self._sum(bend, n))
 
@@ -181,22 +211,47 @@ def train_margin(train: DataFrame, c: float = 1.0, width: float | None = None, f
     """The machine of (features, label), or of what `lift` makes of the features. Ends where the gradient's norm is at most `tolerance`, or where no step falls any more."""
     rows = train.select("features", F.col("label").cast("double").alias("label"))
     blocks = packed(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    early = _share(blocks, EARLY_SHARE).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        first = blocks.first()
-        if first is None:
+        count = _rows_of(blocks)
+        if not count:
             raise ValueError("no rows to train on")
+        first = blocks.first()
         columns = len(first["x"]) // len(first["y"])
-        goal = Objective(blocks, columns, c, width, free_intercept, matrix_columns, lift)
-        w, value, gradient = _descend(goal, tolerance, max_iter)
+
+        def goal_of(part: DataFrame, weight: float) -> Objective:
+            return Objective(part, columns, weight, width, free_intercept, matrix_columns, lift)
+
+        goal, some = goal_of(blocks, c), _rows_of(early) if count >= EARLY_ROWS * EARLY_SHARE // 2 else 0
+        # A share of the rows leads near the end of all of them; only the steps from there on pass over the table.
+        start = _near(goal_of(early, c * count / some) if some >= EARLY_ROWS else goal, max_iter, some >= EARLY_ROWS)
+        w, value, gradient = _descend(goal, tolerance, max_iter, start)
     finally:
+        early.unpersist()
         blocks.unpersist()
     return Margin(w[:-1], float(w[-1]), goal.passes, float(value), float(np.linalg.norm(gradient)), lift)
 
 
-def _descend(goal: Objective, tolerance: float, max_iter: int) -> tuple[np.ndarray, float, np.ndarray]:
-    """(point, value, gradient) where the steps end."""
-    w = np.zeros(goal.size)
+def _rows_of(blocks: DataFrame) -> int:
+    """How many rows are `packed`."""
+    return (blocks.agg(F.sum(F.octet_length("y"))).first()[0] or 0) // 8
+
+
+def _near(goal: Objective, max_iter: int, last: bool) -> np.ndarray | None:
+    """A point to begin at: ends of rounder and rounder corners lead to that of a hinge in few steps, and if `last` its own is looked for too."""
+    width, point = goal.width, None
+    for times in ([] if width is None else ROUNDER) + ([1] if last else []):
+        goal.width = width and width * times
+        point = _descend(goal, 0.0, max_iter, point, EARLY_FALL)[0]
+    goal.width = width
+    return point
+
+
+def _descend(goal: Objective, tolerance: float, max_iter: int, start: np.ndarray | None = None, fall: float = 0.0) -> tuple[np.ndarray, float, np.ndarray]:
+    """(point, value, gradient) where the steps end that begin at `start`, or at 0; a gradient of `fall` times the first is an end too."""
+    w = np.zeros(goal.size) if start is None else start
     value, gradient, product = goal.at(w)
+    tolerance = max(tolerance, fall * np.linalg.norm(gradient))
     reach = max(1.0, np.linalg.norm(gradient))
     for _ in range(max_iter):
         if np.linalg.norm(gradient) <= tolerance:
@@ -241,8 +296,10 @@ def kernel_width(df: DataFrame) -> tuple[int, float]:
 
 
 def gaussian(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
-    square = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T
-    return np.exp(-gamma * np.maximum(square, 0.0))
+    """The kernel of all pairs: one product gives the squared distances times -gamma, the rest works in its place."""
+    left = np.column_stack([x, (x * x).sum(axis=1), np.ones(len(x))])
+    found = left @ np.vstack([2 * gamma * y.T, np.full(len(y), -gamma), -gamma * (y * y).sum(axis=1)])
+    return np.exp(np.minimum(found, 0.0, out=found), out=found)
 
 
 def landmarks(train: DataFrame, count: int, seed: int = 42) -> np.ndarray:

@@ -132,3 +132,28 @@ def test_passes_read_blocks(spark, monkeypatch):
     cut = margins.train_margin(rows)
     assert np.allclose(cut.coefficients, whole.coefficients, atol=1e-9) and cut.gradient_norm <= 1e-7
     assert all(x == 4 * y and x <= 32 * 50 for blocks in read for x, y in blocks) and sum(y for _, y in read[0]) == 8 * 900
+
+
+def test_blocks_of_the_cache_and_cosines(spark, noisy, monkeypatch):
+    """However the columns of a pass are cut, sums are the same; cosines are numpy's."""
+    x, y = noisy
+    lift, how = margins.Fourier(4, 0.3, 30), {"c": 0.5, "width": 0.3, "free_intercept": True}
+    whole = margins.train_margin(frame(spark, x, y), **how, lift=lift)
+    monkeypatch.setattr(margins, "CACHE_BYTES", 1)
+    cut = margins.train_margin(frame(spark, x, y), **how, lift=lift)
+    assert np.allclose(cut.coefficients, whole.coefficients, atol=1e-6)
+    assert np.abs(lift.raw(x) - np.sqrt(2 / 30) * np.cos(x @ lift.weights + lift.phases)).max() < 1e-6
+
+
+def test_a_share_of_the_rows_leaves_few_passes_over_all(spark, monkeypatch):
+    """The end is that of all rows, wherever a descent begins, and most passes read the share."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 3))
+    y = ((x ** 2).sum(axis=1) + rng.normal(size=6000) > 3).astype(int)
+    lift, how = margins.Nystrom(x[:40], 0.3), {"width": 0.05, "free_intercept": True, "tolerance": 1e-6}
+    rows = frame(spark, x, y)
+    plain = margins.train_margin(rows, **how, lift=lift)
+    monkeypatch.setattr(margins, "EARLY_ROWS", 200)
+    led = margins.train_margin(rows, **how, lift=lift)
+    assert led.passes < plain.passes and led.passes < 20
+    assert led.value == pytest.approx(plain.value, rel=1e-9) and np.allclose(led.coefficients, plain.coefficients, atol=1e-3 * np.abs(plain.coefficients).max())
