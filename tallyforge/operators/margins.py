@@ -4,7 +4,8 @@ The objective is |w|^2 / 2 + C * sum of losses of the margins y (w x + b), with
 corner is rounded over `width` on either side. One pass over the table gives the value and gradient at a point; a
 Newton step is found by conjugate gradients inside a trust region. While there are at most MATRIX_COLUMNS columns the
 same pass also gives the matrix of second derivatives, so a step is one pass; beyond, each conjugate-gradient step
-multiplies the matrix by a vector in a pass of its own. Both give the same step.
+multiplies the matrix by a vector in a pass of its own. Both give the same step. Where there are rows enough, a descent
+begins on a share of them, and that of a hinge on rounder corners; it always ends on all rows within the same tolerance.
 
 The Gaussian kernel is replaced by its Nystrom features: kernels with k-means landmarks over the table, times the
 inverse root of the landmarks' kernel matrix. `kernel_error` says how far these are from the kernel. Training with such a
@@ -255,7 +256,8 @@ def _descend(goal: Objective, tolerance: float, max_iter: int, start: np.ndarray
     tolerance = max(tolerance, fall * np.linalg.norm(gradient))
     reach = max(1.0, np.linalg.norm(gradient))
     for _ in range(max_iter):
-        if np.linalg.norm(gradient) <= tolerance:
+        # Missing numbers leave no way down.
+        if not np.linalg.norm(gradient) > tolerance:
             break
         step, expected = _newton_step(gradient, product, reach)
         new = goal.at(w + step)

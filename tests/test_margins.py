@@ -157,3 +157,10 @@ def test_a_share_of_the_rows_leaves_few_passes_over_all(spark, monkeypatch):
     led = margins.train_margin(rows, **how, lift=lift)
     assert led.passes < plain.passes and led.passes < 20
     assert led.value == pytest.approx(plain.value, rel=1e-9) and np.allclose(led.coefficients, plain.coefficients, atol=1e-3 * np.abs(plain.coefficients).max())
+
+
+def test_missing_numbers_end_at_once(spark, noisy):
+    x, y = noisy[0].copy(), noisy[1]
+    x[3, 1] = np.nan
+    machine = margins.train_margin(frame(spark, x, y), c=0.5, width=0.3, free_intercept=True, lift=margins.Fourier(4, 0.3, 30))
+    assert machine.passes < 10 and not machine.coefficients.any()
